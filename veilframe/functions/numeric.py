@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UNROLL = 256  # vectors up to this length become one expression per element
+
 
 def fixed(col: Column | str, digits: int = 9) -> Column:
     """Round half up at ``digits`` decimals with plain double arithmetic, so every SQL engine gives the same bits."""
@@ -24,9 +28,22 @@ def dot(weights: Column, x: Column) -> Column:
     )
 
 
-def linear(weights: list[float], features: list[Column], bias: float) -> Column:
-    """``w.x + b`` over wide columns with the model as literals."""
-    margin = F.lit(float(bias))
-    for w, f in zip(weights, features, strict=True):
-        margin = margin + F.lit(float(w)) * f
-    return margin
+def literal_array(values: list[float]) -> Column:
+    """Array literal of doubles, built as one SQL expression."""
+    return F.expr(f"array({', '.join(_double(v) for v in values)})") if values else F.array().cast("array<double>")
+
+
+def linear(weights: list[float], features: list[str], bias: float) -> Column:
+    """``w.x + b`` over wide columns with the model as literals; long models stay arrays to keep the plan flat."""
+    if len(weights) != len(features):
+        raise ValueError(f"model has {len(weights)} weights for {len(features)} features")
+    if len(weights) > UNROLL:
+        return dot(literal_array(weights), F.array(*features)) + F.lit(float(bias))
+    terms = [_double(bias)] + [f"{_double(w)} * `{f}`" for w, f in zip(weights, features, strict=True)]
+    return F.expr(" + ".join(terms))
+
+
+def _double(value: float) -> str:
+    if not math.isfinite(value):
+        raise ValueError(f"parameter is {value}")
+    return f"({float(value)!r}D)"

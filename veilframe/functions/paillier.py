@@ -11,7 +11,7 @@ import secrets
 from dataclasses import dataclass
 
 SCALE_BITS = 64
-_DIGIT = 4
+_DIGIT = 8  # exponent bits per table lookup
 
 
 @dataclass(frozen=True)

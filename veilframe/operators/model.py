@@ -9,15 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions.numeric import dot, linear, sigmoid
+from veilframe.functions.numeric import UNROLL, dot, linear, literal_array, sigmoid
 from veilframe.operators.index import row_hash
 from veilframe.operators.prep import feature_columns
 from veilframe.skew import attach, union_all
 from veilframe.storage import materialize
 
 MARGINS = 4_000_000  # scores held at once while evaluating many models
-UNROLL = 256  # arrays up to this length become one aggregate per element
-MODEL_SCHEMA = "param string, idx int, value double"
 
 
 def init_model(spark: SparkSession, d: int, round: int = 0) -> DataFrame:
@@ -47,7 +45,7 @@ def model_vector(model: DataFrame) -> tuple[list[float], float]:
 def as_wide(samples: DataFrame, array_col: str, d: int) -> DataFrame:
     """One double column per array element."""
     rest = [c for c in samples.columns if c != array_col]
-    return samples.select(*rest, *[F.col(array_col)[i].cast("double").alias(f"f_{i}") for i in range(d)])
+    return samples.selectExpr(*rest, *[f"CAST({array_col}[{i}] AS DOUBLE) AS f_{i}" for i in range(d)])
 
 
 def local_gradient_step(
@@ -74,10 +72,10 @@ def local_gradient_step(
     else:
         wide, x = samples, array_col
     if x:
-        shared = dot(F.array(*[F.lit(float(v)) for v in w]), F.col(x)) + F.lit(b)
+        shared = dot(literal_array(w), F.col(x)) + F.lit(b)
     else:
-        shared = linear(w, [F.col(c) for c in feature_columns(wide)], b)
-    start = [F.array(*[F.lit(float(v)) for v in w]).alias("_w"), F.lit(float(b)).alias("_b")]
+        shared = linear(w, feature_columns(wide), b)
+    start = [literal_array(w).alias("_w"), F.lit(float(b)).alias("_b")]
     out = _step(wide, shared, x, lr, l2, client, label, lambda stats: stats.select("*", *start))
     for _ in range(steps - 1):
         own = materialize(client_arrays(materialize(out, "local"), client), "arrays")
@@ -101,7 +99,7 @@ def _step(
     rows = rows.withColumn("_err", sigmoid(margin) - F.col(label))
     totals = [F.avg("_err").alias("_gb"), F.count(F.lit(1)).alias("num_samples")]
     if x is None:
-        grads = F.array(*[F.avg(F.col("_err") * F.col(c)) for c in feature_columns(rows)])
+        grads = F.expr(f"array({', '.join(f'avg(_err * {c})' for c in feature_columns(rows))})")
         stats = with_start(rows.groupBy(client).agg(*totals, grads.alias("_g")))
         weights = stats.select(client, "num_samples", F.posexplode(F.arrays_zip("_w", "_g")).alias("idx", "e")).select(
             client, "idx", F.col("e._w").alias("w"), F.col("e._g").alias("g"), "num_samples"
@@ -139,7 +137,7 @@ def local_sgd_epoch(
     lr: float = 0.01,
     l2: float = 1e-4,
     seed: int = 42,
-    max_shard_rows: int = 500_000,
+    max_shard_rows: int = 200_000,
     client: str = "client_id",
     label: str = "y",
 ) -> DataFrame:
@@ -205,9 +203,9 @@ def predict(samples: DataFrame, model: DataFrame, array_col: str | None = None,
     """Class 1 when ``w.x + b > 0``."""
     w, b = model_vector(model)
     if array_col:
-        margin = dot(F.array(*[F.lit(float(v)) for v in w]), F.col(array_col)) + F.lit(b)
+        margin = dot(literal_array(w), F.col(array_col)) + F.lit(b)
     else:
-        margin = linear(w, [F.col(c) for c in feature_columns(samples)], b)
+        margin = linear(w, feature_columns(samples), b)
     return samples.withColumn(name, (margin > 0).cast("int"))
 
 

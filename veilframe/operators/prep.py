@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from veilframe.operators.index import global_index, hash_counts, hash_index, row_hash
-from veilframe.skew import attach
+from veilframe.skew import BROADCAST_ROWS, attach
+from veilframe.storage import materialize
 
 # Candidate columns of the census income table and its missing-value marker.
 NUMERIC_CANDIDATES = ["age", "capital-gain", "capital-loss", "hours-per-week", "educational-num", "education-num"]
@@ -54,24 +56,27 @@ def onehot_fit(df: DataFrame, categorical: Sequence[str], offset: int = 0) -> Da
     """Dictionary ``(idx, name, feature, level)`` of the indicator columns.
 
     Levels are sorted by code point and the first of each column is dropped. Positions start at ``offset`` and follow
-    the order of ``categorical``. All columns are read in one pass; only distinct levels are shuffled.
+    the order of ``categorical``. All columns are read in one pass; only distinct levels are shuffled, and a level
+    table too long for one window is numbered by range partitions.
     """
     pairs = F.array(
         *[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), _c(c).cast("string").alias("level")) for i, c in enumerate(categorical)]
     )
     levels = df.select(F.explode(pairs).alias("p")).select("p.*").where("level IS NOT NULL").distinct()
-    ranked = global_index(levels, ["ord", "level"])
-    first = ranked.groupBy("ord").agg(F.min("position").alias("first"))
-    # each of the ord+1 columns up to this one gave up one level
-    return (
-        attach(ranked, first, ["ord"])
-        .where(F.col("position") > F.col("first"))
-        .select(
-            (F.col("position") - F.col("ord") - 1 + F.lit(offset)).cast("int").alias("idx"),
-            F.concat_ws("_", "feature", "level").alias("name"),
-            "feature",
-            "level",
-        )
+    levels = materialize(levels, "levels")
+    if levels.count() <= BROADCAST_ROWS:
+        placed = levels.withColumn("position", F.row_number().over(W.orderBy("ord", "level")) - 1)
+        kept = placed.withColumn("rank", F.row_number().over(W.partitionBy("ord").orderBy("level"))).where("rank > 1")
+    else:
+        placed = global_index(levels, ["ord", "level"])
+        first = placed.groupBy("ord").agg(F.min("position").alias("first"))
+        kept = attach(placed, first, ["ord"]).where("position > first")
+    # each of the ord + 1 columns up to this one gave up one level
+    return kept.select(
+        (F.col("position") - F.col("ord") - 1 + F.lit(offset)).cast("int").alias("idx"),
+        F.concat_ws("_", "feature", "level").alias("name"),
+        "feature",
+        "level",
     )
 
 

@@ -16,17 +16,20 @@ HOT_ROWS = 2_000_000
 MAX_BLOCKS = 512
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = BROADCAST_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, at most ``max_keys`` of them, with their row count ``n``.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = BROADCAST_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, at most ``max_keys`` of them, with their row count ``n``; None if there are none.
 
-    One partially aggregated count over the key columns. At most N/hot_rows keys qualify; when that is still more than
-    ``max_keys`` the threshold rises until the list can be broadcast.
+    Partially aggregated counts over the key columns only. At most N/hot_rows keys qualify; when that is still more
+    than ``max_keys`` the threshold rises until the list can be broadcast.
     """
-    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), "hot")
-    while counts.count() > max_keys:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= hot_rows:
+        return None
+    hot = materialize(counts.where(F.col("n") > hot_rows), "hot")
+    while hot.count() > max_keys:
         hot_rows *= 4
-        counts = counts.where(F.col("n") > hot_rows)
-    return counts
+        hot = hot.where(F.col("n") > hot_rows)
+    return hot
 
 
 def attach(
@@ -47,7 +50,10 @@ def attach(
     side = materialize(side, "side") if written else side
     if side.count() <= max_rows:
         return df.join(F.broadcast(side), keys, how)
-    hot = hot_keys(df, keys, hot_rows, max_rows).select(*keys)
+    hot = hot_keys(df, keys, hot_rows, max_rows)
+    if hot is None:
+        return df.join(side, keys, how)
+    hot = hot.select(*keys)
     hot_side = side.join(F.broadcast(hot), keys, "left_semi")
     hot_part = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_side), keys, how)
     rest = df.join(F.broadcast(hot), keys, "left_anti").join(side, keys, how)
@@ -78,11 +84,11 @@ def running(
     by = list(by)
     last = 0 if inclusive else -1
     hot = hot_keys(df, by, hot_rows)
-    top = hot.agg(F.max("n")).first()[0]
-    if top is None:
+    if hot is None:
         frame = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, last)
         return df.select("*", *[_RUNNING[how][0](expr).over(frame).alias(c) for c, (how, expr) in outputs.items()])
 
+    top = hot.agg(F.max("n")).first()[0]
     blocks = min(MAX_BLOCKS, -(-top // hot_rows) + 1)
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = materialize(
