@@ -10,7 +10,7 @@ import random
 import secrets
 from dataclasses import dataclass
 
-SCALE_BITS = 64
+SCALE_BITS = 128  # doubles above 1e-22 in size are represented exactly
 _DIGIT = 8  # exponent bits per table lookup
 
 
