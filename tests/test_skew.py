@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators.index import global_index, hash_index, row_hash
+from veilframe.operators.index import global_index, hash_assign, hash_counts, hash_index, row_hash
 from veilframe.skew import attach, hot_keys, running
 from conftest import as_set
 
@@ -77,3 +77,14 @@ def test_hash_index_ignores_partitioning(spark, rows, partitions):
         for i, r in enumerate(sorted((r for r in plain if r.k == k), key=lambda r: r.h)):
             want.add((k, r.seq, i))
     assert as_set(got, "k", "seq", "position") == want
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+@pytest.mark.parametrize("chunk", [1, 37, 2999, 5000])
+def test_hash_assign_cuts_the_hash_order(rows, digits, chunk):
+    data, df = rows
+    df = df.select("seq", (F.col("seq") % 2).alias("y"))
+    counts = hash_counts(df, 42, "seq", lead=["y"], digits=digits)
+    got = hash_assign(df, "seq", counts, lambda p: F.floor(p / F.lit(chunk)), "c", lead=["y"], digits=digits)
+    order = df.select("seq", "y", row_hash(42, "seq").alias("h")).orderBy("y", "h").collect()
+    assert as_set(got, "seq", "c") == {(r.seq, i // chunk) for i, r in enumerate(order)}

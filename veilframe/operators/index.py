@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,33 @@ def hash_index(
     return placed.select(*df.columns, (F.col("_start") + F.col("_rank") - 1).alias(name))
 
 
+def hash_assign(
+    df: DataFrame,
+    key: str,
+    counts: DataFrame,
+    assign: Callable[[Column], Column],
+    name: str,
+    seed: int = 42,
+    by: Sequence[str] = (),
+    lead: Sequence[str] = (),
+    digits: int = 3,
+) -> DataFrame:
+    """``assign(position)`` per row, for an ``assign`` that never goes back as the position grows.
+
+    A bucket whose first and last position get the same value needs no ranks: its rows are marked by a broadcast of the
+    bucket counts. Only the buckets that a boundary falls into are shuffled and ranked.
+    """
+    keys = [*by, *lead, "_bucket"]
+    first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
+    ends = counts.withColumn("_first", assign(first)).withColumn("_last", assign(last))
+    rows = df.withColumn("_hash", row_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    placed = attach(rows, ends, keys)
+    whole = placed.where("_first = _last").select(*df.columns, F.col("_first").alias(name))
+    inside = W.partitionBy(*keys).orderBy("_hash", key)
+    cut = placed.where("_first <> _last").withColumn("_rank", F.row_number().over(inside))
+    return whole.unionByName(cut.select(*df.columns, assign(F.col("_start") + F.col("_rank") - 1).alias(name)))
+
+
 def global_index(df: DataFrame, order: Sequence[str], partitions: int | None = None, name: str = "position") -> DataFrame:
     """Position of each row in the order of arbitrary columns; ``order`` must be unique per row.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from veilframe.operators.index import global_index, hash_counts, hash_index, row_hash
+from veilframe.operators.index import global_index, hash_assign, hash_counts, row_hash
 from veilframe.skew import BROADCAST_ROWS, attach
 from veilframe.storage import materialize
 
@@ -122,11 +122,13 @@ def stratified_split(
         picked = F.substring(row_hash(seed, key), 1, 8) < threshold
         return df.withColumn(name, F.when(picked, "test").otherwise("train"))
     counts = hash_counts(df, seed, key, by=[label])
-    wanted = counts.groupBy(label).agg(F.floor(F.sum("_n") * F.lit(test) + F.lit(0.5)).alias("_wanted"))
-    placed = attach(hash_index(df, key, seed, by=[label], name="_pos", counts=counts), wanted, [label])
-    return placed.select(
-        *df.columns, F.when(F.col("_pos") < F.col("_wanted"), "test").otherwise("train").alias(name)
-    )
+    total = F.sum("_n").over(W.partitionBy(label))
+    counts = counts.withColumn("_wanted", F.floor(total * F.lit(test) + F.lit(0.5)))
+
+    def side(position: Column) -> Column:
+        return F.when(position < F.col("_wanted"), "test").otherwise("train")
+
+    return hash_assign(df, key, counts, side, name, seed, by=[label])
 
 
 def scale_fit(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -170,9 +172,11 @@ def assign_clients(
     chunk = total // n
     if chunk == 0:
         raise ValueError(f"Not enough training samples ({total}) for {n} clients")
-    placed = hash_index(df, key, seed, lead=lead, name="_pos", counts=counts)
-    client = F.least(F.floor(F.col("_pos") / F.lit(chunk)), F.lit(n - 1)).cast("int")
-    return placed.select(*df.columns, client.alias(name))
+
+    def client(position: Column) -> Column:
+        return F.least(F.floor(position / F.lit(chunk)), F.lit(n - 1)).cast("int")
+
+    return hash_assign(df, key, counts, client, name, seed, lead=lead)
 
 
 def split_summary(df: DataFrame, label: str = "y") -> DataFrame:

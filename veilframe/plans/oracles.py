@@ -131,6 +131,46 @@ CLIPPED = f"""(
 SELECT *, CASE WHEN norm > {CLIP} THEN {CLIP}e0 / norm ELSE 1.0e0 END AS factor
 FROM (SELECT *, sqrt(sum(delta * delta) OVER (PARTITION BY round, client_id, param)) AS norm FROM {DELTAS} d))"""
 
+
+def private_rounds(train: str, test: str, rounds: int, lr: float, clip: float, seed: int, epsilon: float = 10.0) -> str:
+    """Accuracy and bias of every round of private training from a zero model, one block of CTEs per round."""
+    d, l2 = N_FEATURES, 1e-4
+    params = [f"p_{i}" for i in range(d)] + ["p_b"]
+    scale = f"{GAUSS_FACTOR} * {clip}e0 / {epsilon}e0"
+    ctes = [
+        f"tr AS MATERIALIZED (SELECT * FROM {train} t)",
+        f"te AS MATERIALIZED (SELECT * FROM {test} t)",
+        f"m0 AS (SELECT {', '.join(f'0.0e0 AS {p}' for p in params)})",
+    ]
+    margin_text = " + ".join(["p_b"] + [f"p_{i} * f_{i}" for i in range(d)])
+    for k in range(1, rounds + 1):
+        grads = ", ".join(f"avg(err * f_{i}) AS g_{i}" for i in range(d))
+        deltas = ", ".join(f"p_{i} * {1 - lr * l2!r}e0 - {lr}e0 * g_{i} - p_{i} AS d_{i}" for i in range(d))
+        norm = "sqrt(" + " + ".join(f"d_{i} * d_{i}" for i in range(d)) + ")"
+
+        def sent(param: str, idx: int, delta: str, size: str, start: str, k: int = k) -> str:
+            factor = f"CASE WHEN {size} > {clip} THEN {clip}e0 / {size} ELSE 1.0e0 END"
+            text = f"concat_ws(':', '{seed}:{k}', {k}, client_id, '{param}', {idx})"
+            return f"sum(n * ({start} + {delta} * {factor} + {gaussian(scale, text)})) / sum(n)"
+
+        mixed = ", ".join(
+            [f"{sent('W', i, f'd_{i}', 'norm_w', f'p_{i}')} AS p_{i}" for i in range(d)]
+            + [f"{sent('b', 0, 'd_b', 'abs(d_b)', 'p_b')} AS p_b"]
+        )
+        ctes += [
+            f"e{k} AS (SELECT tr.*, 1.0e0 / (1.0e0 + exp(-({margin_text}))) - y AS err FROM tr, m{k - 1})",
+            f"g{k} AS MATERIALIZED (SELECT client_id, {grads}, avg(err) AS g_b, count(*) AS n FROM e{k} GROUP BY client_id)",
+            f"l{k} AS (SELECT *, {deltas}, -{lr}e0 * g_b AS d_b FROM g{k}, m{k - 1})",
+            f"c{k} AS (SELECT *, {norm} AS norm_w FROM l{k})",
+            f"m{k} AS MATERIALIZED (SELECT {mixed} FROM c{k})",
+        ]
+    hit = f"avg(CASE WHEN ({margin_text} > 0) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END)"
+    scores = " UNION ALL ".join(
+        f"SELECT {k} AS round, {r(hit)} AS accuracy, {r('max(p_b)', 7)} AS bias FROM te, m{k}" for k in range(1, rounds + 1)
+    )
+    return f"WITH {', '.join(ctes)} {scores}"
+
+
 # ---- messages ----
 
 MESSAGES = f"""(

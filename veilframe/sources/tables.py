@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.operators.metrics import run_summary
+from veilframe.operators.privacy import tradeoff
 
 MODEL_SCHEMA = "round int, param string, idx int, value double"
 ROUND_FIELDS = (
@@ -62,3 +63,18 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def _fields() -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in ROUND_FIELDS.split(", "))
+
+
+def write_privacy_report(recorded: DataFrame, path: str) -> None:
+    """Recorded rounds and their tradeoff as one JSON document."""
+    names = ["round", "epsilon", "accuracy", "privacy_spent", "noise_magnitude"]
+    rounds = recorded.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("metrics"))
+    analysis = tradeoff(recorded).first().asDict()
+    parts = [F.lit(v).alias(k) for k, v in analysis.items() if v is not None]
+    rounds.withColumn("tradeoff_analysis", F.struct(*parts)).write.mode("overwrite").json(path)
+
+
+def read_privacy_report(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded rounds back from the document."""
+    fields = "round: int, epsilon: double, accuracy: double, privacy_spent: double, noise_magnitude: double"
+    return spark.read.schema(f"metrics array<struct<{fields}>>").json(path).select(F.inline("metrics"))
