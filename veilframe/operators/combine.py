@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.skew import attach
 
 ELEMENT = ("round", "param", "idx")
-MEDIAN_ROWS = 1_000_000
+MEDIAN_ROWS = 100_000
 MEDIAN_ACCURACY = 2_000
 
 

@@ -68,17 +68,24 @@ def he_decrypt(
 
 
 def he_weighted_sum(
-    df: DataFrame, by: Sequence[str], key: PublicKey, cipher: str = "cipher", weight: str = "num_samples"
+    df: DataFrame,
+    by: Sequence[str],
+    key: PublicKey,
+    cipher: str = "cipher",
+    weight: str = "num_samples",
+    tasks: int | None = None,
 ) -> DataFrame:
     """``sum(weight * x)`` on ciphertexts, with the plain total weight: ``(by.., cipher, weight)``.
 
     Each task first multiplies what it holds per group, so a group reaches the shuffle with a few rows per task
-    however many clients it has; the second fold walks sorted groups and keeps one product at a time.
+    however many clients it has; the second fold walks sorted groups and keeps one product at a time. Its ``tasks`` (the
+    session's shuffle partitions) are set outright: merging partitions that are small in bytes would pile up work.
     """
     by = list(by)
     rows = df.select(*by, cipher, F.col(weight).cast("bigint").alias(weight)).where(F.col(cipher).isNotNull())
     partial = rows.mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=True), rows.schema)
-    grouped = partial.repartition(*by).sortWithinPartitions(*by)
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = partial.repartition(tasks, *by).sortWithinPartitions(*by)
     return grouped.mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=False), rows.schema)
 
 

@@ -15,7 +15,7 @@ from veilframe.storage import materialize
 def row_hash(seed: int, key: str | Column) -> Column:
     """32 hex digits that place a row in a reproducible pseudo-random order."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
 def hash_counts(df: DataFrame, seed: int, key: str, by: Sequence[str] = (), lead: Sequence[str] = (), digits: int = 3) -> DataFrame:

@@ -54,7 +54,7 @@ FROM {lineitem} GROUP BY month(l_shipdate), l_returnflag, l_linenumber - 1
 """
 
 MESSAGE_FLAGS = """
-SELECT event_id AS seq, ts, concat('client_', CAST(user_id AS VARCHAR(20))) AS client_id, props AS payload,
+SELECT event_id AS seq, ts, concat('client_', CAST(user_id AS VARCHAR(20))) AS client_id, props AS payload, value,
        user_id % 20 <> 0 AS registered,
        user_id % 20 <> 1 AS has_key,
        event_id % 23 <> 0 AS sealed_ok,

@@ -648,12 +648,11 @@ def msg_size(spark, sf_dir):
 
 def update_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose payload is a model update built from the event value."""
-    values = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "value")
     body = F.struct(
         (F.col("seq") % 50 + 1).alias("num_samples"),
         F.create_map(F.lit("W"), F.array("value", F.col("value") * 2.0), F.lit("b"), F.array(-F.col("value"))).alias("model_params"),
     )
-    return fx.messages(spark, sf_dir).drop("payload").join(values, "seq").withColumn("payload", F.to_json(body))
+    return fx.messages(spark, sf_dir).withColumn("payload", F.to_json(body)).drop("value")
 
 
 @query(
