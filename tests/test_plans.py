@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from veilframe.operators import combine as cb
@@ -24,15 +23,6 @@ def shuffles(df) -> int:
     return len(re.findall(r"Exchange (?:hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan(df)))
 
 
-STREAMS = {name for name in rg.QUERIES if name.startswith("stream_")}
-
-
-@pytest.mark.parametrize("name", sorted(set(rg.QUERIES) - STREAMS - {"federated_rounds"}))
-def test_no_query_builds_a_cartesian_product(spark, name):
-    text = plan(rg.QUERIES[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_aggregations_combine_before_their_only_shuffle(spark):
     updates = spark.range(100).selectExpr(
         "1 AS round", "'W' AS param", "CAST(id % 4 AS INT) AS idx", "concat('c', id) AS client_id", "rand(1) AS value", "id + 1 AS num_samples"

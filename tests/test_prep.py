@@ -98,16 +98,23 @@ def test_label_skew_orders_by_label(spark, strategy, flag):
     assert as_set(got, "client_id", "y") == {(0, 0), (1, 0), (2, 1), (3, 1)}
 
 
+def test_label_skew_with_very_many_labels(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id AS row_key", "CAST(id % 120 AS INT) AS y")
+    few = as_set(prep.assign_clients(df, 7, "row_key", "non-iid"), "row_key", "client_id")
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 10)
+    assert as_set(prep.assign_clients(df, 7, "row_key", "non-iid"), "row_key", "client_id") == few
+
+
 def test_client_count_is_checked(spark):
     df = spark.range(3).selectExpr("id AS row_key", "0 AS y")
-    with pytest.raises(ValueError, match="at least 1"):
+    with pytest.raises(ValueError, match="into 0 clients"):
         prep.assign_clients(df, 0, "row_key")
-    with pytest.raises(ValueError, match="Not enough"):
+    with pytest.raises(ValueError, match="4 clients need"):
         prep.assign_clients(df, 4, "row_key")
 
 
 def test_load_failure_is_one_error(spark, tmp_path):
-    with pytest.raises(RuntimeError, match="Failed to load") as e:
+    with pytest.raises(RuntimeError, match="cannot load samples") as e:
         read_samples(spark, str(tmp_path / "absent"))
     assert e.value.__cause__ is not None
     spark.createDataFrame([(1, "a,b")], "k int, t string").write.option("header", True).csv(str(tmp_path / "t"))

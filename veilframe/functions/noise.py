@@ -45,13 +45,13 @@ def noise_scale(mechanism: str | Column, epsilon, delta=1e-5, sensitivity=1.0) -
     Every argument may be a column, so budget and sensitivity can differ per row.
     """
     if isinstance(mechanism, str) and mechanism not in MECHANISMS:
-        raise ValueError(f"Unknown noise type: {mechanism}")
+        raise ValueError(f"no such noise mechanism: {mechanism}")
     kind = F.lit(mechanism) if isinstance(mechanism, str) else mechanism
     eps, dlt, sens = _num(epsilon), _num(delta), _num(sensitivity)
     return (
         F.when(kind == "laplace", sens / eps)
         .when(kind == "gaussian", F.sqrt(F.lit(2.0) * F.ln(F.lit(1.25) / dlt)) * sens / eps)
-        .otherwise(F.raise_error(F.concat(F.lit("Unknown noise type: "), kind)).cast("double"))
+        .otherwise(F.raise_error(F.concat(F.lit("no such noise mechanism: "), kind)).cast("double"))
     )
 
 

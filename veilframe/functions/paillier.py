@@ -24,7 +24,7 @@ class PublicKey:
     @staticmethod
     def from_wire(payload: dict[str, str]) -> PublicKey:
         if not isinstance(payload, dict):
-            raise TypeError("Expected dict-like public key payload")
+            raise TypeError("a public key travels as {'n': digits}")
         return PublicKey(int(payload["n"]))
 
 

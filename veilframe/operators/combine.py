@@ -99,7 +99,7 @@ def median_update(
 def combine(updates: DataFrame, previous: DataFrame, how: str = "fedavg", by: Sequence[str] = ELEMENT) -> DataFrame:
     """New model; elements without any usable update keep their previous value."""
     if how not in ("fedavg", "median"):
-        raise ValueError(f"Unknown combination: {how}")
+        raise ValueError(f"combine by fedavg or median, not {how}")
     usable = collect_updates(updates)
     new = fedavg(usable, by) if how == "fedavg" else median_update(usable, by)
     old = previous.select(*by, F.col("value").alias("_old"))

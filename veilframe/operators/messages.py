@@ -96,11 +96,13 @@ def require_session(messages: DataFrame, keys: DataFrame) -> DataFrame:
     return attach(messages, keys.select("client_id").distinct(), ["client_id"], "left_anti")
 
 
-def seal_messages(messages: DataFrame, keys: DataFrame, payload: str = "payload") -> DataFrame:
-    """Digest, tag and encrypt each payload under its client's keys; adds ``sealed``, drops the payload."""
+def seal_messages(
+    messages: DataFrame, keys: DataFrame, payload: str = "payload", on: Sequence[str] = ("client_id",)
+) -> DataFrame:
+    """Digest, tag and encrypt each payload under the keys found by ``on``; adds ``sealed``, drops the payload."""
     inner, outer = hmac_pads(F.col("tag_key"))
-    held = keys.select("client_id", F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
-    rows = attach(messages, held, ["client_id"], written=False)
+    held = keys.select(*on, F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
+    rows = attach(messages, held, on, written=False)
     text = F.col(payload)
     package = F.to_json(
         F.struct(

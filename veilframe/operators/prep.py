@@ -164,18 +164,22 @@ def assign_clients(
     label.
     """
     if n < 1:
-        raise ValueError("Number of clients must be at least 1")
+        raise ValueError(f"cannot cut rows into {n} clients")
     skewed = label_skew or strategy.lower() in LABEL_SKEW_NAMES
     lead = [label] if skewed else []
     counts = hash_counts(df, seed, key, lead=lead)
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total, buckets = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
     chunk = total // n
     if chunk == 0:
-        raise ValueError(f"Not enough training samples ({total}) for {n} clients")
+        raise ValueError(f"{n} clients need a row each, there are {total}")
 
     def client(position: Column) -> Column:
         return F.least(F.floor(position / F.lit(chunk)), F.lit(n - 1)).cast("int")
 
+    if buckets > BROADCAST_ROWS:  # a label with very many values: order the rows themselves
+        ordered = df.withColumn("_hash", row_hash(seed, key))
+        placed = global_index(ordered, [*lead, "_hash", key], name="_pos")
+        return placed.select(*df.columns, client(F.col("_pos")).alias(name))
     return hash_assign(df, key, counts, client, name, seed, lead=lead)
 
 

@@ -16,6 +16,10 @@ CLIENT_STATES = ("TRAINING", "ENCRYPTING", "SENT", "READY")
 IDLE = "IDLE"
 CALM = "LOW"
 THREAT_LEVELS = {"threat_quantum": "CRITICAL", "threat_mitm": "HIGH", "reset": CALM}
+# Lines shown to people.
+RESET_LINE = "Pipeline reset. Ready for new training."
+QUANTUM_LINE = "QUANTUM WAVEFRONT DETECTED"
+MITM_LINE = "PACKET INTERCEPTED"
 
 
 def threat_level(kind: Column) -> Column:
@@ -99,9 +103,9 @@ def log_lines(feed: DataFrame) -> DataFrame:
     """``(seq, text, type)`` for people."""
     kind = F.col("kind")
     text = (
-        F.when(kind == "reset", "Pipeline reset. Ready for new training.")
-        .when(kind == "threat_quantum", "QUANTUM WAVEFRONT DETECTED")
-        .when(kind == "threat_mitm", "PACKET INTERCEPTED")
+        F.when(kind == "reset", RESET_LINE)
+        .when(kind == "threat_quantum", QUANTUM_LINE)
+        .when(kind == "threat_mitm", MITM_LINE)
         .when(
             kind == "READY",
             F.concat(F.lit("["), F.col("client_id"), F.lit("] Acc: "), fixed_text(F.col("value"), 1), F.lit("%")),

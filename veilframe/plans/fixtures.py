@@ -146,12 +146,12 @@ def client_keys(msgs: DataFrame) -> DataFrame:
 def sealed_messages(msgs: DataFrame, payload: str = "payload") -> DataFrame:
     """Messages sealed once; the flags damage the bytes or swap in a foreign tag key."""
     keys = client_keys(msgs)
-    forged = keys.withColumn("tag_key", F.col("session_key"))
-    good = seal_messages(msgs.where("tag_ok"), keys, payload)
-    bad = seal_messages(msgs.where("NOT tag_ok"), forged, payload)
+    forged = keys.withColumn("tag_key", F.col("session_key")).withColumn("tag_ok", F.lit(False))
+    both = keys.withColumn("tag_ok", F.lit(True)).unionByName(forged)
+    sealed = seal_messages(msgs, both, payload, ["client_id", "tag_ok"])
     # cut the last byte of the authentication tag
     cut = F.when(F.col("sealed_ok"), F.col("sealed")).otherwise(F.expr("substring(sealed, 1, length(sealed) - 1)"))
-    return materialize(good.unionByName(bad).withColumn("sealed", cut), "sealed")
+    return materialize(sealed.withColumn("sealed", cut), "sealed")
 
 
 def registry_of(msgs: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import types as T
 from veilframe.operators.metrics import run_summary
 from veilframe.operators.privacy import tradeoff
 
+# Where results go when no path is given, relative to the default file system.
+MODEL_PATH = "results/model"
+METRICS_PATH = "results/metrics/training"
+PRIVACY_PATH = "results/metrics/privacy"
+
 MODEL_SCHEMA = "round int, param string, idx int, value double"
 ROUND_FIELDS = (
     "round int, accuracy double, total_time double, training_time double, encryption_time double, "
@@ -25,10 +30,10 @@ def read_samples(
     try:
         return (reader.schema(schema) if schema is not None else reader).load(path)
     except AnalysisException as e:
-        raise RuntimeError(f"Failed to load dataset from {path}: {e}") from e
+        raise RuntimeError(f"cannot load samples from {path}: {e}") from e
 
 
-def write_model(model: DataFrame, path: str) -> None:
+def write_model(model: DataFrame, path: str = MODEL_PATH) -> None:
     """Append the parameters of one or more rounds, one folder per round; a round written again is replaced."""
     model.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(path)
 
@@ -39,7 +44,7 @@ def read_model(spark: SparkSession, path: str, round: int | None = None) -> Data
     return models if round is None else models.where(F.col("round") == round)
 
 
-def write_metrics(metrics: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
+def write_metrics(metrics: DataFrame, path: str = METRICS_PATH, config: dict[str, str] | None = None) -> None:
     """One JSON document per run: timestamp, configuration, ordered rounds, summary."""
     names = [f.split()[0] for f in ROUND_FIELDS.split(", ")]
     rounds = metrics.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rounds"))
@@ -65,7 +70,7 @@ def _fields() -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in ROUND_FIELDS.split(", "))
 
 
-def write_privacy_report(recorded: DataFrame, path: str) -> None:
+def write_privacy_report(recorded: DataFrame, path: str = PRIVACY_PATH) -> None:
     """Recorded rounds and their tradeoff as one JSON document."""
     names = ["round", "epsilon", "accuracy", "privacy_spent", "noise_magnitude"]
     rounds = recorded.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("metrics"))
