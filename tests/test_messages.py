@@ -122,6 +122,19 @@ def test_what_uses_up_a_counter(spark):
     ]
 
 
+def test_packages_without_payload_or_json(spark):
+    """What decrypts to JSON uses up its counter even if nothing in it is authentic; other text does not."""
+    keys = key_table(spark, ["b"])
+    rows = [(0, "b", 3, "not json"), (1, "b", 3, "{}"), (2, "b", 3, '{"payload":"x"}'), (3, "b", 4, '{"payload":"x","digest":"y"}')]
+    df = spark.createDataFrame(rows, "seq bigint, client_id string, counter bigint, text string")
+    sealed = df.join(keys, "client_id").withColumn("sealed", s.seal(F.col("text"), F.col("session_key"), s.aad()))
+    sealed = materialize(sealed.drop("text", "session_key", "tag_key"), "odd")
+    got = msg.admit(sealed, keys.select("client_id"), keys)
+    assert [r.status for r in got.orderBy("seq").collect()] == [
+        "decryption_failed", "invalid_signature", "replay_detected", "invalid_signature",
+    ]
+
+
 def test_registering_again_restarts_the_counter(spark):
     registry = spark.createDataFrame([("a", 1, "k1", 40), ("b", 2, "k2", 7)], "client_id string, seq bigint, public_key string, last_counter bigint")
     new = spark.createDataFrame([("a", 5, "k5"), ("a", 4, "k4"), ("c", 6, "k6")], "client_id string, seq bigint, public_key string")

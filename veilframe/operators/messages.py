@@ -113,11 +113,19 @@ def seal_messages(
 
 
 def open_messages(keyed: DataFrame) -> DataFrame:
-    """Adds ``payload`` (NULL when the message cannot be opened) and ``authentic`` to keyed messages."""
-    opened = keyed.withColumn("_p", F.from_json(unseal(F.col("sealed"), F.col("_key"), aad()), PACKAGE))
+    """Adds ``payload``, ``opened`` and ``authentic`` to keyed messages.
+
+    A message is opened when it decrypts to JSON; a package without payload is opened but not authentic.
+    """
+    opened = keyed.withColumn("_text", unseal(F.col("sealed"), F.col("_key"), aad()))
+    opened = opened.withColumn("_p", F.from_json("_text", PACKAGE))
+    is_json = F.when(F.col("_p.payload").isNotNull(), True).otherwise(F.get_json_object("_text", "$").isNotNull())
     return opened.select(
-        "*", F.col("_p.payload").alias("payload"), verified("_p", F.col("_inner"), F.col("_outer")).alias("authentic")
-    ).drop("_p")
+        "*",
+        F.col("_p.payload").alias("payload"),
+        is_json.alias("opened"),
+        verified("_p", F.col("_inner"), F.col("_outer")).alias("authentic"),
+    ).drop("_p", "_text")
 
 
 def verified(package: str, inner: Column, outer: Column) -> Column:
@@ -134,7 +142,7 @@ def verify_digest(df: DataFrame, payload: str, expected: str, name: str = "intac
 
 def decide(opened: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """``status`` of opened messages: the first failing check, or 'ok'."""
-    has_key, is_open = F.col("_key").isNotNull(), F.col("payload").isNotNull()
+    has_key, is_open = F.col("_key").isNotNull(), F.col("opened")
     judged = last_counter(opened, F.col("_registered") & has_key & is_open, hot_rows)
     checks = [
         ~F.col("_registered"),
@@ -153,7 +161,7 @@ def admit(messages: DataFrame, registry: DataFrame, keys: DataFrame, hot_rows: i
     """Messages with their ``status`` and, when accepted, their payload. ``start_counter`` may carry earlier state."""
     judged = decide(open_messages(with_keys(messages, registry, keys)), hot_rows)
     accepted = F.when(F.col("status") == "ok", F.col("payload"))
-    hidden = {"_key", "_inner", "_outer", "_registered", "sealed", "payload", "authentic"}
+    hidden = {"_key", "_inner", "_outer", "_registered", "sealed", "payload", "opened", "authentic"}
     return judged.select(*[c for c in judged.columns if c not in hidden], accepted.alias("payload"))
 
 

@@ -13,7 +13,7 @@ from veilframe.functions.numeric import UNROLL, dot, linear, literal_array, sigm
 from veilframe.operators.index import row_hash
 from veilframe.operators.prep import feature_columns
 from veilframe.skew import attach, union_all
-from veilframe.storage import materialize
+from veilframe.storage import materialize, materialize_counted
 
 MARGINS = 4_000_000  # scores held at once while evaluating many models
 
@@ -228,10 +228,10 @@ def evaluate_clients(
     Each task multiplies its Arrow batches with a matrix of models and keeps one hit counter per model, so rows and
     models never meet as joined pairs. Models are shipped in hash blocks of about ``block_bytes``, one pass each.
     """
-    arrays = materialize(client_arrays(client_models, client), "models")
+    arrays, n_models = materialize_counted(client_arrays(client_models, client), "models")
     d = arrays.select(F.size("_w")).first()[0]
     per_block = max(1, block_bytes // (8 * (d + 1)))
-    blocks = -(-arrays.count() // per_block)
+    blocks = -(-n_models // per_block)
     x = F.col(array_col) if array_col else F.array(*feature_columns(test))
     rows = test.select(x.cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
     kind = client_models.schema[client].dataType.simpleString()

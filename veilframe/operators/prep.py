@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from veilframe.operators.index import global_index, hash_assign, hash_counts, row_hash
 from veilframe.skew import BROADCAST_ROWS, attach
-from veilframe.storage import materialize
+from veilframe.storage import materialize_counted
 
 # Candidate columns of the census income table and its missing-value marker.
 NUMERIC_CANDIDATES = ["age", "capital-gain", "capital-loss", "hours-per-week", "educational-num", "education-num"]
@@ -63,8 +63,8 @@ def onehot_fit(df: DataFrame, categorical: Sequence[str], offset: int = 0) -> Da
         *[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), _c(c).cast("string").alias("level")) for i, c in enumerate(categorical)]
     )
     levels = df.select(F.explode(pairs).alias("p")).select("p.*").where("level IS NOT NULL").distinct()
-    levels = materialize(levels, "levels")
-    if levels.count() <= BROADCAST_ROWS:
+    levels, n = materialize_counted(levels, "levels")
+    if n <= BROADCAST_ROWS:
         placed = levels.withColumn("position", F.row_number().over(W.orderBy("ord", "level")) - 1)
         kept = placed.withColumn("rank", F.row_number().over(W.partitionBy("ord").orderBy("level"))).where("rank > 1")
     else:

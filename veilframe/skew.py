@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilframe.storage import materialize
+from veilframe.storage import materialize, materialize_counted
 
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 2_000_000
@@ -25,10 +25,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_k
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if (counts.agg(F.max("n")).first()[0] or 0) <= hot_rows:
         return None
-    hot = materialize(counts.where(F.col("n") > hot_rows), "hot")
-    while hot.count() > max_keys:
+    hot, n = materialize_counted(counts.where(F.col("n") > hot_rows), "hot")
+    while n > max_keys:
         hot_rows *= 4
         hot = hot.where(F.col("n") > hot_rows)
+        n = hot.count()
     return hot
 
 
@@ -47,8 +48,8 @@ def attach(
     side is joined by shuffle for ordinary keys, while the rows of hot keys meet a broadcast of just their side rows.
     """
     keys = list(keys)
-    side = materialize(side, "side") if written else side
-    if side.count() <= max_rows:
+    side, n = materialize_counted(side, "side") if written else (side, side.count())
+    if n <= max_rows:
         return df.join(F.broadcast(side), keys, how)
     hot = hot_keys(df, keys, hot_rows, max_rows)
     if hot is None:
