@@ -34,9 +34,8 @@ def test_aggregations_combine_before_their_only_shuffle(spark):
 def test_a_training_step_is_one_shuffle_of_partial_sums(spark):
     samples = spark.range(100).selectExpr("id AS row_key", "CAST(id % 2 AS INT) AS y", "id % 3 AS client_id", "rand(1) AS f_0", "rand(2) AS f_1")
     step = md.local_gradient_step(samples, md.init_model(spark, 2))
-    assert "partial_avg" in plan(step) and "Python" not in plan(step) and "Join" not in plan(step)
-    # weights and bias reuse the same aggregate or repeat it; the rows themselves never move
-    assert shuffles(step) <= 2
+    assert "partial_sum" in plan(step) and "Python" not in plan(step) and "Join" not in plan(step)
+    assert shuffles(step) == 1 and plan(step).count("Range ") == 1
 
 
 def test_clipping_does_not_move_the_updates(spark):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLL = 256  # vectors up to this length become one expression per element
+UNROLL = 128  # vectors up to this length become one expression per element
 
 
 def fixed(col: Column | str, digits: int = 9) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,59 +67,50 @@ def local_gradient_step(
     client's own parameters.
     """
     w, b = model_vector(model)
-    if array_col is None:
-        wide, x = samples, None
-    elif len(w) <= UNROLL:
-        wide, x = as_wide(samples, array_col, len(w)), None
+    if array_col is None or len(w) > UNROLL:
+        rows, x = samples, array_col
     else:
-        wide, x = samples, array_col
+        rows, x = as_wide(samples, array_col, len(w)), None
     if x:
         shared = dot(literal_array(w), F.col(x)) + F.lit(b)
     else:
-        shared = linear(w, feature_columns(wide), b)
+        shared = linear(w, feature_columns(rows), b)
     start = [literal_array(w).alias("_w"), F.lit(float(b)).alias("_b")]
-    out = _step(wide, shared, x, lr, l2, client, label, lambda stats: stats.select("*", *start))
+    totals = _error_sums(rows, shared, x, client, label)
+    out = _move(totals.select("*", *start), lr, l2, client)
     for _ in range(steps - 1):
         own = materialize(client_arrays(materialize(out, "local"), client), "arrays")
-        rows = attach(wide, own, [client])
-        margin = dot(F.col("_w"), F.col(x) if x else F.array(*feature_columns(wide))) + F.col("_b")
-        out = _step(rows, margin, x, lr, l2, client, label, lambda stats, own=own: attach(stats, own, [client]))
+        features = F.col(x) if x else F.array(*feature_columns(rows))
+        totals = _error_sums(attach(rows, own, [client]), dot(F.col("_w"), features) + F.col("_b"), x, client, label)
+        out = _move(attach(totals, own, [client]), lr, l2, client)
     return out
 
 
-def _step(
-    rows: DataFrame,
-    margin: Column,
-    x: str | None,
-    lr: float,
-    l2: float,
-    client: str,
-    label: str,
-    with_start: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Average gradient per client, applied to the parameters that ``with_start`` adds as ``_w`` and ``_b``."""
+def _error_sums(rows: DataFrame, margin: Column, x: str | None, client: str, label: str) -> DataFrame:
+    """Per client the row count, the summed error ``_gb`` and the error-weighted feature sums ``_g``."""
     rows = rows.withColumn("_err", sigmoid(margin) - F.col(label))
-    totals = [F.avg("_err").alias("_gb"), F.count(F.lit(1)).alias("num_samples")]
-    if x is None:
-        grads = F.expr(f"array({', '.join(f'avg(_err * {c})' for c in feature_columns(rows))})")
-        stats = with_start(rows.groupBy(client).agg(*totals, grads.alias("_g")))
-        weights = stats.select(client, "num_samples", F.posexplode(F.arrays_zip("_w", "_g")).alias("idx", "e")).select(
-            client, "idx", F.col("e._w").alias("w"), F.col("e._g").alias("g"), "num_samples"
-        )
+    features = [] if x else feature_columns(rows)
+    if x or len(features) > UNROLL:
+        values = F.transform(F.col(x) if x else F.array(*features), lambda v: v.cast("double") * F.col("_err"))
+        grads = vector_to_array(Summarizer.sum(array_to_vector(values)))
     else:
-        stats = materialize(with_start(rows.groupBy(client).agg(*totals)), "stats")
-        grads = (
-            rows.select(client, "_err", F.posexplode(x).alias("idx", "v"))
-            .groupBy(client, "idx")
-            .agg(F.avg(F.col("_err") * F.col("v")).alias("g"))
-        )
-        weights = attach(grads, stats, [client]).select(
-            client, "idx", F.get("_w", F.col("idx")).alias("w"), "g", "num_samples"
-        )
-    new_w = F.col("w") * F.lit(1.0 - lr * l2) - F.lit(lr) * F.col("g")
-    new_b = F.col("_b") - F.lit(lr) * F.col("_gb")
-    return weights.select(client, F.lit("W").alias("param"), "idx", new_w.alias("value"), "num_samples").unionByName(
-        stats.select(client, F.lit("b").alias("param"), F.lit(0).alias("idx"), new_b.alias("value"), "num_samples")
+        grads = F.expr(f"array({', '.join(f'sum(_err * {c})' for c in features)})")
+    return rows.groupBy(client).agg(F.sum("_err").alias("_gb"), F.count(F.lit(1)).alias("num_samples"), grads.alias("_g"))
+
+
+def _move(totals: DataFrame, lr: float, l2: float, client: str) -> DataFrame:
+    """One gradient step from ``_w`` and ``_b``, as long updates; the bias is not penalised."""
+    n, rate = F.col("num_samples"), F.lit(lr)
+    weights = F.zip_with("_w", "_g", lambda w, g: w * F.lit(1.0 - lr * l2) - rate * (g / n))
+    params = F.concat(weights, F.array(F.col("_b") - rate * (F.col("_gb") / n)))
+    long = totals.select(client, "num_samples", F.size("_w").alias("_d"), F.posexplode(params).alias("_at", "value"))
+    is_weight = F.col("_at") < F.col("_d")
+    return long.select(
+        client,
+        F.when(is_weight, "W").otherwise("b").alias("param"),
+        F.when(is_weight, F.col("_at")).otherwise(0).alias("idx"),
+        "value",
+        "num_samples",
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,9 +136,12 @@ def stratified_split(
 
 def scale_fit(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column, in one pass; a constant column gets divisor 1."""
-    aggs = [a for c in cols for a in (F.avg(_c(c)), F.stddev_pop(_c(c)))]
-    row = train.agg(*aggs).first()
-    return {c: (row[2 * i], row[2 * i + 1] or 1.0) for i, c in enumerate(cols)}
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.array(*[_c(c).cast("double") for c in cols])))
+    row = train.agg(summary.alias("s")).first().s
+    if not row["count"]:
+        raise ValueError("no rows to fit the scaling on")
+    shrink = (row["count"] - 1) / row["count"]  # from the sample to the population variance
+    return {c: (float(m), math.sqrt(v * shrink) or 1.0) for c, m, v in zip(cols, row["mean"], row["variance"], strict=True)}
 
 
 def scale_transform(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
