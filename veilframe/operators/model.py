@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,17 +143,23 @@ def local_sgd_epoch(
     w, b = model_vector(model)
     start = np.array([*w, b])
     features = feature_columns(samples)
-    rows = samples.select(client, key, label, F.array(*features).alias("x"))
     sizes = samples.groupBy(client).agg(F.count(F.lit(1)).alias("num_samples"))
     shards = F.ceil(F.col("num_samples") / F.lit(max_shard_rows))
-    rows = attach(rows, sizes.withColumn("_shards", shards), [client])
-    rows = rows.withColumn("_hash", row_hash(seed, key)).withColumn(
-        "_shard", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint") % F.col("_shards")
+    rows = attach(samples.select(client, key, label, *features), sizes.withColumn("_shards", shards), [client])
+    rows = rows.withColumn("_hash", row_hash(seed, key)).select(
+        client,
+        label,
+        *features,
+        "num_samples",
+        (_hash_part(1, 8) % F.col("_shards")).alias("_shard"),
+        _hash_part(1, 15).alias("_high"),
+        _hash_part(16, 15).alias("_low"),
     )
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_hash", key])
-        params = sgd_pass(start, np.stack(pdf["x"].to_numpy()), pdf[label].to_numpy(dtype=float), lr, l2)
+        order = np.lexsort((pdf["_low"], pdf["_high"]))
+        x, y = pdf[features].to_numpy(dtype=float)[order], pdf[label].to_numpy(dtype=float)[order]
+        params = sgd_pass(start, np.ascontiguousarray(x), y, lr, l2)
         return pd.DataFrame(
             {
                 client: pdf[client].iloc[0],
@@ -181,15 +188,27 @@ def local_sgd_epoch(
     )
 
 
+def _hash_part(start: int, digits: int) -> Column:
+    return F.conv(F.substring("_hash", start, digits), 16, 10).cast("bigint")
+
+
 def sgd_pass(params: np.ndarray, x: np.ndarray, y: np.ndarray, lr: float, l2: float) -> np.ndarray:
-    """Constant-rate logistic SGD over the rows in order; the last parameter is the unpenalised bias."""
-    w, b = params[:-1].copy(), params[-1]
-    for row, target in zip(x, y, strict=True):
-        error = 1.0 / (1.0 + np.exp(-(row @ w + b))) - target
-        w *= 1.0 - lr * l2
-        w -= lr * error * row
+    """Constant-rate logistic SGD over the rows in order; the last parameter is the unpenalised bias.
+
+    Weights are kept as ``scale * v`` so that the penalty is one multiplication per row.
+    """
+    v, b, scale, shrink = params[:-1].copy(), float(params[-1]), 1.0, 1.0 - lr * l2
+    for row, target in zip(x, y.tolist(), strict=True):
+        margin = scale * float(row.dot(v)) + b
+        small = math.exp(-abs(margin))
+        error = (1.0 if margin >= 0 else small) / (1.0 + small) - target
+        scale *= shrink
+        v -= (lr * error / scale) * row
         b -= lr * error
-    return np.append(w, b)
+        if scale < 1e-6:
+            v *= scale
+            scale = 1.0
+    return np.append(v * scale, b)
 
 
 def predict(samples: DataFrame, model: DataFrame, array_col: str | None = None, name: str = "prediction") -> DataFrame:
