@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import token_shards as ts
+from veilframe.llm import warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,8 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = ts.write_token_shards(table(spark, sf_dir, "documents"), path, end_id=1)
     return ts.read_token_shards(manifest)
+
+
+@query()
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"))).drop("url", "archive")

@@ -228,7 +228,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         if out is None:
             fs, path = filesystem(uri)
             fs.create_dir(folder if "://" not in folder else filesystem(folder)[1], recursive=True)
-            out = fs.open_output_stream(path, buffer_size=1 << 20)
+            out = fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
             out.write(MAGIC)
         texts = batch.column(1).to_pylist()
         for at in range(0, len(texts), 256):
