@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilframe.llm import decontaminate as dc
 from veilframe.llm import token_shards as ts
 from veilframe.llm import warc
 
@@ -38,3 +40,30 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"))).drop("url", "archive")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    starts AS (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, l, list_slice(w, s, s + l - 1) AS win FROM starts),
+    lens AS (SELECT DISTINCT l FROM bw),
+    places AS (SELECT u, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, lens WHERE len(w) >= l),
+    dw AS (SELECT u, l, s, list_slice(w, s, s + l - 1) AS win FROM places),
+    hits AS (SELECT u, s, dw.l, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win),
+    covered AS (SELECT u, unnest(range(s, s + l)) AS p FROM hits),
+    n AS (SELECT u, count(DISTINCT p) AS n_hit FROM covered GROUP BY u),
+    ids AS (SELECT DISTINCT u, CAST(item_id AS VARCHAR) AS id FROM hits),
+    i AS (SELECT u, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM ids GROUP BY u)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (u) LEFT JOIN i USING (u)
+    """
+)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dc.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
