@@ -1,8 +1,8 @@
 """WARC archives whose records are compressed one by one with a shared Zstandard dictionary.
 
 A file is a skippable frame (magic 0x184D2A5D) holding the dictionary, then one Zstandard frame per record, so any reader
-that knows the convention opens it and any record can be read alone from its offset. The dictionary is trained on a bounded sample of the
-records that are archived (``DICTIONARY_PAGES`` pages, the first ``DICTIONARY_BYTES`` of each).
+that knows the convention opens it and any record can be read alone from its offset. The dictionary is trained on a bounded
+sample of the records that are archived (about ``DICTIONARY_PAGES`` pages, the first ``DICTIONARY_BYTES`` of each).
 
 Records with equal payloads are stored once: the one with the largest page id is the response, the others are revisit
 records that carry the HTTP head and point to it. Payloads shorter than ``min_revisit_bytes`` are always stored.
@@ -110,7 +110,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, key: str = "page_id"
     folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "sha1": F.sha1("body")})
-    sample = rows.orderBy(F.xxhash64("k", "uid")).limit(DICTIONARY_PAGES).select(F.substring("body", 1, DICTIONARY_BYTES).alias("body"), "url", "size", "sha1")
+    # each row is drawn by its hash with the same chance, so about DICTIONARY_PAGES rows come to the driver at any size
+    chance = min(1.0, DICTIONARY_PAGES / max(1, pages.count()))
+    drawn = rows.where(F.xxhash64("k", "uid") <= int((chance * 2 - 1) * ((1 << 63) - 1)))
+    sample = drawn.select(F.substring("body", 1, DICTIONARY_BYTES).alias("body"), "url", "size", "sha1")
     samples = [record(i, r.url, bytes(r.body), r.size, base64.b32encode(bytes.fromhex(r.sha1)).decode(), None, False, date) for i, r in enumerate(sample.collect())]
     dictionary = train_dictionary(samples)
     groups = rows.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", "uid")).alias("kept")).where("n > 1")
