@@ -27,3 +27,8 @@ def lower_ascii(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Lower-cased words in order; none for null."""
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+
+
+def hash_draw(chance: float, *columns: str) -> Column:
+    """True for a row with the given chance, decided by the hash of its columns."""
+    return F.xxhash64(*columns) <= min((1 << 63) - 1, int((chance * 2 - 1) * float(1 << 63)))

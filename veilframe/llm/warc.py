@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.text import hash_draw
 from veilframe.storage import materialize, new_path
 
 DICTIONARY_FRAME = (0x184D2A5D).to_bytes(4, "little")
@@ -112,7 +113,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, key: str = "page_id"
     rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "sha1": F.sha1("body")})
     # each row is drawn by its hash with the same chance, so about DICTIONARY_PAGES rows come to the driver at any size
     chance = min(1.0, DICTIONARY_PAGES / max(1, pages.count()))
-    drawn = rows.where(F.xxhash64("k", "uid") <= int((chance * 2 - 1) * ((1 << 63) - 1)))
+    drawn = rows.where(hash_draw(chance, "k", "uid"))
     sample = drawn.select(F.substring("body", 1, DICTIONARY_BYTES).alias("body"), "url", "size", "sha1")
     samples = [record(i, r.url, bytes(r.body), r.size, base64.b32encode(bytes.fromhex(r.sha1)).decode(), None, False, date) for i, r in enumerate(sample.collect())]
     dictionary = train_dictionary(samples)
