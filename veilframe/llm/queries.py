@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
 from veilframe.llm import quality
 from veilframe.llm import token_shards as ts
@@ -76,3 +77,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dm.near_duplicates(table(spark, sf_dir, "documents"))
