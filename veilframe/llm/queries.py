@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
+from veilframe.llm import line_dedup as ld
 from veilframe.llm import quality
 from veilframe.llm import token_shards as ts
 from veilframe.llm import warc
@@ -82,3 +83,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dm.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS u, doc_id, text FROM documents),
+    e AS (SELECT u, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM d),
+    f AS (SELECT u, line, nr, row_number() OVER (PARTITION BY u ORDER BY nr) AS j, row_number() OVER (ORDER BY u, nr) AS p
+          FROM e WHERE trim(line, ' ') <> ''),
+    w AS (SELECT a.u, a.j, a.p, a.line AS x, b.line AS y FROM f a JOIN f b ON a.u = b.u AND b.j = a.j + 1),
+    later2 AS (SELECT u, j FROM (SELECT u, j, p, min(p) OVER (PARTITION BY x, y) AS o FROM w) WHERE p > o),
+    later1 AS (SELECT u, j FROM (SELECT u, j, p, line, min(p) OVER (PARTITION BY line) AS o FROM f) WHERE p > o AND length(line) >= 20),
+    gone AS (SELECT u, j FROM later2 UNION SELECT u, j + 1 FROM later2 UNION SELECT u, j FROM later1),
+    marked AS (SELECT e.u, e.nr, e.line, f.j, g.u IS NOT NULL AS gone FROM e LEFT JOIN f ON e.u = f.u AND e.nr = f.nr LEFT JOIN gone g ON f.u = g.u AND f.j = g.j),
+    texts AS (SELECT u, count(j) AS n_lines, count(*) FILTER (gone) AS n_deleted, string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone) AS text FROM marked GROUP BY u)
+    SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+           CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted
+    FROM d LEFT JOIN texts t USING (u)
+    """
+)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ld.dedup_lines(docs, report=True).drop("longest_repeat")
