@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
 from veilframe.llm import line_dedup as ld
-from veilframe.llm import quality
+from veilframe.llm import packing, quality
 from veilframe.llm import token_shards as ts
 from veilframe.llm import warc
 
@@ -105,3 +105,8 @@ def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ld.dedup_lines(docs, report=True).drop("longest_repeat")
+
+
+@query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
