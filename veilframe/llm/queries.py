@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
+from veilframe.llm import hnsw
 from veilframe.llm import line_dedup as ld
 from veilframe.llm import packing, quality
 from veilframe.llm import token_shards as ts
@@ -110,3 +111,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = hnsw.build_index(vectors, k=5)
+    return hnsw.search(index, vectors.where("vec_id % 50 = 0"), k=5)
