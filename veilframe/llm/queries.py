@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
 from veilframe.llm import hnsw
+from veilframe.llm import licenses
 from veilframe.llm import line_dedup as ld
 from veilframe.llm import packing, quality
 from veilframe.llm import token_shards as ts
@@ -118,3 +119,10 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     index = hnsw.build_index(vectors, k=5)
     return hnsw.search(index, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query()
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = licenses.train(licenses.training_rows(spark, docs))
+    return licenses.scan(docs, classifier).withColumn("families", F.concat_ws(",", "families"))
