@@ -13,7 +13,7 @@ from veilframe.llm import decontaminate as dc
 from veilframe.llm import hnsw
 from veilframe.llm import licenses
 from veilframe.llm import line_dedup as ld
-from veilframe.llm import packing, quality
+from veilframe.llm import packing, quality, secrets
 from veilframe.llm import token_shards as ts
 from veilframe.llm import warc
 
@@ -126,3 +126,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = licenses.train(licenses.training_rows(spark, docs))
     return licenses.scan(docs, classifier).withColumn("families", F.concat_ws(",", "families"))
+
+
+@query()
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    letters = secrets.learn_letters(docs)
+    model = secrets.train(secrets.labelled_findings(spark), letters)
+    found = secrets.find_secrets(docs, letters, model)
+    return found.select("doc_id", "nr", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability")
