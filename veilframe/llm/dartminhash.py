@@ -12,9 +12,11 @@ The stages:
 1. one pass over the texts: fingerprint of the shingle set and band values (written, about 300 bytes a document);
 2. documents with equal fingerprints are copies: their smallest (doc_id, place) stands for them from here on;
 3. buckets with several documents; of buckets with the same documents one is kept;
-4. members of a bucket are compared exactly. A bucket is cut into blocks of at most ``BLOCK`` members and ``BLOCK_BYTES`` of
-   shingles, and every two blocks meet in a task of their own, so no task holds more than two blocks however large the
-   bucket; a task returns a spanning forest of the links it found, never the pairs;
+4. documents that buckets connect are compared exactly, all pairs of a connected group or, in very large groups, of a
+   bucket. Groups are cut into blocks of about ``BLOCK`` members and ``BLOCK_BYTES`` of shingles, and every two blocks meet in a
+   task's group of their own, so no task holds more than two blocks however large the group; a task returns a spanning
+   forest of the links it found, never the pairs. Shingles are taken from the texts again, where up to ``BROADCAST_ROWS`` placements
+   are broadcast and more are joined by shuffle;
 5. connected components of the links are the classes.
 
 Rows are told apart by their place in the input, so ``docs`` must be a table scan (or another frame that yields the same
@@ -36,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.storage import materialize
+from veilframe.storage import materialize, materialize_counted
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 K = BANDS * ROWS
-BLOCK, BLOCK_BYTES = 256, 1 << 24
+BLOCK, BLOCK_BYTES, TOGETHER, BROADCAST_ROWS = 256, 1 << 24, 8, 1_000_000
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A-Z to lower case, all other ASCII but letters and digits to blanks.
@@ -149,11 +151,18 @@ def _sign(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Reco
 
 
 def _sets(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
+    """(bucket, i, j, u, t) -> (bucket, i, j, u, set, counts); the rows of one text follow each other."""
+    last, found = None, None
     for batch in batches:
-        sets = [np.unique(shingles(t), return_counts=True) for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array([s.tobytes() for s, _ in sets], pa.binary())]
-        columns.append(pa.array([c.astype("<u4").tobytes() if weighted else None for _, c in sets], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, ["u", "set", "counts"])
+        for at in range(0, batch.num_rows, 128):
+            part, rows = batch.slice(at, 128), []
+            for u, t in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
+                if u != last:
+                    s, c = np.unique(shingles(t), return_counts=True)
+                    last, found = u, (s.tobytes(), c.astype("<u4").tobytes() if weighted else None)
+                rows.append(found)
+            columns = [pa.array(x, pa.binary()) for x in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], ["bucket", "i", "j", "u", "set", "counts"])
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -217,6 +226,38 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
+def _blocks(members, load):
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(load * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _members(in_bands: DataFrame) -> DataFrame:
+    """(bucket, blocks, lead, u, n): members of buckets with several documents, one of the buckets with the same ones."""
+    marks = [F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y")]
+    groups = in_bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("load"), F.min("u").alias("lead"), *marks)
+    kept = groups.where("m > 1").groupBy("m", "load", "lead", "x", "y").agg(F.min(F.struct("band", "value")).alias("at"))
+    kept = kept.select("at.band", "at.value", "lead", _blocks(F.col("m"), F.col("load")).alias("blocks"))
+    found = in_bands.join(kept, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "blocks", "lead", "u", "n")
+    return materialize(found, "members")
+
+
+def _placements(members: DataFrame) -> DataFrame:
+    """(u, bucket, i, j): the pairs of blocks that a document is compared in.
+
+    Documents that buckets connect are compared all together, so that each is sent once and not once per bucket. Where more
+    than ``TOGETHER`` blocks are connected, which chance meetings can make of many groups, comparisons stay within buckets.
+    """
+    roots = components(members.select(F.col("lead").alias("a"), F.col("u").alias("b")))
+    nodes = members.groupBy("u").agg(F.max("n").alias("n")).join(roots.withColumnRenamed("node", "u"), "u")
+    sizes = nodes.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("all_blocks"))
+    rooted = materialize(nodes.join(sizes, "root"), "rooted")
+    together = rooted.where(F.col("all_blocks") <= TOGETHER).select(F.col("root").alias("bucket"), F.col("all_blocks").alias("blocks"), "u")
+    apart = members.join(rooted.where(F.col("all_blocks") > TOGETHER).select("u"), "u", "left_semi").select("bucket", "blocks", "u")
+    both = together.unionByName(apart)
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    every = both.select("bucket", "u", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return every.select("u", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def _classes(docs: DataFrame, key: str, text: str, least: float, weighted: bool) -> DataFrame:
     """(u, id, class, kept): every row's class id and whether it is the row that stands for its class."""
     spark = docs.sparkSession
@@ -227,19 +268,12 @@ def _classes(docs: DataFrame, key: str, text: str, least: float, weighted: bool)
     copies = signed.groupBy("print").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.max_by("bands", "u").alias("bands"))
     texts_with = copies.where("n > 0").select(F.col("first.u").alias("u"), "n", F.posexplode("bands").alias("band", "value"))
     in_bands = materialize(texts_with, "bands")
-    mark = F.bit_xor(F.xxhash64("u"))
-    groups = in_bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("load"), mark.alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y"))
-    kept = groups.where("m > 1").groupBy("m", "load", "x", "y").agg(F.min(F.struct("band", "value")).alias("bucket"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("load") * 8 / BLOCK_BYTES)).cast("int")
-    kept = kept.select("bucket.band", "bucket.value", blocks.alias("blocks"))
-    members = in_bands.select("band", "value", "u").join(kept, ["band", "value"])
-    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
-    members = members.select("band", "value", "u", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = materialize(members.select(F.xxhash64("band", "value").alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u"), "members")
-    wanted = members.select("u").distinct()
-    sets = texts.join(wanted, "u", "left_semi").select("u", "t").mapInArrow(lambda it: _sets(it, weighted), "u long, set binary, counts binary")
+    members = _members(in_bands)
+    placed, rows = materialize_counted(_placements(members), "placements")
+    side = F.broadcast(placed) if rows <= BROADCAST_ROWS else placed
+    sets = texts.select("u", "t").join(side, "u").select("bucket", "i", "j", "u", "t").mapInArrow(lambda it: _sets(it, weighted), "bucket long, i int, j int, u long, set binary, counts binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = members.join(sets, "u").select("bucket", "i", "j", "u", "set", "counts").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    laid = sets.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = laid.mapInArrow(lambda it: _compare(it, least), "a long, b long")
     roots = components(links)
     named = copies.select("print", "first", F.col("first.u").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
