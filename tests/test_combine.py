@@ -117,7 +117,6 @@ def test_encrypted_mean_equals_plain_mean_when_one_group_is_hot(spark, monkeypat
     rng = np.random.default_rng(2)
     rows = [(1, f"c{i}", "W", 0 if i % 3 else int(rng.integers(40)), float(rng.normal()), int(rng.integers(1, 9))) for i in range(1500)]
     df = spark.createDataFrame(rows, UPDATE).repartition(5)
-    monkeypatch.setattr(enc, "FOLD_KEYS", 7)
     monkeypatch.setattr(enc, "OUT_ROWS", 3)
     got = enc.he_fedavg(enc.he_encrypt(df, "value", KEY.public, tasks=4), ELEMENT, KEY)
     want = {r.idx: r.value for r in cb.fedavg(df).collect()}

@@ -84,9 +84,9 @@ def test_sgd_shards_of_a_large_client_are_averaged_by_rows(spark, data, samples)
     import hashlib
 
     x, y, c = data
-    got = by_client(md.local_sgd_epoch(samples, model_of(spark, [0] * 4, 0), max_shard_rows=70), 4)
+    got = by_client(md.local_sgd_epoch(samples, model_of(spark, [0] * 4, 0), shards=4), 4)
     keys = np.flatnonzero(c == "c0")
-    n_shards = -(-len(keys) // 70)
+    n_shards = 4
     shards = {}
     for k in keys:
         shards.setdefault(int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:8], 16) % n_shards, []).append(k)

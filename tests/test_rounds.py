@@ -87,3 +87,17 @@ def test_private_rounds_are_repeatable_with_a_seed_and_accounted(train):
 def test_sgd_rounds_learn(train):
     result = run_rounds(train, train, RoundConfig(rounds=3, solver="sgd", lr=0.1, privacy=False))
     assert max(r.accuracy for r in result.metrics.collect()) > 0.9
+
+
+def test_the_median_of_ciphertexts_is_refused(train):
+    with pytest.raises(ValueError):
+        run_rounds(train, train, RoundConfig(how="median", key=generate_keypair(512, seed=3)))
+
+
+def test_a_run_goes_on_from_the_counters_of_the_registry(spark, train):
+    clients = ["c0", "c1", "c2"]
+    registry = spark.createDataFrame([("c0", 5), ("c1", -1), ("c2", None)], "client_id string, last_counter bigint")
+    result = run_rounds(train, train, RoundConfig(rounds=2, lr=LR, privacy=False), registry, key_table(spark, clients))
+    assert as_set(result.admissions, "round", "client_id", "counter", "status") == {
+        (r, c, r + (5 if c == "c0" else 0), "ok") for r in (1, 2) for c in clients
+    }

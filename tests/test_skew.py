@@ -85,6 +85,6 @@ def test_hash_assign_cuts_the_hash_order(rows, digits, chunk):
     data, df = rows
     df = df.select("seq", (F.col("seq") % 2).alias("y"))
     counts = hash_counts(df, 42, "seq", lead=["y"], digits=digits)
-    got = hash_assign(df, "seq", counts, lambda p: F.floor(p / F.lit(chunk)), "c", lead=["y"], digits=digits)
+    got = hash_assign(df, "seq", counts, lambda p: F.floor(p / F.lit(chunk)), "c", lead=["y"])
     order = df.select("seq", "y", row_hash(42, "seq").alias("h")).orderBy("y", "h").collect()
     assert as_set(got, "seq", "c") == {(r.seq, i // chunk) for i, r in enumerate(order)}

@@ -17,14 +17,18 @@ _DIGITS = 13  # hex digits per uniform = 52 bits
 
 
 def uniform(seed: int | str, keys: Sequence[str | Column], lane: int = 0) -> Column:
-    """Uniform in (0, 1) from ``sha256(seed:key:key...)``; lanes give independent draws for one row."""
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[_text(k) for k in keys]), 256)
+    """Uniform in (0, 1) from the sha256 of seed and keys; lanes give independent draws for one row.
+
+    Each part goes in as ``length:text,`` and NULL as ``-,``, so no two lists of keys spell the same text.
+    """
+    digest = F.sha2(F.concat(*[_text(k) for k in (F.lit(str(seed)), *keys)]), 256)
     part = F.substring(digest, 1 + _DIGITS * lane, _DIGITS)
     return (F.conv(part, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2 ** (4 * _DIGITS)))
 
 
 def _text(key: str | Column) -> Column:
-    return (F.col(key) if isinstance(key, str) else key).cast("string")
+    text = (F.col(key) if isinstance(key, str) else key).cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text, F.lit(",")), F.lit("-,"))
 
 
 def gaussian(scale: Column, seed: int | str, keys: Sequence[str | Column]) -> Column:

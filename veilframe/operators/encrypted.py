@@ -16,12 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from veilframe.functions.paillier import SCALE_BITS, Decryptor, Encryptor, PrivateKey, PublicKey
 
 CIPHER = T.StructType([T.StructField("ciphertext", T.StringType()), T.StructField("exponent", T.IntegerType())])
-FOLD_KEYS = 20_000  # partial products a task holds before it passes them on
 OUT_ROWS = 2_000
 
 
 def he_encrypt(df: DataFrame, col: str, key: PublicKey, name: str = "cipher", tasks: int | None = None) -> DataFrame:
-    """Replace ``col`` by its ciphertext. ``tasks`` spreads the rows first, as one value costs far more than moving it."""
+    """Replace ``col`` by its ciphertext; NULL and NaN stay without one. ``tasks`` spreads the rows first, as one value costs far more than moving it."""
     schema = _replace(df.schema, col, T.StructField(name, CIPHER))
     at = df.columns.index(col)
 
@@ -31,7 +30,7 @@ def he_encrypt(df: DataFrame, col: str, key: PublicKey, name: str = "cipher", ta
         for batch in batches:
             encryptor = encryptor or Encryptor(key)
             ciphers = [
-                None if v is None else {"ciphertext": str(encryptor.encrypt(v)), "exponent": -SCALE_BITS}
+                None if v is None or v != v else {"ciphertext": str(encryptor.encrypt(v)), "exponent": -SCALE_BITS}
                 for v in batch.column(at).to_pylist()
             ]
             columns = batch.columns
@@ -77,13 +76,14 @@ def he_weighted_sum(
 ) -> DataFrame:
     """``sum(weight * x)`` on ciphertexts, with the plain total weight: ``(by.., cipher, weight)``.
 
-    Each task first multiplies what it holds per group, so a group reaches the shuffle with a few rows per task
-    however many clients it has; the second fold walks sorted groups and keeps one product at a time. Its ``tasks`` (the
+    Only rows with a ciphertext and a weight of zero or more count. Each task first sorts what it holds and multiplies it
+    per group, so a group reaches the shuffle with one row per task however many clients or groups there are; the second
+    fold walks sorted groups too, and either keeps one product at a time. Its ``tasks`` (the
     session's shuffle partitions) are set outright: merging partitions that are small in bytes would pile up work.
     """
     by = list(by)
-    rows = df.select(*by, cipher, F.col(weight).cast("bigint").alias(weight)).where(F.col(cipher).isNotNull())
-    partial = rows.mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=True), rows.schema)
+    rows = df.select(*by, cipher, F.col(weight).cast("bigint").alias(weight)).where(F.col(cipher).isNotNull() & (F.col(weight) >= 0))
+    partial = rows.sortWithinPartitions(*by).mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=True), rows.schema)
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = partial.repartition(tasks, *by).sortWithinPartitions(*by)
     return grouped.mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=False), rows.schema)
@@ -106,8 +106,7 @@ def from_wire(text: str | Column) -> Column:
 
 
 def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool):
-    """Multiply ciphertexts of equal groups; sorted input keeps one open group, other input up to FOLD_KEYS."""
-    limit = FOLD_KEYS if raise_to_weight else 1
+    """Multiply ciphertexts of equal groups in sorted input, one open group at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, square = to_arrow_schema(schema), key.n * key.n
@@ -121,7 +120,7 @@ def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool
                     c = pow(c, weight, square)
                 held = open_groups.get(group)
                 if held is None:
-                    if len(open_groups) >= limit:
+                    if open_groups:
                         done.extend((*g, *h) for g, h in open_groups.items())
                         open_groups.clear()
                     open_groups[group] = [c, weight]

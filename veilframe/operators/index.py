@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,18 +12,26 @@ from pyspark.sql import Window as W
 from veilframe.skew import attach
 from veilframe.storage import materialize
 
+BUCKET_ROWS = 100_000
+
 
 def row_hash(seed: int, key: str | Column) -> Column:
-    """32 hex digits that place a row in a reproducible pseudo-random order."""
+    """32 hex digits that place a row in a reproducible pseudo-random order; rows with a NULL key share one place."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(""))))
+
+
+def _digits(counts: DataFrame) -> int:
+    return counts.agg(F.max(F.length("_bucket"))).first()[0] or 1
 
 
-def hash_counts(df: DataFrame, seed: int, key: str, by: Sequence[str] = (), lead: Sequence[str] = (), digits: int = 3) -> DataFrame:
+def hash_counts(df: DataFrame, seed: int, key: str, by: Sequence[str] = (), lead: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Rows per ``by``, ``lead`` and leading hash digits, with ``_start`` = rows of the group placed before.
 
-    The hash is uniform, so each of the 16^digits buckets holds an equal share of the rows however the keys look.
+    The hash is uniform, so each of the 16^digits buckets holds an equal share of the rows however the keys look. The digits
+    follow from the number of rows unless given: at most ``BUCKET_ROWS`` expected per bucket.
     """
+    digits = digits or max(3, math.ceil(math.log(max(1, df.count()) / BUCKET_ROWS, 16)))
     bucket = F.substring(row_hash(seed, key), 1, digits).alias("_bucket")
     counts = materialize(df.groupBy(*by, *lead, bucket).agg(F.count(F.lit(1)).alias("_n")), "buckets")
     before = W.partitionBy(*by).orderBy(*lead, "_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -35,7 +44,7 @@ def hash_index(
     seed: int = 42,
     by: Sequence[str] = (),
     lead: Sequence[str] = (),
-    digits: int = 3,
+    digits: int | None = None,
     name: str = "position",
     counts: DataFrame | None = None,
 ) -> DataFrame:
@@ -47,10 +56,10 @@ def hash_index(
     by, lead = list(by), list(lead)
     if counts is None:
         counts = hash_counts(df, seed, key, by, lead, digits)
-    rows = df.withColumn("_hash", row_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    rows = df.withColumn("_hash", row_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, _digits(counts)))
     inside = W.partitionBy(*by, *lead, "_bucket").orderBy("_hash", key)
     rows = rows.withColumn("_rank", F.row_number().over(inside))
-    placed = attach(rows, counts.drop("_n"), [*by, *lead, "_bucket"])
+    placed = attach(rows, counts.drop("_n"), [*by, *lead, "_bucket"], null_safe=True)
     return placed.select(*df.columns, (F.col("_start") + F.col("_rank") - 1).alias(name))
 
 
@@ -63,7 +72,6 @@ def hash_assign(
     seed: int = 42,
     by: Sequence[str] = (),
     lead: Sequence[str] = (),
-    digits: int = 3,
 ) -> DataFrame:
     """``assign(position)`` per row, for an ``assign`` that never goes back as the position grows.
 
@@ -73,8 +81,8 @@ def hash_assign(
     keys = [*by, *lead, "_bucket"]
     first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
     ends = counts.withColumn("_first", assign(first)).withColumn("_last", assign(last))
-    rows = df.withColumn("_hash", row_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, digits))
-    placed = attach(rows, ends, keys)
+    rows = df.withColumn("_hash", row_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, _digits(counts)))
+    placed = attach(rows, ends, keys, null_safe=True)
     whole = placed.where("_first = _last").select(*df.columns, F.col("_first").alias(name))
     inside = W.partitionBy(*keys).orderBy("_hash", key)
     cut = placed.where("_first <> _last").withColumn("_rank", F.row_number().over(inside))

@@ -81,8 +81,10 @@ def reject_replays(messages: DataFrame, advances: Column | None = None, hot_rows
 def with_keys(messages: DataFrame, registry: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds ``_registered``, ``_key`` and the tag pads from the registry and the key table.
 
-    ``keys`` holds ``(client_id, session_key binary, tag_key binary)``; both tables become one small row per client.
+    ``keys`` holds ``(client_id, session_key binary, tag_key binary)``; both tables become one small row per client. Of several
+    keys for a client the largest pair counts, so that a message always gets one verdict.
     """
+    keys = keys.groupBy("client_id").agg(F.max(F.struct("session_key", "tag_key")).alias("k")).select("client_id", "k.*")
     inner, outer = hmac_pads(F.col("tag_key"))
     known = registry.select("client_id").distinct().withColumn("_registered", F.lit(True))
     held = keys.select("client_id", F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
@@ -165,9 +167,12 @@ def admit(messages: DataFrame, registry: DataFrame, keys: DataFrame, hot_rows: i
     return judged.select(*[c for c in judged.columns if c not in hidden], accepted.alias("payload"))
 
 
-def extract_updates(admitted: DataFrame, keep: Sequence[str] = ("seq", "client_id")) -> DataFrame:
-    """Accepted payloads ``{model_params: {param: [values]}, num_samples}`` as long updates."""
-    body = F.from_json("payload", "num_samples bigint, model_params map<string, array<double>>")
+def extract_updates(admitted: DataFrame, keep: Sequence[str] = ("seq", "client_id"), element: str = "double") -> DataFrame:
+    """Accepted payloads ``{model_params: {param: [values]}, num_samples}`` as long updates.
+
+    ``element`` is the values' type: double, or string for ciphertexts in wire form.
+    """
+    body = F.from_json("payload", f"num_samples bigint, model_params map<string, array<{element}>>")
     rows = admitted.where("status = 'ok'").select(*keep, body.alias("u"))
     params = rows.select(*keep, F.coalesce("u.num_samples", F.lit(0)).alias("num_samples"), F.explode("u.model_params").alias("param", "x"))
     return params.select(*keep, "num_samples", "param", F.posexplode("x").alias("idx", "value"))

@@ -89,7 +89,8 @@ def local_gradient_step(
 
 def _error_sums(rows: DataFrame, margin: Column, x: str | None, client: str, label: str) -> DataFrame:
     """Per client the row count, the summed error ``_gb`` and the error-weighted feature sums ``_g``."""
-    rows = rows.withColumn("_err", sigmoid(margin) - F.col(label))
+    # a row with a NULL label or feature has no error: it is left out of the sums and the count, whatever the width
+    rows = rows.withColumn("_err", sigmoid(margin) - F.col(label)).where("_err IS NOT NULL")
     features = [] if x else feature_columns(rows)
     if x or len(features) > UNROLL:
         values = F.transform(F.col(x) if x else F.array(*features), lambda v: v.cast("double") * F.col("_err"))
@@ -131,27 +132,26 @@ def local_sgd_epoch(
     lr: float = 0.01,
     l2: float = 1e-4,
     seed: int = 42,
-    max_shard_rows: int = 200_000,
+    shards: int = 1,
     client: str = "client_id",
     label: str = "y",
 ) -> DataFrame:
     """One epoch of per-row SGD for each client, rows in hash order.
 
-    A client of at most ``max_shard_rows`` rows is one sequence. A larger one is cut by hash into shards that train
-    from the same start and are averaged by row count, so that no worker has to hold or walk a whole huge client.
+    Every client is cut by hash into ``shards`` sequences that train from the same start and are averaged by row count. With
+    1, the default, a client is one sequence in one task; choose more where a client does not fit a task.
     """
     w, b = model_vector(model)
     start = np.array([*w, b])
     features = feature_columns(samples)
     sizes = samples.groupBy(client).agg(F.count(F.lit(1)).alias("num_samples"))
-    shards = F.ceil(F.col("num_samples") / F.lit(max_shard_rows))
-    rows = attach(samples.select(client, key, label, *features), sizes.withColumn("_shards", shards), [client])
+    rows = attach(samples.select(client, key, label, *features), sizes, [client], null_safe=True)
     rows = rows.withColumn("_hash", row_hash(seed, key)).select(
         client,
         label,
         *features,
         "num_samples",
-        (_hash_part(1, 8) % F.col("_shards")).alias("_shard"),
+        (_hash_part(1, 8) % F.lit(shards)).alias("_shard"),
         _hash_part(1, 15).alias("_high"),
         _hash_part(16, 15).alias("_low"),
     )
@@ -241,6 +241,8 @@ def evaluate_clients(
     models never meet as joined pairs. Models are shipped in hash blocks of about ``block_bytes``, one pass each.
     """
     arrays, n_models = materialize_counted(client_arrays(client_models, client), "models")
+    if not n_models:
+        return arrays.select(client, F.lit(0.0).alias("accuracy"), F.lit(0).cast("bigint").alias("n_rows"))
     d = arrays.select(F.size("_w")).first()[0]
     per_block = max(1, block_bytes // (8 * (d + 1)))
     blocks = -(-n_models // per_block)

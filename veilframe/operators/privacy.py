@@ -40,7 +40,7 @@ def clip_factor(norm: Column, bound: float) -> Column:
 def clip_l2(updates: DataFrame, bound: float, value: str = "value", by: Sequence[str] = TENSOR) -> DataFrame:
     """Adds ``norm``, ``factor`` and ``clipped`` per element; every tensor is clipped on its own."""
     norms = l2_norm(updates, value, by).withColumn("factor", clip_factor(F.col("norm"), bound))
-    return attach(updates, norms, by).withColumn("clipped", F.col(value) * F.col("factor"))
+    return attach(updates, norms, by, null_safe=True).withColumn("clipped", F.col(value) * F.col("factor"))
 
 
 def clip_tensors(
@@ -165,21 +165,16 @@ def reset_budget(ledger: DataFrame) -> DataFrame:
 def set_budget(ledger: DataFrame, config: DataFrame, keys: Sequence[str] = (), value: str = "epsilon") -> DataFrame:
     """Replace ``value`` by the latest configured one with ``valid_from <= round``; earlier rounds keep their own.
 
-    ``config`` holds ``(keys.., valid_from, value)``. Its rows become disjoint intervals, so a step meets one of them.
+    ``config`` holds ``(keys.., valid_from, value)``. Each distinct round carries the last change at or before it, so
+    steps meet changes by equality and never by range.
     """
     keys = list(keys)
-    following = F.lead("valid_from").over(W.partitionBy(*keys).orderBy("valid_from"))
-    spans = config.select(*keys, "valid_from", following.alias("_until"), F.col(value).alias("_configured"))
-    rounds = ledger.select(*keys, "round").distinct()
-    inside = (F.col("valid_from") <= F.col("round")) & (F.col("_until").isNull() | (F.col("round") < F.col("_until")))
-    if keys:
-        same = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in keys]
-    else:
-        same = []
-    on = inside
-    for c in same:
-        on = on & c
-    lookup = rounds.alias("r").join(spans.alias("s"), on).select(*[f"r.{k}" for k in keys], "round", "_configured")
+    asked = ledger.select(*keys, F.col("round").alias("_at")).distinct()
+    changes = config.select(*keys, F.col("valid_from").alias("_at"), F.struct(F.col(value).alias("v")).alias("_set"))
+    # distinct rounds and changes only; a change goes before the round it is valid from
+    order = W.partitionBy(*keys).orderBy("_at", F.col("_set").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    known = asked.unionByName(changes, allowMissingColumns=True).withColumn("_last", F.last("_set", ignorenulls=True).over(order))
+    lookup = known.where(F.col("_set").isNull()).select(*keys, F.col("_at").alias("round"), F.col("_last.v").alias("_configured"))
     joined = attach(ledger, lookup, [*keys, "round"], "left")
     return joined.withColumn(value, F.coalesce("_configured", value)).drop("_configured").select(*ledger.columns)
 
@@ -191,16 +186,20 @@ def with_scale(ledger: DataFrame, sensitivity: float | Column = 1.0) -> DataFram
     )
 
 
-def privacy_report(ledger: DataFrame, sensitivity: float | Column = 1.0, tensors: int = 2) -> DataFrame:
+def privacy_report(ledger: DataFrame, sensitivity: float = 1.0, tensors: int = 2) -> DataFrame:
     """Per client: latest per-step budget, mechanism, scale and strength; totals of the latest epoch.
 
-    ``eps_basic_composition`` is the spend when each of ``tensors`` noised tensors is charged on its own.
+    ``eps_basic_composition`` is the spend when each noised tensor of a step is charged on its own. Sensitivity and tensors are
+    the ledger's; the arguments stand in where it has no such column.
     """
-    latest = F.max_by(F.struct("epsilon", "delta", "mechanism"), F.struct("epoch", "seq"))
-    totals = budget_totals(ledger).groupBy("client_id").agg(F.max(F.struct("epoch", "spent", "steps")).alias("t"))
-    per_client = ledger.groupBy("client_id").agg(latest.alias("l"))
-    report = per_client.join(totals, "client_id").select("client_id", "l.*", "t.spent", "t.steps")
-    return with_scale(report, sensitivity).select(
+    given = {"sensitivity": F.lit(float(sensitivity)), "tensors": F.lit(tensors)}
+    steps = ledger.withColumns({c: v for c, v in given.items() if c not in ledger.columns})
+    latest = F.max_by(F.struct("epsilon", "delta", "mechanism", "sensitivity"), F.col("seq"))
+    composed = F.sum(F.col("epsilon") * F.col("tensors")).alias("composed")
+    epochs = steps.groupBy("client_id", "epoch").agg(latest.alias("l"), F.sum("epsilon").alias("spent"), F.count(F.lit(1)).alias("steps"), composed)
+    report = epochs.groupBy("client_id").agg(F.max_by(F.struct("l", "spent", "steps", "composed"), "epoch").alias("t"))
+    report = report.select("client_id", "t.l.*", "t.spent", "t.steps", "t.composed")
+    return with_scale(report, F.col("sensitivity")).select(
         "client_id",
         F.col("epsilon").alias("epsilon_per_round"),
         F.col("spent").alias("total_privacy_spent"),
@@ -209,15 +208,17 @@ def privacy_report(ledger: DataFrame, sensitivity: float | Column = 1.0, tensors
         F.col("mechanism").alias("noise_mechanism"),
         F.col("scale").alias("noise_scale"),
         privacy_level(F.col("epsilon")).alias("privacy_level"),
-        (F.col("spent") * F.lit(float(tensors))).alias("eps_basic_composition"),
+        F.col("composed").alias("eps_basic_composition"),
     )
 
 
-def record_rounds(metrics: DataFrame, ledger: DataFrame, released: DataFrame, client: str | None = None) -> DataFrame:
+def record_rounds(
+    metrics: DataFrame, ledger: DataFrame, released: DataFrame, client: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Per round: budget, accuracy, spend of the representative client, mean absolute noise.
 
     ``metrics(round, accuracy)``, ``ledger`` and ``released(round, noise)``; the representative is the client with the
-    smallest id unless named.
+    smallest id unless named. ``by`` names further columns of ``metrics`` to keep, such as the run.
     """
     noise = released.groupBy("round").agg(F.avg(F.abs("noise")).alias("noise_magnitude"))
     if client is None:
@@ -225,10 +226,10 @@ def record_rounds(metrics: DataFrame, ledger: DataFrame, released: DataFrame, cl
     own = spent_so_far(ledger.where(F.col("client_id") == F.lit(client)))
     steps = own.groupBy("round").agg(F.max("epsilon").alias("epsilon"), F.max("spent").alias("privacy_spent"))
     return (
-        metrics.select("round", "accuracy")
+        metrics.select(*by, "round", "accuracy")
         .join(steps, "round", "left")
         .join(noise, "round", "left")
-        .select("round", "epsilon", "accuracy", "privacy_spent", F.coalesce("noise_magnitude", F.lit(0.0)).alias("noise_magnitude"))
+        .select(*by, "round", "epsilon", "accuracy", "privacy_spent", F.coalesce("noise_magnitude", F.lit(0.0)).alias("noise_magnitude"))
     )
 
 
@@ -238,7 +239,7 @@ def tradeoff(recorded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("rounds_executed"),
         F.min_by("accuracy", "round").alias("initial_accuracy"),
         F.max_by("accuracy", "round").alias("final_accuracy"),
-        F.max_by("privacy_spent", "round").alias("total_privacy_budget_spent"),
+        F.max_by("privacy_spent", F.when(F.col("privacy_spent").isNotNull(), F.col("round"))).alias("total_privacy_budget_spent"),
         F.avg("noise_magnitude").alias("avg_noise_magnitude"),
         F.max("noise_magnitude").alias("max_noise_magnitude"),
     )

@@ -89,9 +89,10 @@ FROM {events}
 
 ROUND_EVENTS = """
 SELECT ts, CAST(floor(event_id / 100) AS INT) AS round,
-       CASE WHEN event_id % 100 = 0 THEN 'round_start' ELSE 'round_complete' END AS kind
+       CASE WHEN event_id % 100 = 0 THEN 'round_start'
+            WHEN event_id % 100 = 99 AND event_id % 700 <> 699 THEN 'round_complete'
+            ELSE 'client_update' END AS kind
 FROM {events}
-WHERE event_id % 100 = 0 OR (event_id % 100 = 99 AND event_id % 700 <> 699)
 """
 
 LEDGER = """

@@ -120,7 +120,13 @@ def laplace(scale: str, text: str) -> str:
 
 
 def noise_text(seed: str) -> str:
-    return f"concat_ws(':', '{seed}', round, client_id, param, idx)"
+    return key_text(f"'{seed}'", "round", "client_id", "param", "idx")
+
+
+def key_text(*parts: str) -> str:
+    """Each part as ``length:text,`` and NULL as ``-,``."""
+    texts = [f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR) || ',', '-,')" for p in parts]
+    return " || ".join(texts)
 
 
 GAUSS_FACTOR = "sqrt(2.0e0 * ln(1.25e0 / 1.0e-5))"
@@ -133,7 +139,7 @@ FROM (SELECT *, sqrt(sum(delta * delta) OVER (PARTITION BY round, client_id, par
 
 
 def private_rounds(train: str, test: str, rounds: int, lr: float, clip: float, seed: int, epsilon: float = 10.0) -> str:
-    """Accuracy and bias of every round of private training from a zero model, one block of CTEs per round."""
+    """Accuracy and all parameters of every round of private training from a zero model, one block of CTEs per round."""
     d, l2 = N_FEATURES, 1e-4
     params = [f"p_{i}" for i in range(d)] + ["p_b"]
     scale = f"{GAUSS_FACTOR} * {clip}e0 / {epsilon}e0"
@@ -150,7 +156,7 @@ def private_rounds(train: str, test: str, rounds: int, lr: float, clip: float, s
 
         def sent(param: str, idx: int, delta: str, size: str, start: str, k: int = k) -> str:
             factor = f"CASE WHEN {size} > {clip} THEN {clip}e0 / {size} ELSE 1.0e0 END"
-            text = f"concat_ws(':', '{seed}:{k}', {k}, client_id, '{param}', {idx})"
+            text = key_text(f"'{seed}:{k}'", str(k), "client_id", f"'{param}'", str(idx))
             return f"sum(n * ({start} + {delta} * {factor} + {gaussian(scale, text)})) / sum(n)"
 
         mixed = ", ".join(
@@ -166,7 +172,8 @@ def private_rounds(train: str, test: str, rounds: int, lr: float, clip: float, s
         ]
     hit = f"avg(CASE WHEN ({margin_text} > 0) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END)"
     scores = " UNION ALL ".join(
-        f"SELECT {k} AS round, {r(hit)} AS accuracy, {r('max(p_b)', 7)} AS bias FROM te, m{k}" for k in range(1, rounds + 1)
+        f"SELECT {k} AS round, {r(hit)} AS accuracy, {', '.join(f'{r(f"max({p})", 7)} AS {p}' for p in params)} FROM te, m{k}"
+        for k in range(1, rounds + 1)
     )
     return f"WITH {', '.join(ctes)} {scores}"
 

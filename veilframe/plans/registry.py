@@ -89,10 +89,10 @@ _F6 = ", ".join(f"{o.r(c, 6)} AS {c}" for c in F_COLS)
 _TRAIN = f"(SELECT * FROM {o.SCALED} t WHERE split = 'train')"
 
 
-@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def source_samples(spark, sf_dir):
     schema = "c_custkey bigint, c_acctbal double, c_mktsegment string"
-    return tb.read_samples(spark, f"{sf_dir}/customer.parquet", schema).where("c_acctbal > 0")
+    return tb.read_samples(spark, f"{sf_dir}/customer.parquet", schema)
 
 
 @query(f"SELECT row_key, num_total, num_acctbal, cat_segment, cat_priority, y FROM {o.CLEAN} c")
@@ -263,14 +263,32 @@ def model_sgd_epoch(spark, sf_dir):
     return rounded(md.local_sgd_epoch(samples, md.init_model(spark, o.N_FEATURES)), 9, ["value"])
 
 
-@query(o.private_rounds(o.clients(_TRAIN, 3), f"(SELECT * FROM {o.SCALED} t WHERE split = 'test')", 3, 0.5, 0.3, SEED))
-def federated_rounds(spark, sf_dir):
+def private_rounds(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """Accuracy and parameters of three private rounds; ``sealed`` sends updates encrypted in sealed messages."""
     rows = materialize(scaled(spark, sf_dir), "samples")
     train = materialize(prep.assign_clients(rows.where("split = 'train'"), 3, "row_key", seed=SEED), "train")
     train = train.withColumn("client_id", F.col("client_id").cast("string"))
-    result = run_rounds(train, rows.where("split = 'test'"), RoundConfig(rounds=3, lr=0.5, clip=0.3, seed=SEED))
-    bias = result.models.where("param = 'b'").select("round", fixed("value", 7).alias("bias"))
-    return rounded(result.metrics.select("round", "accuracy").join(bias, "round"), 9, ["accuracy"])
+    config = RoundConfig(rounds=3, lr=0.5, clip=0.3, seed=SEED, key=more.get("key"))
+    parties = train.select("client_id").distinct()
+    known = (parties, fx.client_keys(parties)) if more.get("sealed") else ()
+    result = run_rounds(train, rows.where("split = 'test'"), config, *known)
+    name = F.when(F.col("param") == "b", "p_b").otherwise(F.concat(F.lit("p_"), F.col("idx").cast("string")))
+    params = [f"p_{i}" for i in range(o.N_FEATURES)] + ["p_b"]
+    wide = result.models.select("round", name.alias("name"), fixed("value", 7).alias("value")).groupBy("round").pivot("name", params).max("value")
+    return rounded(result.metrics.select("round", "accuracy").join(wide, "round"), 9, ["accuracy"])
+
+
+_ROUNDS = o.private_rounds(o.clients(_TRAIN, 3), f"(SELECT * FROM {o.SCALED} t WHERE split = 'test')", 3, 0.5, 0.3, SEED)
+
+
+@query(_ROUNDS)
+def federated_rounds(spark, sf_dir):
+    return private_rounds(spark, sf_dir)
+
+
+@query(_ROUNDS)
+def federated_rounds_encrypted(spark, sf_dir):
+    return private_rounds(spark, sf_dir, sealed=True, key=test_key())
 
 
 # ---- privacy ----
@@ -425,21 +443,20 @@ def dp_levels(spark, sf_dir):
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = mt.round_metrics(fx.view(spark, sf_dir, fx.MEASUREMENTS)).where("run = 'plaintext'")
+    metrics = mt.round_metrics(fx.view(spark, sf_dir, fx.MEASUREMENTS))
     noise = updates(spark, sf_dir).select("round", (F.col("value") - F.col("global_value")).alias("noise"))
-    return dp.record_rounds(metrics, ledger(spark, sf_dir), noise)
+    return dp.record_rounds(metrics, ledger(spark, sf_dir), noise, by=["run"])
 
 
 _RECORDED = f"""(
-SELECT m.round, l.epsilon, m.accuracy, l.spent AS privacy_spent, coalesce(n.noise_magnitude, 0) AS noise_magnitude
+SELECT m.run, m.round, l.epsilon, m.accuracy, l.spent AS privacy_spent, coalesce(n.noise_magnitude, 0) AS noise_magnitude
 FROM {o.METRICS} m
 LEFT JOIN (SELECT round, epsilon, sum(epsilon) OVER (PARTITION BY client_id, epoch ORDER BY seq) AS spent FROM {o.LEDGER} a
            WHERE client_id = (SELECT min(client_id) FROM {o.LEDGER} b)) l ON m.round = l.round
-LEFT JOIN (SELECT round, avg(abs(delta)) AS noise_magnitude FROM {o.DELTAS} d GROUP BY round) n ON m.round = n.round
-WHERE m.run = 'plaintext')"""
+LEFT JOIN (SELECT round, avg(abs(delta)) AS noise_magnitude FROM {o.DELTAS} d GROUP BY round) n ON m.round = n.round)"""
 
 
-_RECORDED9 = f"""SELECT round, epsilon, {o.r('accuracy')} AS accuracy, privacy_spent, {o.r('noise_magnitude')} AS noise_magnitude
+_RECORDED9 = f"""SELECT run, round, epsilon, {o.r('accuracy')} AS accuracy, privacy_spent, {o.r('noise_magnitude')} AS noise_magnitude
     FROM {_RECORDED} r"""
 
 
@@ -451,22 +468,22 @@ def dp_record_rounds(spark, sf_dir):
 @query(_RECORDED9)
 def dp_report_json(spark, sf_dir):
     path = new_path(spark, "privacy-report")
-    tb.write_privacy_report(recorded(spark, sf_dir), path)
-    return rounded(tb.read_privacy_report(spark, path), 9, ["accuracy", "noise_magnitude"])
+    tb.write_privacy_report(recorded(spark, sf_dir), path, "run")
+    return rounded(tb.read_privacy_report(spark, path, "run"), 9, ["accuracy", "noise_magnitude"])
 
 
 _FIRST, _LAST = "min_by(accuracy, round)", "max_by(accuracy, round)"
 
 
 @query(
-    f"""SELECT 'ok' AS status, count(*) AS rounds_executed, {o.r(_FIRST)} AS initial_accuracy, {o.r(_LAST)} AS final_accuracy,
+    f"""SELECT run, 'ok' AS status, count(*) AS rounds_executed, {o.r(_FIRST)} AS initial_accuracy, {o.r(_LAST)} AS final_accuracy,
     max_by(privacy_spent, round) AS total_privacy_budget_spent,
     {o.r('avg(noise_magnitude)')} AS avg_noise_magnitude, {o.r('max(noise_magnitude)')} AS max_noise_magnitude,
     {o.r(f'{_FIRST} - {_LAST}')} AS accuracy_drop, {o.r(f'({_FIRST} - {_LAST}) * 100.0e0 / {_FIRST}', 8)} AS accuracy_drop_percentage
-    FROM {_RECORDED} r WHERE privacy_spent IS NOT NULL"""
+    FROM {_RECORDED} r GROUP BY run"""
 )
 def dp_tradeoff(spark, sf_dir):
-    result = dp.tradeoff(recorded(spark, sf_dir).where("privacy_spent IS NOT NULL"))
+    result = dp.tradeoff(recorded(spark, sf_dir), ["run"])
     nine = ["initial_accuracy", "final_accuracy", "avg_noise_magnitude", "max_noise_magnitude", "accuracy_drop"]
     return rounded(rounded(result, 9, nine), 8, ["accuracy_drop_percentage"])
 
@@ -895,12 +912,11 @@ def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, event_type, value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k FROM events
-    WHERE event_type IN ('view', 'click')"""
+    """SELECT event_id, event_type, value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k FROM events"""
 )
 def stream_events(spark, sf_dir):
     events = ev.read_event_stream(spark, sf_dir, glob="events.parquet", props="k int")
-    rows = events.where("event_type IN ('view', 'click')").select("event_id", "event_type", "value", "props.k")
+    rows = events.select("event_id", "event_type", "value", "props.k")
     path, checkpoint = new_path(spark, "events"), new_path(spark, "events-checkpoint")
     ev.write_event_stream(rows, path, checkpoint).awaitTermination()
     return spark.read.schema(rows.schema).parquet(path)

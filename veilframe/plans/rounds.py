@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.paillier import PrivateKey
 from veilframe.operators.combine import combine
-from veilframe.operators.encrypted import he_encrypt, he_fedavg
+from veilframe.operators.encrypted import from_wire, he_encrypt, he_fedavg, to_wire
 from veilframe.operators.messages import admit, extract_updates, payload_size, seal_messages
 from veilframe.operators.model import accuracy, init_model, local_gradient_step, local_sgd_epoch, predict
 from veilframe.operators.prep import feature_columns
 from veilframe.operators.privacy import account_steps, privatize_updates
-from veilframe.skew import union_all
+from veilframe.skew import attach, union_all
 from veilframe.sources.tables import read_model, write_model
 from veilframe.storage import materialize, new_path
 
@@ -59,13 +59,21 @@ def run_rounds(
     """Train, privatise, seal and admit, combine, evaluate, record; all clients in one job per step.
 
     ``train`` is ``(client_id, row_key, y, f_0..)``. Updates and models are written per round, so a plan never spans
-    rounds. With ``registry`` and ``keys`` updates travel as sealed messages and rejected ones are left out.
+    rounds. With ``registry`` and ``keys`` updates travel as sealed messages and rejected ones are left out; a message of an
+    earlier round, or with a counter the registry has seen, is a replay. With ``config.key`` every client encrypts its update
+    before it is sealed, and only the sum over clients is decrypted.
     """
     config = config or RoundConfig()
+    if config.key is not None and config.how != "fedavg":
+        raise ValueError(f"ciphertexts can be added but not combined by {config.how}")
     spark = train.sparkSession
     models, out = new_path(spark, "models"), new_path(spark, "round-tables")
     write_model(init_model(spark, len(feature_columns(train))), models)
     metrics, ledger, released, admissions = [], [], [], []
+    seen = None
+    if registry is not None and "last_counter" in registry.columns:
+        seen = registry.groupBy("client_id").agg(F.max("last_counter").alias("start_counter"))
+    base = seen
     for round in range(1, config.rounds + 1):
         started = time.monotonic()
         model = read_model(spark, models, round - 1)
@@ -85,18 +93,31 @@ def run_rounds(
         else:
             sent = local
         size = None
+        if config.key is not None:
+            plain = sent.select("round", "client_id", "param", "idx", "value", "num_samples")
+            ciphers = he_encrypt(plain, "value", config.key.public).withColumn("value", to_wire("cipher")).drop("cipher")
+            sent = materialize(ciphers, "ciphers")  # encryption is random: once
         if registry is not None and keys is not None:
             packed = _pack(sent, round)
+            if base is not None:
+                held = attach(packed, base, ["client_id"], "left")
+                since = F.greatest(F.coalesce("start_counter", F.lit(0)), F.lit(0))
+                packed = held.withColumn("counter", since + F.col("counter")).drop("start_counter")
             size = packed.agg(F.sum("size_bytes")).first()[0]
             sealed = materialize(seal_messages(packed.drop("size_bytes"), keys), "sealed")
-            admitted = materialize(admit(sealed, registry, keys), "admitted")
+            messages = sealed if seen is None else attach(sealed, seen, ["client_id"], "left")
+            admitted = materialize(admit(messages, registry, keys), "admitted")
             admissions.append(admitted.select(F.lit(round).alias("round"), "client_id", "counter", "status"))
-            sent = extract_updates(admitted, ["client_id"]).withColumn("round", F.lit(round))
+            now = admitted.where("status = 'ok'").select("client_id", F.col("counter").alias("start_counter"))
+            both = now if seen is None else now.unionByName(seen)
+            seen = materialize(both.groupBy("client_id").agg(F.max("start_counter").alias("start_counter")), "counters")
+            element = "double" if config.key is None else "string"
+            sent = extract_updates(admitted, ["client_id"], element).withColumn("round", F.lit(round))
         encrypted = time.monotonic()
         previous = model.withColumn("round", F.lit(round))
         if config.key is not None:
-            ciphers = he_encrypt(sent.select("param", "idx", "value", "num_samples"), "value", config.key.public)
-            mean = he_fedavg(ciphers, ["param", "idx"], config.key).withColumn("num_samples", F.lit(1))
+            arrived = sent.select("param", "idx", from_wire("value").alias("cipher"), "num_samples")
+            mean = he_fedavg(arrived, ["param", "idx"], config.key).withColumn("num_samples", F.lit(1))
             new = combine(mean.withColumn("round", F.lit(round)), previous)
         else:
             new = combine(sent, previous, config.how)

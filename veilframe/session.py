@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,6 +16,7 @@ def local_session(app: str = "veilframe", cpus: int = 8, shuffle_partitions: int
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        .config("spark.checkpoint.dir", os.environ.get("VEILFRAME_SCRATCH") or tempfile.mkdtemp(prefix="veilframe-"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()

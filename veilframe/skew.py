@@ -13,7 +13,6 @@ from veilframe.storage import materialize, materialize_counted
 
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 2_000_000
-MAX_BLOCKS = 512
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -41,13 +40,19 @@ def attach(
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
     written: bool = True,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``side`` (unique per key) to ``df``; how = inner, left, left_semi or left_anti.
 
     ``side`` is written once (unless it holds secrets: ``written=False``) and counted. Up to ``max_rows`` rows it is broadcast and ``df`` is not shuffled. A larger
     side is joined by shuffle for ordinary keys, while the rows of hot keys meet a broadcast of just their side rows.
+    ``null_safe`` lets NULL keys meet, for sides that were grouped from the rows themselves.
     """
     keys = list(keys)
+    if null_safe:
+        marked = df.withColumns(_null_safe(keys))
+        side = side.withColumns(_null_safe(keys)).drop(*keys)
+        return attach(marked, side, list(_null_safe(keys)), how, max_rows, hot_rows, written).drop(*_null_safe(keys))
     side, n = materialize_counted(side, "side") if written else (side, side.count())
     if n <= max_rows:
         return df.join(F.broadcast(side), keys, how)
@@ -61,6 +66,11 @@ def attach(
     return rest.unionByName(hot_part)
 
 
+def _null_safe(keys: Sequence[str]) -> dict[str, Column]:
+    """Stand-ins that are never NULL: a struct with the key as its field."""
+    return {f"_ns_{k}": F.struct(F.col(k).alias("key")) for k in keys}
+
+
 # how -> (aggregate over rows, combination of a carried and a local value)
 _RUNNING = {
     "max": (F.max, lambda carry, local: F.greatest(carry, local)),
@@ -90,7 +100,7 @@ def running(
         return df.select("*", *[_RUNNING[how][0](expr).over(frame).alias(c) for c, (how, expr) in outputs.items()])
 
     top = hot.agg(F.max("n")).first()[0]
-    blocks = min(MAX_BLOCKS, -(-top // hot_rows) + 1)
+    blocks = -(-top // hot_rows) + 1
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = materialize(
         df.join(F.broadcast(hot.select(*by)), by, "left_semi").groupBy(*by).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def read_samples(
     reader = spark.read.format(fmt).options(**options)
     try:
         return (reader.schema(schema) if schema is not None else reader).load(path)
-    except AnalysisException as e:
+    except (AnalysisException, Py4JJavaError) as e:  # a missing path, or a file whose header cannot be read
         raise RuntimeError(f"cannot load samples from {path}: {e}") from e
 
 
@@ -70,16 +71,20 @@ def _fields() -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in ROUND_FIELDS.split(", "))
 
 
-def write_privacy_report(recorded: DataFrame, path: str = PRIVACY_PATH) -> None:
-    """Recorded rounds and their tradeoff as one JSON document."""
+def write_privacy_report(recorded: DataFrame, path: str = PRIVACY_PATH, by: str | None = None) -> None:
+    """Recorded rounds and their tradeoff as one JSON document, or one for every value of ``by``."""
     names = ["round", "epsilon", "accuracy", "privacy_spent", "noise_magnitude"]
-    rounds = recorded.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("metrics"))
-    analysis = tradeoff(recorded).first().asDict()
-    parts = [F.lit(v).alias(k) for k, v in analysis.items() if v is not None]
-    rounds.withColumn("tradeoff_analysis", F.struct(*parts)).write.mode("overwrite").json(path)
+    keyed = recorded.withColumn("_run", F.col(by) if by else F.lit(0))
+    rounds = keyed.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("metrics"))
+    found = tradeoff(keyed, ["_run"])
+    analysis = found.select("_run", F.struct(*[c for c in found.columns if c != "_run"]).alias("tradeoff_analysis"))
+    documents = rounds.join(analysis, "_run")
+    (documents.withColumnRenamed("_run", by) if by else documents.drop("_run")).write.mode("overwrite").json(path)
 
 
-def read_privacy_report(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded rounds back from the document."""
+def read_privacy_report(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """Recorded rounds back from the documents, with the column they were written ``by``."""
     fields = "round: int, epsilon: double, accuracy: double, privacy_spent: double, noise_magnitude: double"
-    return spark.read.schema(f"metrics array<struct<{fields}>>").json(path).select(F.inline("metrics"))
+    lead = f"`{by}` string, " if by else ""
+    documents = spark.read.schema(f"{lead}metrics array<struct<{fields}>>").json(path)
+    return documents.select(*([by] if by else []), F.inline("metrics"))
