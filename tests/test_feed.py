@@ -111,3 +111,18 @@ def test_event_types_pass_through_a_file_sink(spark):
     got = spark.read.parquet(out)
     assert as_set(got, "event_id", "event_type", "round") == {(i, t, i) for i, t in enumerate(EVENT_TYPES)}
     assert got.select(F.unix_seconds("at")).first()[0] == 1704067200
+
+
+def test_a_stream_with_an_interval_keeps_running(spark, tmp_path):
+    from veilframe.sources import events as ev
+
+    source, sink = tmp_path / "in", tmp_path / "out"
+    spark.range(3).write.parquet(str(source))
+    query = ev.write_event_stream(ev.read_event_stream(spark, str(source), "id bigint"), str(sink), str(tmp_path / "cp"), every="1 second")
+    try:
+        query.processAllAvailable()
+        spark.range(3, 5).write.mode("append").parquet(str(source))
+        query.processAllAvailable()
+        assert query.isActive and spark.read.parquet(str(sink)).count() == 5
+    finally:
+        query.stop()

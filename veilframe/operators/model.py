@@ -256,7 +256,8 @@ def evaluate_clients(
         if models:
             ids = [m[client] for m in models]
             matrix = np.array([[*m["_w"], m["_b"]] for m in models]).T
-            parts.append(rows.mapInPandas(_hits(ids, matrix, client), f"{client} {kind}, hits bigint, n bigint"))
+            hits = rows.mapInPandas(_hits(ids, matrix, client), f"{client} {kind}, hits bigint, n bigint")
+            parts.append(materialize(hits, "hits"))  # so the driver holds one block of models at a time
     return (
         union_all(parts)
         .groupBy(client)

@@ -44,25 +44,38 @@ def read_event_stream(
     return events.withColumn("props", F.from_json("props", props)) if props else events
 
 
-def write_event_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the stream to a folder any number of readers can follow; ends when the input is used up."""
+def _trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def write_event_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append the stream to a folder any number of readers can follow.
+
+    Ends when the input is used up, or keeps running with a batch ``every`` interval ("10 seconds").
+    """
     return (
         df.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
 
-def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Feed every available micro-batch to ``handle`` and wait for the end."""
-    query = (
+def start_batches(
+    df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None
+) -> StreamingQuery:
+    """Feed micro-batches to ``handle``; the running query. ``every`` as for ``write_event_stream``."""
+    return (
         df.writeStream.outputMode(mode)
         .foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
-    query.awaitTermination()
+
+
+def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Feed every available micro-batch to ``handle`` and wait for the end."""
+    start_batches(df, handle, checkpoint, mode).awaitTermination()
