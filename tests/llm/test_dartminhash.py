@@ -20,7 +20,8 @@ def shingles(text):
 
 def similarity(a, b, weighted):
     if not weighted:
-        a, b = Counter(set(a)), Counter(set(b))
+        union = len(a.keys() | b.keys())
+        return len(a.keys() & b.keys()) / union if union else 1.0
     union = sum((a | b).values())
     return sum((a & b).values()) / union if union else 1.0
 

@@ -312,11 +312,14 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.repartition(n).mapInArrow(lambda it: _read_shard(it, with_ids), schema)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], files: list[str], first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        uris, keys = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(zero_copy_only=False)
-        for uri in dict.fromkeys(uris.tolist()):
-            wanted, shard = keys[uris == uri], ShardReader(uri)
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        # shards whose key range meets the batch's; ranges ascend and meet at their ends only
+        for at in range(int(np.searchsorted(last, keys.min(), "left")), int(np.searchsorted(first, keys.max(), "right"))):
+            wanted, shard = keys[(keys >= first[at]) & (keys <= last[at])], ShardReader(files[at])
             rows = [(int(wanted[i]), shard.ids(d, d + 1).astype(np.int64)) for i, d in shard.runs(wanted)]
             shard.close()
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
@@ -325,9 +328,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fetch_documents(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id and ids of every document whose key is in ``keys``, through the index; absent and null keys give no row.
 
-    A key meets the shards whose key range holds it, by a join on bounds of one row per shard.
+    Keys are dealt out by ranges like the shards, so a task opens few of them. The driver holds one row per shard.
     """
-    wanted = keys.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    bounds = manifest.where("first_key is not null").select("file", "first_key", "last_key")
-    pairs = wanted.join(F.broadcast(bounds), F.col("k").between(F.col("first_key"), F.col("last_key"))).select("file", "k")
-    return pairs.sortWithinPartitions("file").mapInArrow(_fetch, "doc_id long, ids array<long>")
+    rows = manifest.where("first_key IS NOT NULL").orderBy("part").select("file", "first_key", "last_key").collect()
+    files, first, last = [r.file for r in rows], np.array([r.first_key for r in rows], np.int64), np.array([r.last_key for r in rows], np.int64)
+    wanted = keys.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    return wanted.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(lambda it: _fetch(it, files, first, last), "doc_id long, ids array<long>")
