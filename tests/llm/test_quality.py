@@ -69,3 +69,15 @@ def test_chunks_count_every_triple():
         assert np.array_equal(q.term_counts(text), whole) and whole[:-1].sum() == len(text.encode()) - 2
     finally:
         q.CHUNK = kept
+
+
+def test_broadcast_needs_no_installed_package(spark, tables):
+    import pickle
+    import subprocess
+    import sys
+
+    docs, labels = tables
+    m = q.train(docs, labels)
+    data = pickle.dumps((m.idf, m.directions, m.vectors, m.labels, m.mean))
+    code = "import pickle, sys; pickle.load(sys.stdin.buffer); assert not any(x.startswith('veilframe') for x in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], input=data, cwd="/tmp").returncode == 0

@@ -7,7 +7,7 @@ cosine, each weighted by the cosine to the power ``SHARPNESS``. Products are exa
 vector, in blocks.
 
 The classifier (idf, directions, vectors) is fitted on a sample of about ``LABELLED`` labelled documents, drawn by hash, so what
-is broadcast has the same size for any corpus (2 MB). Scoring is a pass over the texts without a shuffle; a task holds
+is broadcast has the same size for any corpus (1.5 MB). Scoring is a pass over the texts without a shuffle; a task holds
 one batch of texts and one block of products.
 
 Defined cases: a null or empty text has no term and gets the labelled documents' mean label, as does a text that resembles
@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.text import hash_draw
+from veilframe.storage import materialize
 
-TRIPLES, DIMENSIONS, NEIGHBOURS, SHARPNESS, LABELLED = 2048, 64, 7, 8, 6000
+TRIPLES, DIMENSIONS, NEIGHBOURS, SHARPNESS, LABELLED = 2048, 64, 7, 8, 4000
 #: Texts and bytes handled at a time in a task.
 BLOCK, CHUNK = 256, 1 << 22
 
@@ -63,11 +64,11 @@ class Model:
     mean: float
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-        repeats = np.minimum(counts[:, TRIPLES] * 4, 1)
-        x[:, TRIPLES] = repeats
-        return x.astype(np.float32)
+        x = np.log1p(counts)
+        x *= self.idf
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-9)
+        x[:, TRIPLES] = np.minimum(counts[:, TRIPLES] * 4, 1)
+        return x
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         z = self.weighted(counts) @ self.directions
@@ -106,6 +107,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column(1).slice(at, BLOCK)], ["counts", "label"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, labels = [np.zeros((0, TRIPLES + 1), np.float32)], []
+    for batch in batches:
+        counts += [np.frombuffer(x, np.float32)[None] for x in batch.column(0).to_pylist()]
+        labels += batch.column(1).to_pylist()
+    model = fit(np.concatenate(counts), np.array(labels, float))
+    parts = [model.idf, model.directions, model.vectors, model.labels]
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts] + [pa.array([model.mean])], ["idf", "directions", "vectors", "labels", "mean"])
+
+
 def _drawn(n: int, most: int) -> Column:
     return F.rand(11) < (most / n if n > most else 2.0)
 
@@ -116,23 +127,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.avg("label").alias("label"))
     marks = marks.where(hash_draw(min(1.0, most / max(1, marks.count())), "id"))
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(marks), "id")
-    rows = found.where(_drawn(found.count(), most)).select("t", "label").mapInArrow(_count, "counts binary, label double").collect()
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows]) if rows else np.zeros((0, TRIPLES + 1), np.float32)
-    return fit(counts, np.array([r.label for r in rows]))
+    drawn = found.where(_drawn(found.count(), most)).select("t", "label")
+    sample = materialize(drawn.mapInArrow(_count, "counts binary, label double"), "labelled")
+    # one task holds the bounded sample; the driver gets the model alone
+    row = sample.coalesce(1).mapInArrow(_fit, "idf binary, directions binary, vectors binary, labels binary, mean double").first()
+    idf, directions, vectors = (np.frombuffer(row[i], np.float32) for i in range(3))
+    labels_ = np.frombuffer(row[3])
+    width = directions.size // (TRIPLES + 1)
+    return Model(idf, directions.reshape(TRIPLES + 1, width), vectors.reshape(len(labels_), -1) if len(labels_) else vectors.reshape(0, 0), labels_, row[4])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text added as column ``name``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: workers need not have the package, and classes travel with the function only
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.directions, model.vectors, model.labels, model.mean))
     at = docs.columns.index(text)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 counts = np.stack([term_counts(t) for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(counts))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(counts))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
