@@ -133,5 +133,5 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     letters = secrets.learn_letters(docs)
     model = secrets.train(secrets.labelled_findings(spark), letters)
-    found = secrets.find_secrets(docs, letters, model)
-    return found.select("doc_id", "nr", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability")
+    judged = secrets.judge(secrets.candidates(docs), letters, model)
+    return judged.select("doc_id", "nr", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= 0.5).alias("secret"))

@@ -154,7 +154,9 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
 
 def train(findings: DataFrame, letters: Letters, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
     """A forest over the findings' features; ``findings`` are labelled rows of bounded number."""
-    rows = materialize(with_features(findings, letters).select(*FEATURES, F.col("secret").cast("double").alias("label")).coalesce(4), "findings")
+    # written first, so that the features are compiled once and not once per part of a union
+    written = materialize(findings.coalesce(4), "findings")
+    rows = materialize(with_features(written, letters).select(*FEATURES, F.col("secret").cast("double").alias("label")), "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, featuresCol="features", labelCol="label")
     path = new_path(findings.sparkSession, "forest")
     Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows).write().save(path)
