@@ -66,3 +66,31 @@ def test_levels_shrink_and_neighbours_are_bounded():
     assert all(len(l) == c and l.shape[1] <= 2 * hnsw.M for l, c in zip(graph.links, graph.counts))
     nodes, score = graph.beam(hnsw.unit(x), 64)
     assert np.mean(nodes[np.arange(1500), score.argmax(1)] == np.arange(1500)) > 0.99
+
+
+def test_groups_of_near_copies_are_ranked_exactly(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1000 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 16)))]
+    for size, first in ((40, 0), (250, 400)):  # within the beam, and beyond it
+        base = rng.normal(size=16)
+        rows += [(int(i), (base * (1 + rng.random()) * (1 + (j % 2) * 1e-8 * rng.normal(size=16))).tolist()) for j, i in enumerate(first + rng.permutation(size))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {*range(0, 40, 5), *range(400, 650, 25), *range(1000, 1300, 30)}
+    want = brute(rows, asked, 5)
+    got = found(hnsw.search(hnsw.build_index(df, 5), df.where(df.vec_id.isin(*asked)), 5))
+    close = [q for q in asked if q < 1000]
+    assert {q: got[q] for q in close} == {q: want[q] for q in close}
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in asked]) >= 0.95 * 5
+
+
+def test_an_id_of_many_vectors_takes_one_place(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    near = lambda noise: (base + noise * rng.normal(size=8)).tolist()
+    rows = [(1, base.tolist())] + [(1, near(1e-3)) for _ in range(150)] + [(2, near(1e-2)) for _ in range(150)] + [(i, near(0.1)) for i in range(3, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(hnsw.search(hnsw.build_index(df, 5), spark.createDataFrame(rows[:1], df.schema), 5))
+    best = {}
+    for i, v in rows:
+        best[i] = max(best.get(i, -2), float(hnsw.cosine(base, np.array(v))))
+    assert got == {1: sorted(((i, s) for i, s in best.items() if i != 1), key=lambda x: (-x[1], x[0]))[:5]}

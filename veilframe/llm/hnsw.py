@@ -5,8 +5,9 @@ down. Within a level nodes are inserted in batches that double: a batch searches
 above), takes in its own members as candidates too, keeps up to M diverse neighbours (2M on the lowest level) and links back;
 overfull lists are pruned by the same rule. A shard is stored as one row: vectors, ids and one flat neighbour array per level.
 
-Queries come in blocks; every block meets every shard, a beam of ``EF`` nodes walks the lowest level, all queries of a block in step, and the
-best are scored again in double precision on the original vectors. Each shard returns ``k + 1`` vectors per query; a ranking over shards follows.
+Queries come in blocks; every block meets every shard, a beam of ``EF`` nodes walks the lowest level, all queries of a block in step, and all
+nodes it found are scored again in double precision on the original vectors. Where the beam's last node ties with the k-th id within float32 error,
+or gives fewer than k ids, the query is compared with the whole shard. Each shard returns ``k`` ids per query; a ranking over shards follows.
 
 Equal vectors are one node that knows its ``k + 1`` smallest ids, which is all that a result can show of them; so a vector
 that a third of the rows share costs one node. The limit is applied before the shuffle.
@@ -170,11 +171,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows in double precision; components are scaled by a power of two first, so none over- or underflows."""
-    a, b = (x * 2.0 ** -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1] for x in (a, b))
-    return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two, so that nothing over- or underflows, and their norms."""
+    x = x * 2.0 ** -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1]
+    return x, np.sqrt((x * x).sum(-1))
+
 
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision."""
+    (a, m), (b, n) = _scaled(a), _scaled(b)
+    return (a * b).sum(-1) / (m * n)
 
 
 def _build(frame):
@@ -217,27 +223,71 @@ def build_index(table: DataFrame, k: int, key: str = "vec_id", vector: str = "em
     return materialize(index, "hnsw")
 
 
+def _nearest(r: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best ids of every query ``r`` by (score, id), each id with its best score."""
+    order = np.lexsort((-score, ids, r))
+    r, ids, score = r[order], ids[order], score[order]
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (ids[1:] != ids[:-1])
+    r, ids, score = r[first], ids[first], score[first]
+    order = np.lexsort((ids, -score, r))
+    r, ids, score = r[order], ids[order], score[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], ids[keep], score[keep]
+
+
+class Shard:
+    """A shard's graph with its vectors in double precision and their ids."""
+
+    def __init__(self, row: dict):
+        vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+        links = [np.frombuffer(x, "<i4").reshape(c, -1) for x, c in zip(row["links"], row["counts"])]
+        self.graph = Graph(unit(vectors), row["counts"], links)
+        self.vectors, self.norms = _scaled(vectors)
+        self.counts, self.ids = np.frombuffer(row["id_counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
+        self.starts = np.cumsum(self.counts) - self.counts
+        # what a sum of float32 products of unit vectors can be off by
+        self.error = 2 * (row["dim"] + 4) * 2.0**-24
+
+    def _exact(self, queries: np.ndarray, own: np.ndarray, r: np.ndarray, nodes: np.ndarray, k: int):
+        """(query, id, cosine): the ``k`` best ids among the pairs of queries ``r`` and ``nodes``, all compared in double."""
+        (queries, norms), score, step = _scaled(queries), np.empty(len(r)), max(1, (1 << 20) // queries.shape[1])
+        for at in range(0, len(r), step):
+            a, b = r[at : at + step], nodes[at : at + step]
+            score[at : at + step] = (queries[a] * self.vectors[b]).sum(-1) / (norms[a] * self.norms[b])
+        times = self.counts[nodes]
+        at = np.repeat(self.starts[nodes], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        r, ids, score = np.repeat(r, times), self.ids[at], np.repeat(score, times)
+        other = ids != own[r]
+        return _nearest(r[other], ids[other], score[other], k)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, cosine) of the ``k`` nearest found of every query, without the id ``own`` it has itself."""
+        single = unit(queries)
+        nodes, score = self.graph.beam(single, max(ef, k + 1))
+        r, c = np.nonzero(nodes >= 0)
+        found = self._exact(queries, own, r, nodes[r, c], k)
+        # the k-th score so far, and the beam's last: where they tie within the error, others outside the beam may be as near
+        number = np.bincount(found[0], minlength=len(queries))
+        least, full = np.full(len(queries), -np.inf), number == k
+        least[full] = found[2][np.cumsum(number)[full] - 1]
+        last = np.where(nodes >= 0, score, np.inf).min(1)
+        again = np.flatnonzero(((nodes >= 0).sum(1) < len(self.vectors)) & (last + self.error >= least))
+        parts = [[x[~np.isin(found[0], again)] for x in found]]
+        for at in range(0, len(again), 64):
+            some = again[at : at + 64]
+            r, c = np.nonzero(single[some] @ self.graph.unit.T + self.error >= least[some][:, None])
+            q, ids, cosines = self._exact(queries[some], own[some], r, c, k)
+            parts.append([some[q], ids, cosines])
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            dim = row["dim"]
-            vectors = np.frombuffer(row["vectors"]).reshape(-1, dim)
-            links = [np.frombuffer(x, "<i4").reshape(c, -1) for x, c in zip(row["links"], row["counts"])]
-            graph = Graph(unit(vectors), row["counts"], links)
-            counts = np.frombuffer(row["id_counts"], "<i4")
-            starts, ids = np.cumsum(counts) - counts, np.frombuffer(row["ids"], "<i8")
-            queries = np.array([q["vec"] for q in row["queries"]])
-            nodes, score = graph.beam(unit(queries), max(ef, k + 1))
-            top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            nodes = np.take_along_axis(nodes, top, 1)
-            exact = cosine(queries[:, None, :], vectors[np.maximum(nodes, 0)])
-            r, c = np.nonzero(nodes >= 0)
-            found = nodes[r, c]
-            times = counts[found]
-            at = np.repeat(starts[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            own = np.array([q["id"] for q in row["queries"]])
-            columns = [np.repeat(own[r], times), ids[at], np.repeat(exact[r, c], times)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+            queries, own = np.array([q["vec"] for q in row["queries"]]), np.array([q["id"] for q in row["queries"]])
+            r, ids, score = Shard(row).search(queries, own, k, ef)
+            yield pa.RecordBatch.from_arrays([pa.array(own[r], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", ef: int = EF, block: int = BLOCK) -> DataFrame:
