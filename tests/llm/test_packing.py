@@ -54,3 +54,15 @@ def test_no_documents_and_long_ones(spark, documents):
     rows = pk.pack(df, length=df.tokens, text="doc_id", buckets=50, budget=10).collect()
     check_batches(rows, 10)
     assert all(r.padding <= r.n_tokens / 256 + 1 for r in rows) and len(rows) == 7
+
+
+def test_boundaries_of_long_documents_are_optimal(spark):
+    rng = random.Random(2)
+    tokens = [rng.choice([20_020, 20_021, 9_001, 9_003, 8_195, 100_001, 40, 7]) for _ in range(60)] + [100_003]
+    df = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, tokens long")
+    histogram = list(Counter(tokens).items())
+    lengths = sorted(set(tokens))
+    for k in (1, 3, 5):
+        rows = pk.pack(df, length=df.tokens, text="doc_id", buckets=k).collect()
+        best = min(padded(histogram, [*c, lengths[-1]]) for n in range(k) for c in combinations(lengths[:-1], n))
+        assert sum(r.padding for r in rows) == best and {r.bucket_len for r in rows} <= set(lengths)

@@ -8,9 +8,8 @@ and C_j documents up to l_j, the padded size of the best b buckets up to l_j is
 whose inner part is a set of lines in l_j with falling slopes, so each layer is one sweep along their lower hull. A document goes
 to the first bucket whose boundary holds it; a batch takes as many documents as fit the budget at the bucket's padded length (one if
 even one is too long). Documents are numbered per bucket by counting (bucket, slice) and a window inside each slice of about
-``SLICE`` documents, so no task holds a bucket. Only the histogram comes to the driver: lengths up to ``EXACT`` as they are, longer ones rounded up
-by less than 1/256, which bounds it at some ten thousand entries for any corpus. Boundaries are optimal for lengths up to
-``EXACT``; beyond, for the rounded ones.
+``SLICE`` documents, so no task holds a bucket. Only the histogram comes to the driver, every length as it is: a corpus of T tokens has at
+most sqrt(2 T) distinct lengths, some 100,000 for 30 GB, and the sweeps are linear in them. Boundaries are optimal, and lengths that occur.
 
 Defined cases: null and empty texts have length 0 and are packed with the shortest; null ids and repeated rows are packed row by row;
 no documents give no rows; extra columns are ignored. Rows are told apart by their place in the written table of lengths.
@@ -18,6 +17,8 @@ no documents give no rows; extra columns are ignored. Rows are told apart by the
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,19 +26,14 @@ from pyspark.sql import functions as F
 from veilframe.llm.text import LETTERS
 from veilframe.storage import materialize
 
-BUCKETS, BUDGET, SLICE, EXACT = 16, 65_536, 10_000, 8_192
+BUCKETS, BUDGET, SLICE = 16, 65_536, 10_000
+EXACT = (1 << 63) - 1  # lengths up to it go into the histogram as they are: all
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(LETTERS)).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    """The length, or above ``EXACT`` the next multiple of its leading power of two / 256."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 8)).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
     """Ascending boundaries, at most ``buckets``, of least total padding; the last is the longest length."""
     rows = sorted(histogram)
@@ -51,7 +47,7 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list
     best[0] = 0
     for _ in range(min(buckets, n) - 1):
         # lines y = -total[i] x + best[i] for i buckets' ends, asked at growing x: a queue of the lower hull
-        hull, start, now, cut = [], 0, [0], [0]
+        hull, start, now, cut = [], 0, [0], array("q", [0])
         for j in range(1, n + 1):
             i = j - 1
             m, q = -total[i], best[i]
@@ -87,7 +83,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     """
     size = word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     sized = materialize(docs.select(F.col(key).alias("doc_id"), size.alias("n_tokens")), "lengths")
-    histogram = [tuple(r) for r in sized.groupBy(rounded(F.col("n_tokens")).alias("l")).count().collect()]
+    histogram = [tuple(r) for r in sized.groupBy("n_tokens").count().collect()]
     ends = boundaries(histogram, buckets) or [0]
     slices = max(1, -(-sum(c for _, c in histogram) // slice_rows))
     limits = F.array(*[F.lit(x).cast("long") for x in ends])
