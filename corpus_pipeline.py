@@ -2,17 +2,18 @@
 
 Every stage works on all that the one before kept, as written Parquet: documents that the quality classifier rejects go, later
 copies of repeated line runs are cut out of the texts, one document of every near-duplicate class stays, documents that hold
-benchmark passages go, and what is left is packed into batches of similar length.
+benchmark passages go, and what is left is packed into batches of similar length in tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import dartminhash, decontaminate, line_dedup, packing, quality
+from veilframe.llm import dartminhash, decontaminate, line_dedup, packing, quality, token_shards
 from veilframe.storage import materialize
 
 #: A trained classifier and similarity classes are beyond SQL; the stages are tested against brute force.
@@ -40,7 +41,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    counted = token_shards.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(counted, length=F.col("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -3,9 +3,12 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import public_tokenizers
 import pytest
 
+import corpus_pipeline as cp
 from veilframe.llm import packing as pk
+from veilframe.llm import queries
 
 
 def padded(histogram, ends):
@@ -66,3 +69,18 @@ def test_boundaries_of_long_documents_are_optimal(spark):
         rows = pk.pack(df, length=df.tokens, text="doc_id", buckets=k).collect()
         best = min(padded(histogram, [*c, lengths[-1]]) for n in range(k) for c in combinations(lengths[:-1], n))
         assert sum(r.padding for r in rows) == best and {r.bucket_len for r in rows} <= set(lengths)
+
+
+def test_query_and_pipeline_stage_measure_tokens(spark, documents, odd_documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    more = spark.createDataFrame([(900, "日本語の文章を分けずに書く" * 500), (901, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" * 300)], "doc_id long, text string")
+    docs = documents.limit(50).select("doc_id", "text").unionByName(odd_documents.select("doc_id", "text")).unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    for packed in (queries.op10_packing(spark, str(tmp_path)), cp.packing_stage(spark, docs, str(tmp_path))):
+        rows = packed.collect()
+        assert Counter((r.doc_id, r.n_tokens) for r in rows) == want
+        check_batches(rows, pk.BUDGET)

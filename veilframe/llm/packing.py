@@ -79,7 +79,7 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, slice_rows: int = SLICE) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket (from 0), bucket_len, batch (from 0 in its bucket), slot (place in the batch), padding.
 
-    ``length`` is the number of tokens, by default the number of words.
+    ``length`` is the number of tokens, as ``token_shards.count_tokens`` gives it; by default the number of words.
     """
     size = word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     sized = materialize(docs.select(F.col(key).alias("doc_id"), size.alias("n_tokens")), "lengths")

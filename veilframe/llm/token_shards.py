@@ -334,3 +334,19 @@ def fetch_documents(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -
     files, first, last = [r.file for r in rows], np.array([r.first_key for r in rows], np.int64), np.array([r.last_key for r in rows], np.int64)
     wanted = keys.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct()
     return wanted.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(lambda it: _fetch(it, files, first, last), "doc_id long, ids array<long>")
+
+
+def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    enc = encoder(tokenizer)
+    for batch in batches:
+        texts, sizes = batch.column(1).to_pylist(), []
+        for at in range(0, len(texts), 256):
+            sizes += [len(x) // enc.dtype.itemsize for x in enc.encode(texts[at : at + 256])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and n_tokens (without an end id) of every row; null and empty texts have none."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).schema
+    return rows.mapInArrow(lambda it: _count(it, tokenizer), schema)
