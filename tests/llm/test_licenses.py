@@ -49,3 +49,19 @@ def test_learns_without_documents(spark, odd_documents):
     alone = lc.train(lc.training_rows(spark, odd_documents.limit(0)))
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert lc.scan(docs, alone).first().families == ["mit"]
+
+
+def test_two_licences_in_a_line_and_short_notices_inside_long_lines(spark, classifier):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL AND lang = 'en'").orderBy("doc_id").limit(40).collect()
+    plain = [" ".join(w for w in re.findall(r"[a-z]+", r.text.lower()) if w not in ("license", "licensed", "rights"))[:2000].split() for r in docs]
+    plain = [w for w in plain if len(w) >= 100][:12]
+    assert len(plain) >= 5
+    mit, apache, gpl = NOTICES["mit"][:-1], NOTICES["apache"][:-1], NOTICES["gpl"][:-1]
+    nc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    rows, want = [(0, f"{mit} or licensed under the Apache License, Version 2.0."), (1, f"{apache}, or under the {gpl}"), (2, nc)], {0: ["apache", "mit"], 1: ["apache", "gpl"], 2: ["cc-by-nc"]}
+    for i, w in enumerate(plain):
+        for j, (family, notice) in enumerate([("mit", mit), ("apache", apache), ("cc-by-nc", "Licensed under CC BY-NC 4.0"), ("reserved", "All rights reserved")]):
+            rows.append((100 + 10 * i + j, " ".join(w[:25]) + f" {notice} " + " ".join(w[25:95])))
+            want[100 + 10 * i + j] = [family]
+    got = {r.doc_id: r.families for r in lc.scan(spark.createDataFrame(rows, "doc_id long, text string"), classifier).collect()}
+    assert got == want

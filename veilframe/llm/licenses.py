@@ -2,10 +2,11 @@
 
 A text is cut into paragraphs (lines), long ones into windows of ``WINDOW`` words that overlap, and every window is classified by
 multinomial logistic regression over hashed words and word pairs. The training rows are made from ``TEMPLATES`` - words
-dropped, years changed, prose before and after - and from about ``UNKNOWN`` windows of the corpus, drawn by hash, that share no
+dropped, years changed, prose around them up to a whole window - and from about ``UNKNOWN`` windows of the corpus, drawn by hash, that share no
 template's wording; these and ``OTHER`` (licence words in plain prose) are the class 'unknown'. A third of the rows is kept out of
-training to calibrate: the least probability a family needs is set so that at most one in a thousand unknown windows reaches it.
-What the classifier names is reported if at least ``SHARED`` of a template's word triples, or of the window's, are common to both.
+training to calibrate: every family is weighed against 'unknown' alone, so that two in a window do not hide each other, and the least
+probability it needs is set so that at most one in a thousand unknown windows reaches it. Every family that the classifier names is reported
+if at least ``SHARED`` of a template's word triples, or of the window's, are common to both, and not all of these belong to a family that fits better.
 
 Everything runs in built-in functions and Spark's own learners; scoring is one pass without a shuffle of texts, and the only
 grouping is by document over findings. The training rows are bounded by parameters; nothing else is sampled.
@@ -17,6 +18,8 @@ apart by their place in the input, so ``docs`` must be a table scan (or another
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.text import hash_draw, let, words
 from veilframe.storage import materialize
 
-WINDOW, STEP, TERMS, VARIANTS, UNKNOWN, SHARED = 60, 40, 1 << 13, 24, 3000, 0.6
+WINDOW, STEP, TERMS, VARIANTS, UNKNOWN, SHARED = 60, 40, 1 << 13, 120, 3000, 0.6
 
 # Wordings of public licences, by family.
 TEMPLATES = [
@@ -117,13 +120,19 @@ def training_rows(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     plain = materialize(drawn.join(seen, "u", "left_anti").unionByName(own).withColumn("nr", F.row_number().over(_by_u()) - 1), "unknown")
     n = plain.count()
     draw = lambda salt: F.xxhash64("template", "variant", F.lit(salt))
-    variants = templates(spark).select("template", "family", "tw", F.explode(F.sequence(F.lit(1), F.lit(VARIANTS))).alias("variant"))
+    size = Counter(f for f, _ in TEMPLATES)  # every family has as many variants, however few its templates
+    number = F.get(F.array(*[F.lit(VARIANTS // size[f]) for f, _ in TEMPLATES]), F.col("template"))
+    variants = templates(spark).select("template", "family", "tw", F.explode(F.sequence(F.lit(1), number)).alias("variant"))
     less = F.filter("tw", lambda w, i: (F.col("variant") <= 2) | (F.pmod(F.xxhash64(w, i, "variant"), F.lit(12)) > 0))
     dated = F.transform(less, lambda w: F.when(w.rlike("^(19|20)[0-9]{2}$"), (F.pmod(draw("y"), F.lit(40)) + 1985).cast("string")).otherwise(w))
     around = variants.withColumns({"nr": F.pmod(draw("n"), F.lit(n)).cast("int"), "left": F.pmod(draw("l"), F.lit(20)), "right": F.pmod(draw("r"), F.lit(20))}).join(plain.withColumnRenamed("w", "prose"), "nr")
-    alone = F.col("variant") % 2 == 0
-    side = lambda c, of: F.when(alone, F.array().cast("array<string>")).otherwise(F.slice("prose", of, F.col(c).cast("int")))
-    made = around.select("family", F.concat(side("left", 1), dated, side("right", 21)).alias("w"), F.pmod(draw("k"), F.lit(3)).alias("part"))
+    # a third alone, a third among up to 19 words on either side, a third inside a whole window
+    room = F.greatest(F.lit(WINDOW) - F.size(dated), F.lit(0))
+    left = F.when(F.col("variant") % 3 == 1, F.col("left")).otherwise(F.pmod(draw("f"), room + 1)).cast("int")
+    right = F.when(F.col("variant") % 3 == 1, F.col("right")).otherwise(room - left).cast("int")
+    alone = F.col("variant") % 3 == 0
+    side = lambda of, size: F.when(alone, F.array().cast("array<string>")).otherwise(F.slice("prose", of, size))
+    made = around.select("family", F.concat(side(F.lit(1), left), dated, side(left + 1, right)).alias("w"), F.pmod(draw("k"), F.lit(3)).alias("part"))
     rest = plain.select(F.lit(UNKNOWN_LABEL).alias("family"), "w", F.pmod(F.xxhash64("u", F.lit(3)), F.lit(3)).alias("part"))
     rows = made.unionByName(rest).where(F.size("w") > 0)
     return materialize(rows.select("family", "w", (F.col("part") == 0).alias("kept_out")), "training")
@@ -136,17 +145,24 @@ def _by_u():
 
 
 class Classifier:
-    """The fitted model, its families in order of class number, and the least probability a family needs."""
+    """The fitted model, its families in order of class number (unknown last), and the least probability each needs."""
 
-    def __init__(self, model: LogisticRegressionModel, families: list[str], least: float):
+    def __init__(self, model: LogisticRegressionModel, families: list[str], least: list[float]):
         self.model, self.families, self.least = model, families, least
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``w``) plus family and probability: the likeliest class."""
-        scored = self.model.transform(_vectors(rows)).withColumn("p", vector_to_array("probability"))
-        names = F.array(*[F.lit(f) for f in self.families])
-        best = F.array_max("p")
-        return scored.select(*rows.columns, best.alias("probability"), F.get(names, F.array_position("p", best).cast("int") - 1).alias("family"))
+        """``rows`` (with ``w``) plus ``p``: the probability of every family where the choice is between it and unknown."""
+        scored = self.model.transform(_vectors(rows)).withColumn("z", vector_to_array("rawPrediction"))
+        last = F.lit(len(self.families) - 1)
+        against = F.transform(F.slice("z", F.lit(1), last), lambda z: 1 / (1 + F.exp(F.get("z", last) - z)))
+        return scored.select(*rows.columns, against.alias("p"))
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` plus ``named``, (family, probability) of every family that reaches its limit; rows without any go."""
+        names, limits = F.array(*[F.lit(f) for f in self.families]), F.array(*[F.lit(x) for x in self.least])
+        every = F.transform("p", lambda p, i: F.when(p >= F.get(limits, i), F.struct(F.get(names, i).alias("family"), p.alias("probability"))))
+        found = self.probabilities(rows).select(*rows.columns, F.filter(every, lambda x: x.isNotNull()).alias("named"))
+        return found.where(F.size("named") > 0)
 
 
 def train(rows: DataFrame) -> Classifier:
@@ -155,21 +171,44 @@ def train(rows: DataFrame) -> Classifier:
     labelled = materialize(rows.withColumn("label", number).coalesce(4), "labelled")
     learner = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, standardization=False, aggregationDepth=2)
     model = learner.fit(_vectors(labelled.where("not kept_out")).select("features", "label"))
-    first = Classifier(model, families, 0.0)
-    held = first.probabilities(labelled.where(F.col("kept_out") & (F.col("family") == UNKNOWN_LABEL)).select("w")).where(F.col("family") != UNKNOWN_LABEL)
-    n = labelled.where(F.col("kept_out") & (F.col("family") == UNKNOWN_LABEL)).count()
-    wrong = sorted((r[0] for r in held.select("probability").collect()), reverse=True)  # of the kept-out sample
-    first.least = max(0.3, wrong[int(n / 1000)] + 1e-9) if len(wrong) > n // 1000 else 0.3
+    first = Classifier(model, families, [])
+    held = first.probabilities(labelled.where(F.col("kept_out") & (F.col("family") == UNKNOWN_LABEL)).select("w"))
+    wrong = [r.p for r in held.select("p").collect()]  # of the kept-out sample
+    n = len(wrong)
+    for f in range(len(families) - 1):
+        reached = sorted((p[f] for p in wrong), reverse=True)
+        first.least.append(max(0.3, reached[n // 1000] + 1e-9) if n else 0.3)
     return first
 
 
+def _fits(groups: Column, named: Column, own: Column) -> Column:
+    """(family, probability, similarity, hits) of every named family; ``hits``: the triples shared with templates that fit."""
+
+    def fit(x: Column) -> Column:
+        texts = F.element_at(groups, x["family"])
+        similarity = F.array_max(F.transform(texts, lambda tt: _similarity(tt, own)))
+        hits = F.flatten(F.transform(F.filter(texts, lambda tt: _similarity(tt, own) >= SHARED), lambda tt: F.array_intersect(tt, own)))
+        return F.struct(x["family"].alias("family"), x["probability"].alias("probability"), similarity.alias("similarity"), F.array_distinct(hits).alias("hits"))
+
+    return F.transform(named, fit)
+
+
+def _confirmed(x: Column, fits: Column) -> Column:
+    """Whether ``x`` fits and has a hit that no better fitting family has; other wordings of a family of licences share most."""
+    rank = lambda y: F.struct(y["similarity"], F.size(y["hits"]), y["family"])
+    better = F.flatten(F.transform(F.filter(fits, lambda y: rank(y) > rank(x)), lambda y: y["hits"]))
+    return F.size(F.array_except(x["hits"], better)) > 0
+
+
 def find(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(u, doc_id, nr, family, probability, similarity, confirmed) per window that the classifier gives to a family."""
-    named = classifier.probabilities(windows(docs, key, text)).where((F.col("family") != UNKNOWN_LABEL) & (F.col("probability") >= classifier.least))
-    groups = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("tt").alias("texts"))  # the fixed templates
-    best = let(_triples(F.col("w")), lambda own: F.array_max(F.transform("texts", lambda tt: _similarity(tt, own))))
-    found = named.join(F.broadcast(groups), "family").withColumn("similarity", best)
-    return found.select("u", F.col("id").alias("doc_id"), "nr", "family", "probability", "similarity", (F.col("similarity") >= SHARED).alias("confirmed"))
+    """(u, doc_id, nr, family, probability, similarity, confirmed) per window and family that the classifier names."""
+    named = classifier.named(windows(docs, key, text))
+    per = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("tt").alias("texts"))  # the fixed templates
+    groups = per.agg(F.map_from_entries(F.collect_list(F.struct("family", "texts"))).alias("groups"))
+    fits = let(_triples(F.col("w")), lambda own: _fits(F.col("groups"), F.col("named"), own))
+    judged = let(fits, lambda all_: F.transform(all_, lambda x: F.struct(x["family"].alias("family"), x["probability"].alias("probability"), x["similarity"].alias("similarity"), _confirmed(x, all_).alias("confirmed"))))
+    found = named.crossJoin(F.broadcast(groups)).select("u", F.col("id").alias("doc_id"), "nr", F.explode(judged).alias("x"))
+    return found.select("u", "doc_id", "nr", "x.*")
 
 
 def scan(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
