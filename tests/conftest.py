@@ -12,7 +12,3 @@ def spark():
     from veilframe.session import local_session
 
     return local_session("tests", 8, 4)
-
-
-def as_set(df, *cols):
-    return {tuple(r) for r in df.select(*cols).collect()}

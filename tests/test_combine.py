@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set
 from veilframe.functions import paillier
 from veilframe.functions.paillier import Decryptor, Encryptor, PublicKey, generate_keypair
 from veilframe.operators import combine as cb
 from veilframe.operators import encrypted as enc
-from conftest import as_set
 
 UPDATE = "round int, client_id string, param string, idx int, value double, num_samples bigint"
 ELEMENT = ["round", "param", "idx"]

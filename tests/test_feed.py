@@ -3,12 +3,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set
 from veilframe.operators import metrics as mt
 from veilframe.operators import status as st
 from veilframe.sources.events import EVENT_TYPES, read_event_stream, run_batches, utc, write_event_stream
 from veilframe.storage import new_path
 from veilframe.streaming import rounds as sr
-from conftest import as_set
 
 FEED = "ts timestamp_ntz, seq bigint, client_id string, kind string, value double"
 

@@ -1,21 +1,15 @@
-import hashlib
 import hmac
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set, key_table
 from veilframe.functions import sealing as s
 from veilframe.operators import messages as msg
 from veilframe.sources.events import read_event_stream
 from veilframe.storage import materialize, new_path
 from veilframe.streaming.rounds import stream_admit
-from conftest import as_set
-
-
-def key_table(spark, clients):
-    rows = [(c, hashlib.sha256(b"s" + c.encode()).digest(), hashlib.sha256(b"t" + c.encode()).digest()) for c in clients]
-    return spark.createDataFrame(rows, "client_id string, session_key binary, tag_key binary")
 
 
 def test_tag_is_hmac(spark):

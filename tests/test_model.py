@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set, gradient
 from veilframe.functions import numeric
 from veilframe.operators import model as md
-from conftest import as_set
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +27,6 @@ def model_of(spark, w, b):
     return spark.createDataFrame(rows, "param string, idx int, value double")
 
 
-def gradient(x, y, w, b, lr, l2, steps):
-    for _ in range(steps):
-        err = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w, b = w * (1 - lr * l2) - lr * (err[:, None] * x).mean(axis=0), b - lr * err.mean()
-    return [*w, b]
-
-
 def by_client(df, d):
     out = {}
     for r in df.collect():

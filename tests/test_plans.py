@@ -46,8 +46,9 @@ def test_clipping_does_not_move_the_updates(spark):
 def test_scans_read_only_what_they_need(spark):
     rows = mt.round_metrics(fx.view(spark, SF_DIR, fx.MEASUREMENTS))
     assert "user_id" not in plan(rows) and "event_id" not in plan(rows)
-    text = plan(rg.QUERIES["source_samples"](spark, SF_DIR))
+    text = plan(rg.QUERIES["source_samples"](spark, SF_DIR).where("c_acctbal > 0").select("c_custkey", "c_acctbal"))
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,0.0)]" in text
+    assert "c_mktsegment" not in text
 
 
 def test_latest_rows_are_cut_in_every_task(spark):

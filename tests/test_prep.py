@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set
 from veilframe.operators import prep
 from veilframe.sources.tables import read_metrics, read_model, read_samples, write_metrics, write_model
 from veilframe.operators.model import init_model
 from veilframe.storage import new_path
-from conftest import as_set
 
 
 @pytest.fixture(scope="module")

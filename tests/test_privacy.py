@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set
 from veilframe.functions.noise import gaussian, laplace, noise_scale, privacy_level
 from veilframe.operators import privacy as dp
-from conftest import as_set
 
 UPDATE = "round int, client_id string, param string, idx int, value double, num_samples bigint"
 

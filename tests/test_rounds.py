@@ -2,11 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from test_messages import key_table
-from test_model import gradient
+from helpers import as_set, gradient, key_table
 from veilframe.functions.paillier import generate_keypair
 from veilframe.plans.rounds import RoundConfig, run_rounds
-from conftest import as_set
 
 LR, L2 = 0.5, 1e-4
 

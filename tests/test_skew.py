@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import as_set
 from veilframe.operators.index import global_index, hash_assign, hash_counts, hash_index, row_hash
 from veilframe.skew import attach, hot_keys, running
-from conftest import as_set
 
 
 @pytest.fixture(scope="module")
