@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm import conversation_trie as ct
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
 from veilframe.llm import hnsw
@@ -136,3 +137,32 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_findings(spark), letters)
     judged = secrets.judge(secrets.candidates(docs), letters, model)
     return judged.select("doc_id", "nr", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= 0.5).alias("secret"))
+
+
+# crc-32 of a decimal number, bit by bit
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(id)), lambda i: ((ascii(substr(id, i // 8 + 1, 1)) >> (i % 8)::INTEGER) & 1)::BIGINT)),
+                lambda crc, b: xor(crc >> 1, (xor(crc, b) & 1) * 3988292384)), 4294967295::BIGINT)"""
+
+
+@query(
+    f"""
+    WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS p,
+                      strlen(coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, c::VARCHAR AS id, list({{'p': p, 's': s}} ORDER BY turn IS NOT NULL, turn, role, p) AS x FROM t GROUP BY c),
+    hs AS (SELECT c, x, {_CRC32} % 9 AS h FROM own),
+    r AS (SELECT a.c, list_concat(CASE WHEN b.c IS NULL THEN [] ELSE b.x[1:a.h] END, a.x[a.h + 1:]) AS x FROM hs a LEFT JOIN hs b ON b.c = a.c - a.c % 5),
+    m AS (SELECT c, len(x) AS n, d, list_transform(x[1:d], lambda e: e.p) AS path, CASE WHEN d > 0 THEN x[d].s ELSE 0 END AS s
+          FROM (SELECT c, x, unnest(range(0, len(x) + 1)) AS d FROM r)),
+    g AS (SELECT *, min(c) OVER (PARTITION BY d, path) AS node FROM m),
+    nodes AS (SELECT node, d, count(*) AS n_convs, any_value(s) AS s, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends
+              FROM g GROUP BY node, d),
+    up AS (SELECT a.node, a.d, b.node AS parent FROM nodes a JOIN g b ON b.c = a.node AND b.d = a.d - 1),
+    kids AS (SELECT parent, d - 1 AS d, count(*) AS n FROM up GROUP BY ALL),
+    own_sums AS (SELECT x.node, x.d, (k.n IS NULL)::BIGINT AS leaf, (n_convs - 1) * s AS saved FROM nodes x LEFT JOIN kids k ON k.parent = x.node AND k.d = x.d),
+    sums AS (SELECT a.node, a.d, sum(o.leaf)::BIGINT AS n_leaves, sum(o.saved)::BIGINT AS saved FROM own_sums o JOIN g a ON a.c = o.node AND a.d <= o.d GROUP BY a.node, a.d)
+    SELECT x.node AS conv_id, x.d AS depth, u.parent AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children, y.n_leaves, y.saved AS saved_tokens, x.ends AS ends_sha256
+    FROM nodes x JOIN sums y USING (node, d) LEFT JOIN up u USING (node, d) LEFT JOIN kids k ON k.parent = x.node AND k.d = x.d
+    """
+)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ct.branched_trie(table(spark, sf_dir, "conversations"))
