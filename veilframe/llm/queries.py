@@ -14,7 +14,7 @@ from veilframe.llm import decontaminate as dc
 from veilframe.llm import hnsw
 from veilframe.llm import licenses
 from veilframe.llm import line_dedup as ld
-from veilframe.llm import packing, quality, secrets
+from veilframe.llm import packing, quality, secrets, source_audit
 from veilframe.llm import token_shards as ts
 from veilframe.llm import warc
 
@@ -166,3 +166,31 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(rang
 )
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.branched_trie(table(spark, sf_dir, "conversations"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS u, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+    e AS (SELECT u, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term FROM e GROUP BY lang, term HAVING count(DISTINCT u) >= 3),
+    size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+    p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v)::HUGEINT AS p
+          FROM g JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v)::HUGEINT AS q FROM l JOIN size USING (lang)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    found AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM found))
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """
+)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
