@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.llm import conversation_trie as ct
 from veilframe.llm import dartminhash as dm
 from veilframe.llm import decontaminate as dc
-from veilframe.llm import hnsw
+from veilframe.llm import hnsw, jaccard_join
 from veilframe.llm import licenses
 from veilframe.llm import line_dedup as ld
 from veilframe.llm import packing, quality, secrets, source_audit
@@ -194,3 +194,20 @@ _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 )
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS u, doc_id,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT u, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT u, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+    c AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.u <> b.u GROUP BY a.u, b.u),
+    l AS (SELECT a, b FROM c JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    r AS (WITH RECURSIVE t(a, b) AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b) SELECT a, min(b) AS b FROM t GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT doc_id FROM d e WHERE e.u = least(d.u, coalesce(r.b, d.u))) AS component_id
+    FROM d LEFT JOIN n USING (u) LEFT JOIN r ON r.a = d.u
+    """
+)
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
