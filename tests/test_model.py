@@ -56,36 +56,37 @@ def hash_order(keys):
     return sorted(keys, key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
 
 
-def sgd(x, y, w, b, lr, l2, order):
+def sgd(x, y, w, b, lr, l2, order, steps):
     w = np.array(w, dtype=float)
-    for i in order:
-        err = 1 / (1 + np.exp(-(x[i] @ w + b))) - y[i]
-        w, b = w * (1 - lr * l2) - lr * err * x[i], b - lr * err
+    for s in range(steps):
+        i = [k for at, k in enumerate(order) if at * steps // len(order) == s]
+        if i:
+            err = 1 / (1 + np.exp(-(x[i] @ w + b))) - y[i]
+            w, b = w * (1 - lr * l2) - lr * (err[:, None] * x[i]).mean(axis=0), b - lr * err.mean()
     return np.array([*w, b])
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_sgd_epoch_is_sequential_in_hash_order(spark, data, samples, partitions):
+@pytest.mark.parametrize("partitions, steps", [(1, 1), (7, 5), (3, 90)])
+def test_sgd_epoch_takes_batches_in_hash_order(spark, data, samples, partitions, steps):
     x, y, c = data
-    got = by_client(md.local_sgd_epoch(samples.repartition(partitions), model_of(spark, [0.1, 0, 0, 0], 0.2)), 4)
+    rows = samples.withColumn("client_id", F.nullif("client_id", F.lit("c2"))).repartition(partitions)
+    got = by_client(md.local_sgd_epoch(rows, model_of(spark, [0.1, 0, 0, 0], 0.2), lr=0.3, steps=steps), 4)
     for k in set(c):
         order = hash_order(np.flatnonzero(c == k))
-        assert got[k] == pytest.approx(sgd(x, y, [0.1, 0, 0, 0], 0.2, 0.01, 1e-4, order))
-
-
-def test_sgd_shards_of_a_large_client_are_averaged_by_rows(spark, data, samples):
-    import hashlib
-
-    x, y, c = data
-    got = by_client(md.local_sgd_epoch(samples, model_of(spark, [0] * 4, 0), shards=4), 4)
-    keys = np.flatnonzero(c == "c0")
-    n_shards = 4
-    shards = {}
-    for k in keys:
-        shards.setdefault(int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:8], 16) % n_shards, []).append(k)
-    parts = [(len(s), sgd(x, y, [0] * 4, 0, 0.01, 1e-4, hash_order(s))) for s in shards.values()]
-    assert len(parts) > 1
-    assert got["c0"] == pytest.approx(sum(n * p for n, p in parts) / len(keys))
+        assert got[None if k == "c2" else k] == pytest.approx(sgd(x, y, [0.1, 0, 0, 0], 0.2, 0.3, 1e-4, order, steps))
+
+
+def test_sgd_epoch_of_one_large_client_keeps_to_partial_sums(spark):
+    rows = spark.range(200_000).selectExpr(
+        "id AS row_key", "if(id % 10 = 0, 'small', 'large') AS client_id", "CAST(id % 2 AS INT) AS y", "if(id % 1000 = 7, NULL, id % 2 - 0.5D) AS f_0", "rand(3) AS f_1"
+    )
+    got = md.local_sgd_epoch(rows, md.init_model(spark, 2), lr=0.5, steps=4)
+    assert as_set(got, "client_id", "num_samples") == {("small", 20_000), ("large", 180_000 - 200)}
+    assert all(p[0] > 0.1 for p in by_client(got, 2).values())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    with pytest.raises(ValueError):
+        md.local_sgd_epoch(rows, md.init_model(spark, 2), steps=0)
 
 
 def test_prediction_threshold_is_strict(spark):

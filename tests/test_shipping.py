@@ -3,17 +3,18 @@
 import subprocess
 import sys
 
+import numpy as np
 from pyspark import cloudpickle
 
 from veilframe.functions.paillier import Decryptor, Encryptor, generate_keypair
-from veilframe.operators.model import sgd_pass
+from veilframe.operators.model import _hits
 
 LOAD = """
 import pickle, sys
-key, encrypt, decrypt, sgd = pickle.load(sys.stdin.buffer)
+key, encrypt, decrypt, hits = pickle.load(sys.stdin.buffer)
 assert not any(m.startswith("veilframe") for m in sys.modules)
-import numpy as np
-print(decrypt(key).value(encrypt(key.public).encrypt(-2.5)), sgd(np.zeros(2), np.ones((1, 1)), np.ones(1), 1.0, 0.0))
+import pandas as pd
+print(decrypt(key).value(encrypt(key.public).encrypt(-2.5)), next(hits(iter([pd.DataFrame({"x": [[2.0]], "y": [1]})]))).values.tolist())
 """
 
 
@@ -24,6 +25,6 @@ def test_task_code_needs_no_installed_package(tmp_path):
     def decrypt(key):
         return Decryptor(key)
 
-    data = cloudpickle.dumps((generate_keypair(256, seed=1), encrypt, decrypt, sgd_pass))
+    data = cloudpickle.dumps((generate_keypair(256, seed=1), encrypt, decrypt, _hits(["a"], np.ones((2, 1)), "c")))
     run = subprocess.run([sys.executable, "-c", LOAD], input=data, capture_output=True, cwd=tmp_path)
-    assert run.stdout.decode().strip() == "-2.5 [0.5 0.5]", run.stderr.decode()
+    assert run.stdout.decode().strip() == "-2.5 [['a', 1, 1]]", run.stderr.decode()

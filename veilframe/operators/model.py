@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from veilframe.functions.numeric import UNROLL, dot, linear, literal_array, sigmoid
-from veilframe.operators.index import row_hash
-from veilframe.operators.prep import feature_columns
+from veilframe.operators.index import hash_assign, hash_counts
+from veilframe.operators.prep import drop_incomplete, feature_columns
 from veilframe.skew import attach, union_all
-from veilframe.storage import materialize, materialize_counted
+from veilframe.storage import materialize, materialize_counted, new_path
 
 MARGINS = 4_000_000  # scores held at once while evaluating many models
 
@@ -100,12 +100,20 @@ def _error_sums(rows: DataFrame, margin: Column, x: str | None, client: str, lab
     return rows.groupBy(client).agg(F.sum("_err").alias("_gb"), F.count(F.lit(1)).alias("num_samples"), grads.alias("_g"))
 
 
+def _stepped(n: Column, lr: float, l2: float) -> Column:
+    """``_w`` after a step along ``_g``, the gradients summed over ``n`` rows."""
+    return F.zip_with("_w", "_g", lambda w, g: w * F.lit(1.0 - lr * l2) - F.lit(lr) * (g / n))
+
+
 def _move(totals: DataFrame, lr: float, l2: float, client: str) -> DataFrame:
     """One gradient step from ``_w`` and ``_b``, as long updates; the bias is not penalised."""
-    n, rate = F.col("num_samples"), F.lit(lr)
-    weights = F.zip_with("_w", "_g", lambda w, g: w * F.lit(1.0 - lr * l2) - rate * (g / n))
-    params = F.concat(weights, F.array(F.col("_b") - rate * (F.col("_gb") / n)))
-    long = totals.select(client, "num_samples", F.size("_w").alias("_d"), F.posexplode(params).alias("_at", "value"))
+    n = F.col("num_samples")
+    return _long(totals, F.concat(_stepped(n, lr, l2), F.array(F.col("_b") - F.lit(lr) * (F.col("_gb") / n))), client)
+
+
+def _long(rows: DataFrame, params: Column, client: str) -> DataFrame:
+    """``(client_id, param, idx, value, num_samples)`` of weights followed by the bias."""
+    long = rows.select(client, "num_samples", F.size("_w").alias("_d"), F.posexplode(params).alias("_at", "value"))
     is_weight = F.col("_at") < F.col("_d")
     return long.select(
         client,
@@ -132,83 +140,42 @@ def local_sgd_epoch(
     lr: float = 0.01,
     l2: float = 1e-4,
     seed: int = 42,
-    shards: int = 1,
+    steps: int = 8,
     client: str = "client_id",
     label: str = "y",
 ) -> DataFrame:
-    """One epoch of per-row SGD for each client, rows in hash order.
+    """One epoch of mini-batch SGD for each client: ``steps`` batches of its rows in hash order, each a step from the one before.
 
-    Every client is cut by hash into ``shards`` sequences that train from the same start and are averaged by row count. With
-    1, the default, a client is one sequence in one task; choose more where a client does not fit a task.
+    Row i of a client's n complete rows belongs to batch i * steps div n, so batches differ by one row at most, whatever the client's
+    size; a client of fewer rows than steps has batches of one row and empty ones, which move nothing. Rows are written once by batch. A
+    step reads its batch only, adds up gradients per client before the shuffle, and writes every client's parameters for the next
+    one: no client and no batch is ever gathered in a task, and a lost executor repeats one step at most.
     """
+    if steps < 1:
+        raise ValueError(f"an epoch of {steps} steps")
+    spark, features = samples.sparkSession, feature_columns(samples)
     w, b = model_vector(model)
-    start = np.array([*w, b])
-    features = feature_columns(samples)
-    sizes = samples.groupBy(client).agg(F.count(F.lit(1)).alias("num_samples"))
-    rows = attach(samples.select(client, key, label, *features), sizes, [client], null_safe=True)
-    rows = rows.withColumn("_hash", row_hash(seed, key)).select(
-        client,
-        label,
-        *features,
-        "num_samples",
-        (_hash_part(1, 8) % F.lit(shards)).alias("_shard"),
-        _hash_part(1, 15).alias("_high"),
-        _hash_part(16, 15).alias("_low"),
-    )
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["_low"], pdf["_high"]))
-        x, y = pdf[features].to_numpy(dtype=float)[order], pdf[label].to_numpy(dtype=float)[order]
-        params = sgd_pass(start, np.ascontiguousarray(x), y, lr, l2)
-        return pd.DataFrame(
-            {
-                client: pdf[client].iloc[0],
-                "num_samples": pdf["num_samples"].iloc[0],
-                "_rows": len(pdf),
-                "params": [params.tolist()],
-            }
-        )
-
-    kind = samples.schema[client].dataType.simpleString()
-    trained = rows.groupBy(client, "_shard").applyInPandas(
-        train, f"{client} {kind}, num_samples bigint, _rows bigint, params array<double>"
-    )
-    d = len(features)
-    long = trained.select(client, "num_samples", "_rows", F.posexplode("params").alias("pos", "v"))
-    return (
-        long.groupBy(client, "num_samples", "pos")
-        .agg((F.sum(F.col("v") * F.col("_rows")) / F.sum("_rows")).alias("value"))
-        .select(
-            client,
-            F.when(F.col("pos") < d, "W").otherwise("b").alias("param"),
-            F.when(F.col("pos") < d, F.col("pos")).otherwise(0).alias("idx"),
-            "value",
-            "num_samples",
-        )
-    )
-
-
-def _hash_part(start: int, digits: int) -> Column:
-    return F.conv(F.substring("_hash", start, digits), 16, 10).cast("bigint")
-
-
-def sgd_pass(params: np.ndarray, x: np.ndarray, y: np.ndarray, lr: float, l2: float) -> np.ndarray:
-    """Constant-rate logistic SGD over the rows in order; the last parameter is the unpenalised bias.
-
-    Weights are kept as ``scale * v`` so that the penalty is one multiplication per row.
-    """
-    v, b, scale, shrink = params[:-1].copy(), float(params[-1]), 1.0, 1.0 - lr * l2
-    for row, target in zip(x, y.tolist(), strict=True):
-        margin = scale * float(row.dot(v)) + b
-        small = math.exp(-abs(margin))
-        error = (1.0 if margin >= 0 else small) / (1.0 + small) - target
-        scale *= shrink
-        v -= (lr * error / scale) * row
-        b -= lr * error
-        if scale < 1e-6:
-            v *= scale
-            scale = 1.0
-    return np.append(v * scale, b)
+    rows = drop_incomplete(samples.select(client, key, label, *features), [label, *features])
+    counts = hash_counts(rows, seed, key, by=[client]).withColumn("_total", F.sum("_n").over(W.partitionBy(client)))
+
+    def batch(position: Column) -> Column:
+        return F.call_function("div", position * F.lit(steps), F.col("_total")).cast("int")
+
+    path = new_path(spark, "batches")
+    placed = hash_assign(rows, key, counts, batch, "_batch", seed, by=[client]).drop(key)
+    placed.write.partitionBy("_batch").parquet(path)
+    batches = spark.read.schema(placed.schema).parquet(path)
+    sizes = counts.groupBy(client).agg(F.sum("_n").alias("num_samples"))
+    now = materialize(sizes.select(client, "num_samples", literal_array(w).alias("_w"), F.lit(float(b)).alias("_b")), "parameters")
+    for step in range(steps):
+        part = attach(batches.where(F.col("_batch") == step), now.drop("num_samples"), [client], null_safe=True, written=False)
+        margin = dot(F.col("_w"), F.array(*features)) + F.col("_b")
+        sums = _error_sums(part, margin, None, client, label).withColumnRenamed("num_samples", "_rows")
+        moved = attach(now, sums, [client], "left", null_safe=True, written=False)
+        w_new = F.when(F.col("_rows").isNull(), F.col("_w")).otherwise(_stepped(F.col("_rows"), lr, l2))
+        b_new = F.when(F.col("_rows").isNull(), F.col("_b")).otherwise(F.col("_b") - F.lit(lr) * (F.col("_gb") / F.col("_rows")))
+        now = materialize(moved.select(client, "num_samples", w_new.alias("_w"), b_new.alias("_b")), "parameters")
+    return _long(now, F.concat("_w", F.array("_b")), client)
 
 
 def predict(samples: DataFrame, model: DataFrame, array_col: str | None = None, name: str = "prediction") -> DataFrame:

@@ -102,6 +102,31 @@ gr AS MATERIALIZED (SELECT client_id, {grads}, avg(err) AS gb, count(*) AS n FRO
 SELECT client_id, param, idx, {r('v', digits)} AS value, n AS num_samples FROM ({rows})"""
 
 
+def sgd_epoch(source: str, d: int, steps: int, lr: float = 0.01, l2: float = 1e-4, seed: int = 42) -> str:
+    """Mini-batch steps of every client in hash order from zero, one common table per step."""
+    x = ", ".join(f"f_{i}" for i in range(d))
+    tables = [
+        f"""t AS MATERIALIZED (SELECT client_id, y, [{x}] AS x, size AS n, (place * {steps}) // size AS batch FROM (
+            SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY {hashed(seed)}) - 1 AS place, count(*) OVER (PARTITION BY client_id) AS size FROM {source} q))""",
+        f"p0 AS (SELECT DISTINCT client_id, n, [{', '.join(['0.0e0'] * d)}] AS w, 0.0e0 AS b FROM t)",
+    ]
+    grads = ", ".join(f"avg(err * x[{i + 1}])" for i in range(d))
+    for s in range(steps):
+        tables.append(
+            f"""p{s + 1} AS MATERIALIZED (SELECT p.client_id, p.n,
+                CASE WHEN g IS NULL THEN w ELSE list_transform(list_zip(w, g), lambda e: e[1] * {1 - lr * l2!r}e0 - {lr}e0 * e[2]) END AS w,
+                CASE WHEN g IS NULL THEN b ELSE b - {lr}e0 * gb END AS b
+            FROM p{s} p LEFT JOIN (SELECT client_id, [{grads}] AS g, avg(err) AS gb FROM (
+                SELECT t.client_id, x, 1.0e0 / (1.0e0 + exp(-(list_inner_product(w, x) + b))) - y AS err FROM t JOIN p{s} USING (client_id) WHERE batch = {s})
+                GROUP BY client_id) USING (client_id))"""
+        )
+    last = f"p{steps}"
+    return f"""
+WITH {", ".join(tables)}
+SELECT client_id, 'W' AS param, CAST(i - 1 AS INTEGER) AS idx, {r('w[i]')} AS value, n AS num_samples FROM {last}, unnest(range(1, {d + 1})) AS u(i)
+UNION ALL SELECT client_id, 'b', 0, {r('b')}, n FROM {last}"""
+
+
 # ---- privacy ----
 
 

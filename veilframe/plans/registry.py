@@ -257,7 +257,7 @@ def model_accuracy_by_client(spark, sf_dir):
     return rounded(md.evaluate_clients(rows, models, "x"), 9, ["accuracy"])
 
 
-@query()
+@query(o.sgd_epoch(o.clients(_TRAIN, 3), o.N_FEATURES, 8))
 def model_sgd_epoch(spark, sf_dir):
     samples = client_samples(spark, sf_dir)
     return rounded(md.local_sgd_epoch(samples, md.init_model(spark, o.N_FEATURES)), 9, ["value"])

@@ -25,7 +25,7 @@ class RoundConfig:
     """Defaults: 10 rounds, budget 10 per update, clipping norm 2."""
 
     rounds: int = 10
-    solver: str = "gradient"  # or 'sgd': one pass of per-row steps
+    solver: str = "gradient"  # or 'sgd': an epoch of mini-batches
     lr: float = 0.01
     l2: float = 1e-4
     steps: int = 1

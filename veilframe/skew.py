@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilframe.storage import materialize, materialize_counted
+from veilframe.storage import materialize, materialize_counted, materialize_measured, measure
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 HOT_ROWS = 2_000_000
 
 
@@ -41,26 +42,30 @@ def attach(
     hot_rows: int = HOT_ROWS,
     written: bool = True,
     null_safe: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``side`` (unique per key) to ``df``; how = inner, left, left_semi or left_anti.
 
-    ``side`` is written once (unless it holds secrets: ``written=False``) and counted. Up to ``max_rows`` rows it is broadcast and ``df`` is not shuffled. A larger
-    side is joined by shuffle for ordinary keys, while the rows of hot keys meet a broadcast of just their side rows.
+    ``side`` is written once (unless it holds secrets or is a written table already: ``written=False``), counted and measured. Up to
+    ``max_rows`` rows and ``max_bytes`` it is broadcast and ``df`` is not shuffled. A larger side is joined by shuffle for ordinary keys, while
+    the rows of hot keys meet a broadcast of just their side rows, as long as these stay below ``max_bytes``.
     ``null_safe`` lets NULL keys meet, for sides that were grouped from the rows themselves.
     """
     keys = list(keys)
     if null_safe:
         marked = df.withColumns(_null_safe(keys))
         side = side.withColumns(_null_safe(keys)).drop(*keys)
-        return attach(marked, side, list(_null_safe(keys)), how, max_rows, hot_rows, written).drop(*_null_safe(keys))
-    side, n = materialize_counted(side, "side") if written else (side, side.count())
-    if n <= max_rows:
+        return attach(marked, side, list(_null_safe(keys)), how, max_rows, hot_rows, written, max_bytes=max_bytes).drop(*_null_safe(keys))
+    side, n, size = materialize_measured(side, "side") if written else (side, *measure(side))
+    if n <= max_rows and size <= max_bytes:
         return df.join(F.broadcast(side), keys, how)
     hot = hot_keys(df, keys, hot_rows, max_rows)
     if hot is None:
         return df.join(side, keys, how)
     hot = hot.select(*keys)
     hot_side = side.join(F.broadcast(hot), keys, "left_semi")
+    if measure(hot_side)[1] > max_bytes:
+        return df.join(side, keys, how)
     hot_part = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_side), keys, how)
     rest = df.join(F.broadcast(hot), keys, "left_anti").join(side, keys, how)
     return rest.unionByName(hot_part)

@@ -11,8 +11,9 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOLDER = "spark.checkpoint.dir"
 
@@ -41,9 +42,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return materialize_counted(df, name)[0]
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + F.lit(16)
+    elif isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))
+        size = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.MapType):
+        pairs = F.map_entries(value)
+        size = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + _bytes(x["key"], kind.keyType) + _bytes(x["value"], kind.valueType))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    return sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16).cast("long"))
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table and about the bytes they take."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()
+    return n, size
+
+
 def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write ``df`` once; the table read back and its row count, taken while writing."""
+    return materialize_measured(df, name, F.lit(0))[:2]
+
+
+def materialize_measured(df: DataFrame, name: str, size: Column | None = None) -> tuple[DataFrame, int, int]:
+    """As ``materialize_counted``, with about the bytes the rows take."""
     spark = df.sparkSession
     path, seen = new_path(spark, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    width = row_bytes(df.schema) if size is None else size
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["size"] or 0
