@@ -23,8 +23,6 @@ CATEGORICAL_CANDIDATES = ["workclass", "education", "marital-status", "occupatio
 MISSING = "?"
 LABEL_SKEW_NAMES = ("non-iid", "noniid", "label_skew")
 
-MAX_WIDE_FEATURES = 2_000
-
 
 def null_markers(df: DataFrame, cols: Sequence[str] | None = None, marker: str = MISSING) -> DataFrame:
     """Exact ``marker`` becomes NULL in the string columns."""
@@ -86,11 +84,9 @@ def onehot_fit(df: DataFrame, categorical: Sequence[str], offset: int = 0) -> Da
 def onehot_transform(df: DataFrame, dictionary: DataFrame, numeric: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Wide matrix ``keep.., f_0..f_{d-1}``: numeric columns first, then one indicator per dictionary row.
 
-    The dictionary becomes literals in one projection; beyond MAX_WIDE_FEATURES use ``onehot_sparse``.
+    Every level is a column of the plan, which suits some thousand levels; ``sparse.sparse_rows`` takes any number.
     """
-    rows = dictionary.orderBy("idx").limit(MAX_WIDE_FEATURES + 1).collect()
-    if len(rows) > MAX_WIDE_FEATURES:
-        raise ValueError(f"more than {MAX_WIDE_FEATURES} indicator columns: use onehot_sparse")
+    rows = dictionary.orderBy("idx").collect()
     return assemble(df, numeric, [F.when(_c(r.feature) == r.level, 1.0).otherwise(0.0) for r in rows], keep)
 
 

@@ -18,6 +18,7 @@ from veilframe.operators import metrics as mt
 from veilframe.operators import model as md
 from veilframe.operators import prep
 from veilframe.operators import privacy as dp
+from veilframe.operators import sparse as sp
 from veilframe.operators import status as st
 from veilframe.operators.index import global_index, hash_index
 from veilframe.plans import fixtures as fx
@@ -234,6 +235,43 @@ def model_gradient_step_array(spark, sf_dir):
     return rounded(step, 9, ["value"])
 
 
+def sparse_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Split sparse rows and the scaling of their train part."""
+    rows = materialize(clean(spark, sf_dir), "clean")
+    levels = prep.onehot_fit(rows, CATEGORICAL, offset=len(NUMERIC))
+    sparse = sp.sparse_rows(rows, levels, NUMERIC, CATEGORICAL, ["row_key", "y"])
+    sparse = materialize(prep.stratified_split(sparse, "y", "row_key", seed=SEED), "sparse")
+    return sparse, sp.sparse_scale_fit(sparse.where("split = 'train'"))
+
+
+_SCALE_ROWS = " UNION ALL ".join(f"SELECT {i} AS idx, avg(f_{i}) AS m, stddev_pop(f_{i}) AS s FROM t" for i in range(o.N_FEATURES))
+
+
+@query(
+    f"""WITH t AS MATERIALIZED (SELECT * FROM {o.SPLIT} x WHERE split = 'train')
+    SELECT idx, {o.r('m', 6)} AS mean, {o.r('CASE WHEN s = 0 THEN 1.0e0 ELSE s END', 6)} AS scale FROM ({_SCALE_ROWS}) WHERE m <> 0"""
+)
+def prep_scale_sparse(spark, sf_dir):
+    return rounded(sparse_samples(spark, sf_dir)[1], 6, ["mean", "scale"])
+
+
+@query(o.gradient_step(o.clients(_TRAIN, 3), o.N_FEATURES, lambda i: f"f_{i}"))
+def model_gradient_step_sparse(spark, sf_dir):
+    rows, stats = sparse_samples(spark, sf_dir)
+    samples = prep.assign_clients(rows.where("split = 'train'"), 3, "row_key", seed=SEED)
+    return rounded(sp.sparse_gradient_step(samples, start_model(spark, o.N_FEATURES), stats), 9, ["value"])
+
+
+_ACCURACY = f"""SELECT split, {o.r('avg(CASE WHEN (m > 0) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END)')} AS accuracy, count(*) AS n_rows
+    FROM (SELECT split, y, {o.margin(o.N_FEATURES, lambda i: f'f_{i}')} AS m FROM {o.SCALED} s) GROUP BY split"""
+
+
+@query(_ACCURACY)
+def model_accuracy_sparse(spark, sf_dir):
+    rows, stats = sparse_samples(spark, sf_dir)
+    return rounded(md.accuracy(sp.sparse_predict(rows, start_model(spark, o.N_FEATURES), stats), ["split"]), 9, ["accuracy"])
+
+
 @query(
     f"""SELECT split, {o.r('avg(CASE WHEN (m > 0) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END)')} AS accuracy, count(*) AS n_rows
     FROM (SELECT split, y, {o.margin(o.N_FEATURES, lambda i: f'f_{i}')} AS m FROM {o.SCALED} s) GROUP BY split"""
