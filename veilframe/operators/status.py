@@ -55,13 +55,14 @@ def status_state(feed: DataFrame) -> DataFrame:
 
 def resolve_status(state: DataFrame) -> DataFrame:
     """Status and last value per client: its own or a broadcast state, whichever is later; IDLE and 0 after a reset."""
-    shared = state.where("client_id IS NULL").first()
-    reset, sent_at, sent = (shared.reset_seq, shared.seq, shared.status) if shared else (None, None, None)
-    reset = -1 if reset is None else reset
-    live = F.col("seq") > reset
-    status = F.when(live, F.col("status")).otherwise(IDLE)
-    if sent_at is not None and sent_at > reset:
-        status = F.when(F.coalesce(F.col("seq"), F.lit(-1)) > sent_at, status).otherwise(sent)
+    shared = state.where("client_id IS NULL")
+
+    def of_all(column: str, default: object) -> Column:
+        return F.coalesce(shared.select(column).scalar(), F.lit(default))  # a subquery of the same plan
+
+    reset, sent_at, own = of_all("reset_seq", -1), of_all("seq", -1), F.coalesce("seq", F.lit(-1))
+    live = own > reset
+    status = F.when((sent_at > reset) & (own <= sent_at), shared.select("status").scalar()).when(live, F.col("status")).otherwise(IDLE)
     return state.where("client_id IS NOT NULL").select(
         "client_id", status.alias("status"), F.when(live, F.col("value")).otherwise(0.0).alias("value")
     )
@@ -77,16 +78,18 @@ def status_snapshot(feed: DataFrame, rounds: DataFrame, config: DataFrame, metri
     ``config(valid_from, epsilon)`` holds budget changes, ``metrics(round, accuracy)`` finished rounds.
     """
     level = threat_level(F.col("kind"))
-    round_no = rounds.where("kind = 'round_start'").agg(F.max("round")).first()[0]
-    epsilon = config.agg(F.max_by("epsilon", "valid_from")).first()[0]
-    done = metrics.agg(F.count(F.lit(1)), F.max_by("accuracy", "round")).first()
-    return feed.agg(
-        F.lit(round_no or 0).cast("int").alias("round"),
+    one = feed.agg(
         F.coalesce(F.max_by(level, F.when(level.isNotNull(), F.col("seq"))), F.lit(CALM)).alias("threat_level"),
         F.countDistinct("client_id").alias("num_clients"),
-        F.lit(epsilon).cast("double").alias("epsilon"),
-        F.lit(done[0]).cast("bigint").alias("rounds_done"),
-        F.lit(done[1]).cast("double").alias("last_accuracy"),
+    )
+    round_no = rounds.where("kind = 'round_start'").agg(F.max("round")).scalar()
+    return one.select(
+        F.coalesce(round_no, F.lit(0)).cast("int").alias("round"),
+        "threat_level",
+        "num_clients",
+        config.agg(F.max_by("epsilon", "valid_from")).scalar().cast("double").alias("epsilon"),
+        metrics.agg(F.count(F.lit(1))).scalar().cast("bigint").alias("rounds_done"),
+        metrics.agg(F.max_by("accuracy", "round")).scalar().cast("double").alias("last_accuracy"),
         F.lit(num_features).alias("num_features"),
     )
 

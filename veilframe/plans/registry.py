@@ -941,11 +941,13 @@ def round_spans(spark, sf_dir):
 
 
 def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates as a stream of files, one day per round, a few files per micro-batch."""
+    """The updates as a stream of files in the order of rounds, one day per round, a few files per micro-batch."""
     day = F.timestamp_seconds(F.col("round").cast("bigint") * 86_400)
     rows = updates(spark, sf_dir).drop("global_value").withColumn("ts", day)
+    rows = materialize(rows, "updates")
     path = new_path(spark, "update-stream")
-    rows.repartition(8, "client_id").write.parquet(path)
+    for low in range(0, 13, 2):  # two rounds at a time, as they end; every client sends in each
+        rows.where(F.col("round").between(low, low + 1)).repartition(4, "client_id").write.mode("append").parquet(path)
     return ev.read_event_stream(spark, path, rows.schema, files_per_trigger=4)
 
 
@@ -962,7 +964,7 @@ def stream_events(spark, sf_dir):
 
 @query(f"{_ELEMENT9} {_FEDAVG} f")
 def stream_fedavg(spark, sf_dir):
-    result = sr.complete_result(sr.stream_combine(update_stream(spark, sf_dir), "1 day", "2 days"), spark, "fedavg")
+    result = sr.latest_result(sr.stream_combine(update_stream(spark, sf_dir), "1 day", "2 days"), spark, "fedavg", ["round_start", "param", "idx"])
     round_no = (F.unix_seconds("round_start") / 86_400).cast("int").alias("round")
     return rounded(result.select(round_no, "param", "idx", "value"), 9, ["value"])
 
@@ -978,15 +980,13 @@ def stream_admit(spark, sf_dir):
     sealed = fx.sealed_messages(rows)
     source, out, checkpoint = (new_path(spark, n) for n in ("inbox", "outbox", "outbox-checkpoint"))
     end = sealed.agg(F.max("seq")).first()[0] + 1
-    parts = 3
+    parts = 5
     for part in range(parts):  # messages arrive in order; the stream is stopped and resumed in between
         low, high = part * end // parts, (part + 1) * end // parts
         sealed.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(source)
         stream = ev.read_event_stream(spark, source, sealed.schema)
         sr.stream_admit(stream, fx.registry_of(rows), fx.keys_of(rows), out, checkpoint)
-    return spark.read.schema("seq bigint, client_id string, status string").parquet(f"{out}/admitted").select(
-        "seq", "client_id", "status"
-    )
+    return spark.read.schema("seq bigint, client_id string, status string").parquet(out)
 
 
 @query(f"SELECT client_id, epoch, sum(epsilon) AS spent, count(*) AS steps FROM {o.LEDGER} l GROUP BY client_id, epoch")
@@ -995,10 +995,32 @@ def stream_ledger(spark, sf_dir):
     path = new_path(spark, "ledger-stream")
     rows.repartition(4, "client_id").write.parquet(path)
     stream = ev.read_event_stream(spark, path, rows.schema, files_per_trigger=2)
-    return sr.complete_result(sr.stream_ledger(stream), spark, "ledger")
+    return sr.latest_result(sr.stream_ledger(stream), spark, "ledger", ["client_id", "epoch"])
 
 
 @query(_STATUS)
 def stream_client_status(spark, sf_dir):
     stream = ev.read_event_stream(spark, sf_dir, glob="events.parquet")
     return sr.stream_status(spark.sql(fx.FEED, events=stream), spark)
+
+
+@query(
+    f"""SELECT round, CAST(started AS TIMESTAMP) AS started, CAST(ended AS TIMESTAMP) AS ended, date_diff('microsecond', started, ended) / 1e6 AS seconds,
+    CASE WHEN ended IS NULL THEN 'aborted' ELSE 'completed' END AS status
+    FROM (SELECT round, min(ts) FILTER (WHERE kind = 'round_start') AS started, max(ts) FILTER (WHERE kind = 'round_complete') AS ended
+          FROM {o.ROUND_EVENTS} r GROUP BY round)"""
+)
+def stream_round_spans(spark, sf_dir):
+    """The round feed in the order of time, with a heartbeat a day after its end that lets the watermark pass the last rounds."""
+    rows = fx.view(spark, sf_dir, fx.ROUND_EVENTS).withColumn("ts", ev.utc("ts"))
+    rows = materialize(rows, "round-events")
+    path = new_path(spark, "round-feed")
+    low, high = rows.agg(F.min("round"), F.max("round")).first()
+    for part in range(4):
+        mine = F.floor((F.col("round") - low) * 4 / F.lit(high - low + 1)) == part
+        rows.where(mine).write.mode("append").parquet(path)
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select("ts", F.lit(None).cast("int").alias("round"), F.lit("heartbeat").alias("kind"))
+    beat.write.mode("append").parquet(path)
+    feed = ev.read_event_stream(spark, path, rows.schema, files_per_trigger=8)
+    spans = sr.stream_spans(feed, spark, "1 hour", 3_600_000).where("round IS NOT NULL")
+    return spans.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})

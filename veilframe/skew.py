@@ -59,6 +59,8 @@ def attach(
     side, n, size = materialize_measured(side, "side") if written else (side, *measure(side))
     if n <= max_rows and size <= max_bytes:
         return df.join(F.broadcast(side), keys, how)
+    if df.isStreaming:
+        return df.join(side, keys, how)
     hot = hot_keys(df, keys, hot_rows, max_rows)
     if hot is None:
         return df.join(side, keys, how)

@@ -81,3 +81,40 @@ def materialize_measured(df: DataFrame, name: str, size: Column | None = None) -
     width = row_bytes(df.schema) if size is None else size
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["size"] or 0
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path object of a URI, for small files that the driver writes itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear whole, by a rename; False if it is there already."""
+    fs, at = _hadoop(spark, path)
+    if fs.exists(at):
+        return False
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at.getParent()}/.{at.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, at) and not fs.exists(at):
+        raise OSError(f"cannot write {path}")
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names in a folder; none if there is no such folder."""
+    fs, at = _hadoop(spark, folder)
+    if not fs.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if not s.getPath().getName().startswith("."))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions.sealing import NO_COUNTER, counter_or_default
 from veilframe.operators.combine import collect_updates, median_update
-from veilframe.operators.messages import admit
 from veilframe.operators.privacy import budget_totals
 from veilframe.operators.status import resolve_status, status_state
-from veilframe.skew import attach
 from veilframe.sources.events import run_batches
 from veilframe.storage import new_path
+from veilframe.streaming.keyed import rocksdb, round_spans, start_admission
+from veilframe.streaming.upsert import read_upserts, start_upserts
 
 
 def stream_combine(updates: DataFrame, width: str, lateness: str, ts: str = "ts") -> DataFrame:
@@ -27,17 +28,13 @@ def stream_combine(updates: DataFrame, width: str, lateness: str, ts: str = "ts"
     return sums.select(F.col("span.start").alias("round_start"), "param", "idx", "value")
 
 
-def complete_result(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Result table of a complete-mode aggregation after all available input."""
-    out, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
-    last = []
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last[:] = [batch_id]
-
-    run_batches(df, save, checkpoint, "complete")
-    return spark.read.schema(df.schema).parquet(f"{out}/batch={last[0]}")
+def latest_result(
+    df: DataFrame, spark: SparkSession, name: str, keys: Sequence[str], order: str | None = None, path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Result table of an update-mode stream after all available input; give ``path`` and ``checkpoint`` to go on with them later."""
+    out, marks = path or new_path(spark, name), checkpoint or new_path(spark, f"{name}-checkpoint")
+    start_upserts(df, out, marks, keys, order).awaitTermination()
+    return read_upserts(spark, out, df.schema)
 
 
 def stream_median(updates: DataFrame, spark: SparkSession) -> DataFrame:
@@ -55,50 +52,9 @@ def stream_median(updates: DataFrame, spark: SparkSession) -> DataFrame:
     return median_update(spark.read.schema(updates.schema).parquet(out))
 
 
-def stream_admit(
-    messages: DataFrame, registry: DataFrame, keys: DataFrame, path: str, checkpoint: str, compact_every: int = 20
-) -> None:
-    """Admit a message stream; results go to ``path/admitted/batch=N``, counters to ``path/state/batch=N``.
-
-    Each micro-batch runs the batch admission with the counters left by earlier batches as start values, so a client
-    that sends a large share of the messages is split like in a batch. State files are deltas of the clients seen,
-    every ``compact_every``-th a full snapshot; a batch repeated after a failure reads the same older files and replaces
-    its own.
-    """
-    state_path = f"{path}/state"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.sparkSession.read.schema(batch.schema).parquet(_written(batch, f"{path}/input/batch={batch_id}"))
-        first = (batch_id - 1) // compact_every * compact_every
-        earlier = None
-        if batch_id > 0:
-            files = [f"{state_path}/batch={i}" for i in range(max(first, 0), batch_id)]
-            rows = batch.sparkSession.read.schema("client_id string, last_counter bigint").parquet(*files)
-            earlier = rows.groupBy("client_id").agg(F.max("last_counter").alias("start_counter"))
-        admitted = admit(_with_start(batch, earlier), registry, keys)
-        out = f"{path}/admitted/batch={batch_id}"
-        admitted.drop("start_counter").write.mode("overwrite").parquet(out)
-        done = batch.sparkSession.read.schema(admitted.drop("start_counter").schema).parquet(out)
-        moved = done.where(F.col("status").isin("ok", "invalid_signature")).groupBy("client_id").agg(
-            F.max(counter_or_default()).alias("last_counter")
-        )
-        if batch_id % compact_every == 0 and earlier is not None:
-            old = earlier.withColumnRenamed("start_counter", "last_counter")
-            moved = moved.unionByName(old).groupBy("client_id").agg(F.max("last_counter").alias("last_counter"))
-        moved.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-
-    run_batches(messages, step, checkpoint)
-
-
-def _written(batch: DataFrame, path: str) -> str:
-    batch.write.mode("overwrite").parquet(path)
-    return path
-
-
-def _with_start(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    if earlier is None:
-        return batch.withColumn("start_counter", F.lit(NO_COUNTER).cast("bigint"))
-    return attach(batch, earlier, ["client_id"], "left")
+def stream_admit(messages: DataFrame, registry: DataFrame, keys: DataFrame, path: str, checkpoint: str) -> None:
+    """Admit all available messages of a stream into the folder ``path``; the last counters stay in the checkpoint's state."""
+    start_admission(messages, registry, keys, path, checkpoint).awaitTermination()
 
 
 def stream_ledger(steps: DataFrame) -> DataFrame:
@@ -108,4 +64,10 @@ def stream_ledger(steps: DataFrame) -> DataFrame:
 
 def stream_status(feed: DataFrame, spark: SparkSession) -> DataFrame:
     """Latest status per client."""
-    return resolve_status(complete_result(status_state(feed), spark, "status"))
+    return resolve_status(latest_result(status_state(feed), spark, "status", ["client_id"]))
+
+
+def stream_spans(events: DataFrame, spark: SparkSession, lateness: str, patience_ms: int, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Spans of the rounds a stream delivered."""
+    with rocksdb(spark):
+        return latest_result(round_spans(events, lateness, patience_ms), spark, "spans", ["round"], "version", path, checkpoint).drop("version")
