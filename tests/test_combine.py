@@ -40,7 +40,7 @@ def test_median_ignores_weights_and_useless_updates(spark):
     assert values(cb.median_update(df)) == [2]
 
 
-@pytest.mark.parametrize("case", ["spread", "ties", "two values", "sorted"])
+@pytest.mark.parametrize("case", ["spread", "ties", "two values", "even halves", "infinite", "sorted"])
 def test_median_of_large_groups_is_exact(spark, case):
     rng = np.random.default_rng(5)
     n = 20_001 if case != "sorted" else 20_000
@@ -48,14 +48,30 @@ def test_median_of_large_groups_is_exact(spark, case):
         "spread": rng.normal(size=n),
         "ties": np.where(rng.random(n) < 0.4, 0.25, rng.normal(size=n)),
         "two values": np.where(np.arange(n) < n // 2, 1.0, 2.0),
+        "even halves": np.where(np.arange(n - 1) < n // 2, 1.0, 2.0),
+        "infinite": np.where(np.arange(n) < n // 3, -np.inf, np.where(np.arange(n) % 2 == 0, np.inf, np.arange(n) * 1e-3)),
         "sorted": np.arange(n, dtype=float),
     }[case]
     rows = [(1, "c", "W", 0, float(v), 1) for v in data] + [(1, "c", "W", 1, float(v), 1) for v in data[:10]]
     df = spark.createDataFrame(rows, UPDATE).repartition(6)
-    got = values(cb.median_update(df, max_group_rows=1000, accuracy=100))
+    got = values(cb.median_update(df, max_group_rows=1000))
     assert got == [np.median(data), np.median(data[:10])]
 
 
+def test_median_of_one_very_large_group_moves_sketches_only(spark):
+    rows = spark.range(10_000_000).selectExpr("1 AS round", "'W' AS param", "0 AS idx", "CAST(hash(id) AS DOUBLE) AS value", "1 AS num_samples")
+    got = values(cb.median_update(rows, max_group_rows=20_000))
+    assert got == [rows.selectExpr("percentile(value, 0.5D)").first()[0]]
+
+
+def test_sketched_medians_keep_their_rank_and_merge(spark):
+    rows = spark.range(60_000).selectExpr("1 AS round", "'W' AS param", "CAST(id % 2 AS INT) AS idx", "CAST(id AS DOUBLE) AS value", "1 AS num_samples", "concat('c', id) AS client_id")
+    parts = [cb.median_sketch(rows.where(F.col("value") % 3 == i)) for i in range(3)]
+    merged = cb.sketch_median(cb.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))).collect()
+    for r in [*merged, *cb.sketch_median(cb.median_sketch(rows)).collect()]:
+        assert r.n == 30_000 and abs(r.value - 30_000) < 60_000 * 0.017
+
+
 def test_empty_round_and_missing_elements_keep_the_model(spark):
     previous = spark.createDataFrame([(1, "W", 0, 5.0), (1, "W", 1, 6.0)], "round int, param string, idx int, value double")
     for how in ("fedavg", "median"):

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.skew import attach
+from veilframe.skew import attach, union_all
+from veilframe.storage import materialize, materialize_counted
 
 ELEMENT = ("round", "param", "idx")
 MEDIAN_ROWS = 100_000
-MEDIAN_ACCURACY = 2_000
+SKETCH_K = 200
+GRID = 256  # quantiles that are read from a sketch at a time
 
 
 def collect_updates(updates: DataFrame, round: int | None = None) -> DataFrame:
@@ -33,67 +35,81 @@ def fedavg(updates: DataFrame, by: Sequence[str] = ELEMENT) -> DataFrame:
     return updates.groupBy(*by).agg(F.try_divide(weighted, F.sum("num_samples")).alias("value"))
 
 
-def median_update(
-    updates: DataFrame,
-    by: Sequence[str] = ELEMENT,
-    max_group_rows: int = MEDIAN_ROWS,
-    accuracy: int = MEDIAN_ACCURACY,
-) -> DataFrame:
+def median_sketch(updates: DataFrame, by: Sequence[str] = ELEMENT, k: int = SKETCH_K) -> DataFrame:
+    """A mergeable quantile sketch per element, ``(by.., n, sketch)``; works on streams too."""
+    usable = collect_updates(updates)
+    return usable.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(parts: DataFrame, by: Sequence[str] = ELEMENT, k: int = SKETCH_K) -> DataFrame:
+    """Sketches of the union of written partials."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_median(sketches: DataFrame) -> DataFrame:
+    """``value``: the median of each sketch, by rank within about 1.7 % of the count at the default size."""
+    return sketches.withColumn("value", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5))).drop("sketch")
+
+
+def median_update(updates: DataFrame, by: Sequence[str] = ELEMENT, max_group_rows: int = MEDIAN_ROWS, k: int = SKETCH_K) -> DataFrame:
     """Exact unweighted median per element; the mean of the middle two when the count is even.
 
-    Groups of bounded size use the built-in median. Otherwise a mergeable quantile summary brackets the middle ranks
-    (its rank error is at most n/accuracy), and a second pass counts the values below and at the bracket's ends and
-    keeps only the few strictly inside, so no task ever holds a whole group.
+    Groups of up to ``max_group_rows`` use the built-in median. For larger ones a sketch of the values brackets a middle rank; the next pass
+    counts what lies below, at and between the bracket's ends and sketches what is between, until the rank is at an end or at most
+    ``max_group_rows`` values are between. So no task ever holds more than that of a group, and every pass but the last moves one sketch
+    per group and task.
     """
     by = list(by)
     updates = collect_updates(updates)
-    sizes = updates.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= max_group_rows:
+    sizes, n_groups = materialize_counted(updates.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if not n_groups or sizes.agg(F.max("n")).first()[0] <= max_group_rows:
         return updates.groupBy(*by).agg(F.median("value").alias("value"))
-
-    accuracy = max(accuracy, 8 * largest // max_group_rows)  # keeps the inside of a bracket below max_group_rows
-    margin = 3.0 / accuracy
-    bracket = updates.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
-        F.percentile_approx("value", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
-    )
-    few = F.col("_n") < 4 * accuracy  # short groups keep everything between their extremes
-    bracket = bracket.select(
-        *by,
-        "_n",
-        F.when(few, F.col("_min")).otherwise(F.get("_q", F.lit(0))).alias("_lo"),
-        F.when(few, F.col("_max")).otherwise(F.get("_q", F.lit(1))).alias("_hi"),
-    )
-    v, lo, hi = F.col("value"), F.col("_lo"), F.col("_hi")
-    counted = (
-        attach(updates.select(*by, "value"), bracket, by)
-        .groupBy(*by)
-        .agg(
-            F.first("_n").alias("_n"),
-            F.first("_lo").alias("_lo"),
-            F.first("_hi").alias("_hi"),
-            F.count(F.when(v < lo, 1)).alias("_below"),
-            F.count(F.when(v == lo, 1)).alias("_at_lo"),
-            F.count(F.when((v == hi) & (hi > lo), 1)).alias("_at_hi"),
-            F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("_inside"),
+    small = attach(updates.select(*by, "value"), sizes.where(F.col("n") <= max_group_rows), by).groupBy(*by).agg(F.median("value").alias("value"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    ranks = sizes.where(F.col("n") > max_group_rows).select(*by, F.explode(middle).alias("r"))
+    rows = attach(updates.select(*by, "value"), sizes.where(F.col("n") > max_group_rows).select(*by), by)
+
+    v, lo, hi, r = (F.col(c) for c in ("value", "lo", "hi", "r"))
+    between = (v > lo) & (v < hi)
+    edges = {"lo": float("-inf"), "hi": float("inf"), "above": float("-inf"), "under": float("inf")}  # the value is in (above, under)
+    open_ = ranks.withColumns({c: F.lit(x) for c, x in edges.items()})
+    found, short = [], []
+    while not open_.isEmpty():
+        seen = attach(rows, open_, by).groupBy(*by, "r", *edges).agg(
+            F.count(F.when(v < lo, 1)).alias("below"),
+            F.count(F.when(v == lo, 1)).alias("at_lo"),
+            F.count(F.when(between, 1)).alias("between"),
+            F.count(F.when((v == hi) & (hi > lo), 1)).alias("at_hi"),
+            F.kll_sketch_agg_double(F.when(between, v), F.lit(k)).alias("sketch"),
         )
-    )
-
-    def ranked(rank):
-        start = F.col("_below") + F.col("_at_lo")
-        end = start + F.size("_inside")
-        return (
-            F.when((rank >= F.col("_below")) & (rank < start), F.col("_lo"))
-            .when((rank >= start) & (rank < end), F.get("_inside", (rank - start).cast("int")))
-            .when((rank >= end) & (rank < end + F.col("_at_hi")), F.col("_hi"))
-            .otherwise(F.raise_error(F.lit("median rank outside its bracket")).cast("double"))
+        start, end = F.col("below") + F.col("at_lo"), F.col("below") + F.col("at_lo") + F.col("between")
+        now = materialize(seen.withColumns({"start": start, "end": end}), "brackets")
+        start, end = F.col("start"), F.col("end")
+        low, at_lo, at_hi = r < F.col("below"), (r >= F.col("below")) & (r < start), (r >= end) & (r < end + F.col("at_hi"))
+        inside = (r >= start) & (r < end)
+        found.append(now.where(at_lo | at_hi).select(*by, "r", F.when(at_lo, lo).otherwise(hi).alias("value")))
+        short.append(now.where(inside & (F.col("between") <= max_group_rows)).select(*by, "r", "lo", "hi", "start"))
+        left = now.where(~at_lo & ~at_hi & ~(inside & (F.col("between") <= max_group_rows)))
+        share, slack = (r - start) / F.col("between"), F.lit(8.0 / k)  # several times the sketch's rank error
+        grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+        steps = (F.greatest(F.floor((share - slack) * GRID), F.lit(0)), F.least(F.ceil((share + slack) * GRID), F.lit(GRID)))
+        ends = [F.get(grid, at.cast("int")) for at in steps]
+        missed = [F.when(low, F.col("above")).otherwise(hi), F.when(low, lo).otherwise(F.col("under"))]
+        open_ = materialize(
+            left.select(
+                *by,
+                "r",
+                *[F.when(inside, new).otherwise(other).alias(c) for c, new, other in zip(("lo", "hi"), ends, missed, strict=True)],
+                F.when(inside, lo).otherwise(F.col("above")).alias("above"),
+                F.when(inside, hi).otherwise(F.col("under")).alias("under"),
+            ),
+            "open",
         )
-
-    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    return counted.select(*by, ((ranked(low) + ranked(high)) / 2.0).alias("value"))
+    held = attach(rows, materialize(union_all(short), "short"), by).where(between)
+    arrays = held.groupBy(*by, "r", "start").agg(F.sort_array(F.collect_list("value")).alias("x"))
+    picked = arrays.select(*by, "r", F.get("x", (r - F.col("start")).cast("int")).alias("value"))
+    large = union_all([*found, picked]).groupBy(*by).agg(F.avg("value").alias("value"))
+    return small.unionByName(large)
 
 
 def combine(updates: DataFrame, previous: DataFrame, how: str = "fedavg", by: Sequence[str] = ELEMENT) -> DataFrame:

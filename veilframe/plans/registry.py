@@ -24,7 +24,7 @@ from veilframe.operators.index import global_index, hash_index
 from veilframe.plans import fixtures as fx
 from veilframe.plans import oracles as o
 from veilframe.plans.rounds import RoundConfig, run_rounds
-from veilframe.skew import attach
+from veilframe.skew import attach, union_all
 from veilframe.sources import events as ev
 from veilframe.sources import tables as tb
 from veilframe.storage import materialize, new_path
@@ -548,6 +548,28 @@ def median_update(spark, sf_dir):
     return rounded(cb.median_update(updates(spark, sf_dir)), 9, ["value"])
 
 
+RANK_ERROR = 0.02  # of the count; about 1.7 % at the sketch's size
+
+
+def rank_checked(medians: DataFrame, rows: DataFrame) -> DataFrame:
+    """Whether the rank of each sketched median is within ``RANK_ERROR`` of the middle; ties share a range of ranks."""
+    met = attach(rows.select(*ROUND_ELEMENT, F.col("value").alias("v")), medians, ROUND_ELEMENT)
+    ranks = met.groupBy(*ROUND_ELEMENT, "n").agg(F.sum((F.col("v") < F.col("value")).cast("int")).alias("a"), F.sum((F.col("v") <= F.col("value")).cast("int")).alias("b"))
+    room = F.col("n") * RANK_ERROR + 1
+    return ranks.select(*ROUND_ELEMENT, "n", ((F.col("a") <= F.col("n") / 2 + room) & (F.col("b") >= F.col("n") / 2 - room)).alias("near"))
+
+
+_NEAR = f"SELECT round, param, idx, count(*) AS n, true AS near FROM {o.UPDATES} u GROUP BY round, param, idx"
+
+
+@query(_NEAR)
+def median_sketch(spark, sf_dir):
+    rows = cb.collect_updates(updates(spark, sf_dir))
+    parts = [cb.median_sketch(rows.where(F.pmod(F.xxhash64("client_id"), F.lit(3)) == i)) for i in range(3)]
+    merged = cb.merge_sketches(materialize(union_all(parts), "sketches"))
+    return rank_checked(cb.sketch_median(merged), rows)
+
+
 def sparse_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates that leave some elements without any client."""
     return updates(spark, sf_dir).where("NOT (param = 'N' AND idx >= 4)")
@@ -974,6 +996,13 @@ def stream_median(spark, sf_dir):
     return rounded(sr.stream_median(update_stream(spark, sf_dir), spark), 9, ["value"])
 
 
+@query(_NEAR)
+def stream_median_sketch(spark, sf_dir):
+    medians = sr.stream_median_sketch(update_stream(spark, sf_dir), spark, "1 day", "2 days")
+    round_no = (F.unix_seconds("round_start") / 86_400).cast("int").alias("round")
+    return rank_checked(medians.select(round_no, "param", "idx", "n", "value"), cb.collect_updates(updates(spark, sf_dir)))
+
+
 @query(f"SELECT seq, client_id, status FROM {o.ADMITTED} a")
 def stream_admit(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.operators.combine import collect_updates, median_update
+from veilframe.operators.combine import collect_updates, median_sketch, median_update, sketch_median
 from veilframe.operators.privacy import budget_totals
 from veilframe.operators.status import resolve_status, status_state
 from veilframe.sources.events import run_batches
@@ -37,6 +37,17 @@ def latest_result(
     return read_upserts(spark, out, df.schema)
 
 
+def stream_median_sketch(updates: DataFrame, spark: SparkSession, width: str, lateness: str, ts: str = "ts", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Approximate medians per element and round window: ``(round_start, param, idx, n, value)``.
+
+    The state is one sketch per element of a window that is still open; the result table keeps the sketches, so that windows of several
+    streams can be merged later.
+    """
+    windowed = updates.withWatermark(ts, lateness).withColumn("round_start", F.window(ts, width))
+    sketches = median_sketch(windowed, ["round_start", "param", "idx"]).withColumn("round_start", F.col("round_start.start"))
+    return sketch_median(latest_result(sketches, spark, "sketches", ["round_start", "param", "idx"], path=path, checkpoint=checkpoint))
+
+
 def stream_median(updates: DataFrame, spark: SparkSession) -> DataFrame:
     """Coordinate medians of the rounds a stream delivered.
 
