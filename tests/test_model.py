@@ -116,3 +116,12 @@ def test_start_and_latest_model(spark):
     assert as_set(md.current_model(both), "round") == {(4,)}
     with pytest.raises(ValueError):
         md.predict(spark.createDataFrame([(1.0,)], "f_0 double"), first)
+
+
+def test_a_hundred_thousand_models(spark):
+    n = 100_000
+    models = spark.range(n).selectExpr("concat('c', id) AS client_id", "explode(array(named_struct('param', 'W', 'idx', 0, 'value', 1.0D), named_struct('param', 'b', 'idx', 0, 'value', -(id % 10) - 0.5D))) AS e")
+    rows = spark.range(10).selectExpr("CAST(id AS DOUBLE) AS f_0", "1 AS y")
+    got = md.evaluate_clients(rows, models.select("client_id", "e.*"), block_bytes=400_000)
+    summary = got.groupBy("accuracy", "n_rows").count().collect()
+    assert {(round(r.accuracy, 6), r.n_rows, r["count"]) for r in summary} == {((9 - i) / 10, 10, n // 10) for i in range(10)}

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from helpers import as_set, gradient, key_table
 from veilframe.functions.paillier import generate_keypair
+from veilframe.plans import rounds
 from veilframe.plans.rounds import RoundConfig, run_rounds
+from veilframe.storage import names_in, new_path
 
 LR, L2 = 0.5, 1e-4
 
@@ -99,3 +101,49 @@ def test_a_run_goes_on_from_the_counters_of_the_registry(spark, train):
     assert as_set(result.admissions, "round", "client_id", "counter", "status") == {
         (r, c, r + (5 if c == "c0" else 0), "ok") for r in (1, 2) for c in clients
     }
+
+
+@pytest.mark.parametrize("seed", [5, None])
+def test_a_run_that_dies_goes_on_after_its_last_round(spark, train, monkeypatch, seed):
+    """Ended at every table and note in turn, always with the same folder."""
+    clients = [f"c{i}" for i in range(3)]
+    registry = spark.createDataFrame([(c,) for c in clients], "client_id string")
+    config, folder = RoundConfig(rounds=2, lr=LR, seed=seed, clip=0.5), new_path(spark, "log")
+    run = lambda **more: run_rounds(train, train, config, registry, key_table(spark, clients), **more)
+    keep, commit, calls, deaths = rounds._keep, rounds.commit_text, 0, 0
+
+    def dies(at, what):
+        def step(*args):
+            nonlocal calls
+            calls += 1
+            if calls > at:
+                raise OSError("lost")
+            return what(*args)
+
+        return step
+
+    result = None
+    while result is None:
+        calls = 0
+        with monkeypatch.context() as m:  # every attempt gets further by one step of the round that is open
+            done = len(names_in(spark, f"{folder}/notes"))
+            limit = deaths % 8 + 2
+            m.setattr(rounds, "_keep", dies(limit, keep))
+            m.setattr(rounds, "commit_text", dies(limit, commit))
+            try:
+                result = run(log=folder)
+            except OSError:
+                deaths += 1
+        assert len(names_in(spark, f"{folder}/notes")) >= done and deaths < 40
+    assert deaths >= 7
+    assert [r["round"] for r in result.metrics.orderBy("round").collect()] == [1, 2]
+    assert as_set(result.ledger, "client_id", "round") == {(c, r) for c in clients for r in (1, 2)} and result.ledger.count() == 6
+    assert as_set(result.admissions, "round", "client_id", "status") == {(r, c, "ok") for r in (1, 2) for c in clients}
+    if seed is not None:
+        whole = run()
+        assert as_set(result.models, "round", "param", "idx", "value") == as_set(whole.models, "round", "param", "idx", "value")
+        assert as_set(result.released, "round", "client_id", "param", "idx", "noise") == as_set(whole.released, "round", "client_id", "param", "idx", "noise")
+    again = run(log=folder)  # nothing is left to do
+    assert as_set(again.models, "round", "param", "idx", "value") == as_set(result.models, "round", "param", "idx", "value")
+    with pytest.raises(ValueError):
+        run_rounds(train, train, RoundConfig(rounds=2, lr=LR / 2), registry, key_table(spark, clients), log=folder)

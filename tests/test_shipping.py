@@ -3,18 +3,17 @@
 import subprocess
 import sys
 
-import numpy as np
 from pyspark import cloudpickle
 
 from veilframe.functions.paillier import Decryptor, Encryptor, generate_keypair
-from veilframe.operators.model import _hits
+from veilframe.operators.model import _multiply
 
 LOAD = """
 import pickle, sys
 key, encrypt, decrypt, hits = pickle.load(sys.stdin.buffer)
 assert not any(m.startswith("veilframe") for m in sys.modules)
-import pandas as pd
-print(decrypt(key).value(encrypt(key.public).encrypt(-2.5)), next(hits(iter([pd.DataFrame({"x": [[2.0]], "y": [1]})]))).values.tolist())
+import pyarrow as pa
+print(decrypt(key).value(encrypt(key.public).encrypt(-2.5)), hits(pa.table({"x": [[2.0]], "y": [1]}), pa.table({"c": ["a"], "_p": [[1.0, 1.0]]})).to_pylist())
 """
 
 
@@ -25,6 +24,6 @@ def test_task_code_needs_no_installed_package(tmp_path):
     def decrypt(key):
         return Decryptor(key)
 
-    data = cloudpickle.dumps((generate_keypair(256, seed=1), encrypt, decrypt, _hits(["a"], np.ones((2, 1)), "c")))
+    data = cloudpickle.dumps((generate_keypair(256, seed=1), encrypt, decrypt, _multiply("c", 1)))
     run = subprocess.run([sys.executable, "-c", LOAD], input=data, capture_output=True, cwd=tmp_path)
-    assert run.stdout.decode().strip() == "-2.5 [['a', 1, 1]]", run.stderr.decode()
+    assert run.stdout.decode().strip() == "-2.5 [{'c': 'a', 'hits': 1, 'n': 1}]", run.stderr.decode()

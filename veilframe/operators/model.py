@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +13,7 @@ from pyspark.sql import Window as W
 from veilframe.functions.numeric import UNROLL, dot, linear, literal_array, sigmoid
 from veilframe.operators.index import hash_assign, hash_counts
 from veilframe.operators.prep import drop_incomplete, feature_columns
-from veilframe.skew import attach, union_all
+from veilframe.skew import attach
 from veilframe.storage import materialize, materialize_counted, new_path
 
 MARGINS = 4_000_000  # scores held at once while evaluating many models
@@ -202,48 +200,46 @@ def evaluate_clients(
     client: str = "client_id",
     block_bytes: int = 32_000_000,
 ) -> DataFrame:
-    """Accuracy of every client's model on the shared test rows.
+    """Accuracy of every client's model on the shared test rows, as a blocked matrix product.
 
-    Each task multiplies its Arrow batches with a matrix of models and keeps one hit counter per model, so rows and
-    models never meet as joined pairs. Models are shipped in hash blocks of about ``block_bytes``, one pass each.
+    Test rows and models are cut into blocks of about ``block_bytes``. Every two blocks meet by key in a task's group of their own, are
+    multiplied there and leave one hit counter per model, which are added up: no model comes to the driver, no row and model meet as a pair.
     """
     arrays, n_models = materialize_counted(client_arrays(client_models, client), "models")
     if not n_models:
         return arrays.select(client, F.lit(0.0).alias("accuracy"), F.lit(0).cast("bigint").alias("n_rows"))
     d = arrays.select(F.size("_w")).first()[0]
     per_block = max(1, block_bytes // (8 * (d + 1)))
-    blocks = -(-n_models // per_block)
     x = F.col(array_col) if array_col else F.array(*feature_columns(test))
     rows = test.select(x.cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
-    kind = client_models.schema[client].dataType.simpleString()
-    parts = []
-    for block in range(blocks):
-        in_block = F.pmod(F.xxhash64(client), F.lit(blocks)) == block
-        models = arrays.where(in_block).collect()
-        if models:
-            ids = [m[client] for m in models]
-            matrix = np.array([[*m["_w"], m["_b"]] for m in models]).T
-            hits = rows.mapInPandas(_hits(ids, matrix, client), f"{client} {kind}, hits bigint, n bigint")
-            parts.append(materialize(hits, "hits"))  # so the driver holds one block of models at a time
-    return (
-        union_all(parts)
-        .groupBy(client)
-        .agg((F.sum("hits") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_rows"))
-    )
+    row_blocks, model_blocks = max(1, -(-rows.count() // per_block)), -(-n_models // per_block)
 
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-def _hits(ids: list, matrix: np.ndarray, client: str):
-    step = max(1, MARGINS // len(ids))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits, n = np.zeros(len(ids), dtype=np.int64), 0
-        for pdf in batches:
-            if len(pdf):
-                x, positive = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()[:, None] == 1
-                for at in range(0, len(pdf), step):
-                    part = slice(at, at + step)
-                    hits += ((x[part] @ matrix[:-1] + matrix[-1] > 0) == positive[part]).sum(axis=0)
-                n += len(pdf)
-        yield pd.DataFrame({client: ids, "hits": hits, "n": n})
+    left = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).alias("_t"), every(model_blocks).alias("_m"), "x", "y")
+    right = arrays.select(every(row_blocks).alias("_t"), F.pmod(F.xxhash64(client), F.lit(model_blocks)).alias("_m"), client, F.concat("_w", F.array("_b")).alias("_p"))
+    kind = client_models.schema[client].dataType.simpleString()
+    met = left.groupBy("_t", "_m").cogroup(right.groupBy("_t", "_m"))
+    hits = met.applyInArrow(_multiply(client, d), f"{client} {kind}, hits bigint, n bigint")
+    return hits.groupBy(client).agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("accuracy"), F.sum("n").alias("n_rows"))
+
+
+def _multiply(client: str, d: int):
+    """Hits of a block of models on a block of rows."""
+
+    def values(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    def count(rows: pa.Table, models: pa.Table) -> pa.Table:
+        params, hits = values(models.column("_p"), d + 1), np.zeros(models.num_rows, np.int64)
+        if rows.num_rows and models.num_rows:
+            x, positive = values(rows.column("x"), d), rows.column("y").to_numpy() == 1
+            step = max(1, MARGINS // models.num_rows)
+            for at in range(0, len(x), step):
+                part = slice(at, at + step)
+                hits += ((x[part] @ params[:, :-1].T + params[:, -1] > 0) == positive[part][:, None]).sum(axis=0)
+        n = np.full(models.num_rows, rows.num_rows, np.int64)
+        return pa.table({client: models.column(client), "hits": hits, "n": n})
 
     return count
