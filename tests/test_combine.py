@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from helpers import as_set
 from veilframe.functions import paillier
-from veilframe.functions.paillier import Decryptor, Encryptor, PublicKey, generate_keypair
+from veilframe.functions.paillier import Decryptor, Encryptor, PublicKey, generate_keypair, packing
 from veilframe.operators import combine as cb
 from veilframe.operators import encrypted as enc
+from veilframe.storage import materialize
 
 UPDATE = "round int, client_id string, param string, idx int, value double, num_samples bigint"
 ELEMENT = ["round", "param", "idx"]
@@ -165,3 +166,30 @@ def test_long_vectors_encrypt(spark):
     sent = enc.he_encrypt(df, "value", PublicKey.from_wire(KEY.public.to_wire()), tasks=3)
     assert values(enc.he_decrypt(sent, "cipher", KEY)) == list(range(25))
     assert sent.select(F.countDistinct("cipher.ciphertext")).first()[0] == 25
+
+
+def test_packed_updates_average_like_plain_ones(spark):
+    rng, key = np.random.default_rng(4), generate_keypair(512, seed=3)
+    rows = [(1, f"c{c}", p, i, float(v), c * 3) for c in range(6) for p in "AB" for i, v in enumerate(rng.normal(size=11) * 10.0 ** rng.integers(-6, 3))]
+    rows = [r if (r[1], r[3]) != ("c2", 7) else (*r[:4], None, r[5]) for r in rows] + [(1, "c1", "C", 4, float("nan"), 3), (1, "c3", "C", 5, -2.5, 9)]
+    df = spark.createDataFrame(rows, UPDATE)
+    plan = enc.plan_packing(df, key.public, ["round", "param", "idx"], weight="num_samples")
+    assert plan.slots >= 4
+    sent = materialize(enc.he_encrypt_packed(df, ["round", "client_id", "param"], key.public, plan, weight="num_samples"), "packed")
+    assert sent.count() <= 6 * 2 * 3 + 1
+    got = {(r.param, r.idx): r.value for r in enc.he_fedavg_packed(sent, ["round", "param"], key, plan).collect()}
+    want = {(r.param, r.idx): r.value for r in cb.fedavg(cb.collect_updates(df), ["round", "param", "idx"]).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-10) for k, v in want.items())
+
+
+def test_slots_hold_signs_and_sums_up_to_their_bound():
+    key = generate_keypair(512, seed=3)
+    plan = packing(key.public, 7.5, 1000)
+    values = {i: (-1) ** i * 7.5 for i in range(plan.slots)}
+    sums = plan.unpack(sum([plan.pack(values)] * 1000))
+    assert [s / (1 << plan.bits) for s in sums] == [1000 * values[i] for i in range(plan.slots)]
+    with pytest.raises(OverflowError):
+        plan.pack({0: 7.6})
+    with pytest.raises(OverflowError):
+        packing(key.public, 1.0, 1 << 600)
+    assert packing(PublicKey((1 << 2048) - 1), 100.0, 10**9).slots >= 10  # at least ten times fewer encryptions at 2,048 bits

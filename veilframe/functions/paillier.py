@@ -73,6 +73,45 @@ def _probably_prime(n: int, rng: random.Random, rounds: int = 40) -> bool:
     return True
 
 
+@dataclass(frozen=True)
+class Packing:
+    """Several fixed-point numbers in one plaintext, ``width`` bits apart, so that one encryption and one decryption serve them all.
+
+    A slot has room for the sign, numbers up to ``largest`` and sums of up to ``weight`` of them; built by ``packing``, which checks this.
+    """
+
+    slots: int
+    width: int
+    bits: int
+    largest: float
+
+    def pack(self, values: dict[int, float]) -> int:
+        total = 0
+        for slot, x in values.items():
+            if abs(x) > self.largest:
+                raise OverflowError("value too large for its slot")
+            total += int(round(x * (1 << self.bits))) << (slot * self.width)
+        return total
+
+    def unpack(self, m: int) -> list[int]:
+        """The signed sums of all slots; a negative one has borrowed from the next."""
+        half, out = 1 << (self.width - 1), []
+        for _ in range(self.slots):
+            low = ((m + half) & ((1 << self.width) - 1)) - half
+            out.append(low)
+            m = (m - low) >> self.width
+        return out
+
+
+def packing(key: PublicKey, largest: float, weight: int = 1, bits: int = 64) -> Packing:
+    """As many slots as the key holds for numbers up to ``largest`` in size, ``bits`` after the point, summed with weights up to ``weight`` in total."""
+    width = bits + max(1, int(largest).bit_length() + 1) + max(1, int(weight)).bit_length() + 1
+    slots = (key.n.bit_length() - 3) // width
+    if slots < 1:
+        raise OverflowError("the key is too short for these numbers and weights")
+    return Packing(slots, width, bits, largest)
+
+
 class Encryptor:
     """Encrypts many numbers under one public key; build one per task."""
 
@@ -89,7 +128,9 @@ class Encryptor:
             base = row[-1] * base % self.square
 
     def encrypt(self, x: float) -> int:
-        m = int(round(x * (1 << self.bits)))
+        return self.encrypt_integer(int(round(x * (1 << self.bits))))
+
+    def encrypt_integer(self, m: int) -> int:
         if 3 * abs(m) >= self.n:
             raise OverflowError("value too large for this key")
         blind, exponent = 1, secrets.randbits(self.digits * _DIGIT)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from veilframe.functions.paillier import SCALE_BITS, Decryptor, Encryptor, PrivateKey, PublicKey
+from veilframe.functions.paillier import SCALE_BITS, Decryptor, Encryptor, Packing, PrivateKey, PublicKey, packing
 
 CIPHER = T.StructType([T.StructField("ciphertext", T.StringType()), T.StructField("exponent", T.IntegerType())])
 OUT_ROWS = 2_000
@@ -73,6 +73,7 @@ def he_weighted_sum(
     cipher: str = "cipher",
     weight: str = "num_samples",
     tasks: int | None = None,
+    bits: int = SCALE_BITS,
 ) -> DataFrame:
     """``sum(weight * x)`` on ciphertexts, with the plain total weight: ``(by.., cipher, weight)``.
 
@@ -83,10 +84,84 @@ def he_weighted_sum(
     """
     by = list(by)
     rows = df.select(*by, cipher, F.col(weight).cast("bigint").alias(weight)).where(F.col(cipher).isNotNull() & (F.col(weight) >= 0))
-    partial = rows.sortWithinPartitions(*by).mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=True), rows.schema)
+    partial = rows.sortWithinPartitions(*by).mapInArrow(_fold(rows.schema, len(by), key, True, bits), rows.schema)
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = partial.repartition(tasks, *by).sortWithinPartitions(*by)
-    return grouped.mapInArrow(_fold(rows.schema, len(by), key, raise_to_weight=False), rows.schema)
+    return grouped.mapInArrow(_fold(rows.schema, len(by), key, False, bits), rows.schema)
+
+
+def plan_packing(df: DataFrame, key: PublicKey, by: Sequence[str] = (), col: str = "value", weight: str | None = None, bits: int = 64) -> Packing:
+    """The slots that the column's largest number, and with ``weight`` the largest total weight of a ``by`` group, leave room for."""
+    size = F.max(F.when(~F.isnan(col), F.abs(col)))
+    if weight is None:
+        largest, total = df.agg(size).first()[0], 1
+    else:
+        groups = df.groupBy(*by).agg(size.alias("v"), F.sum(weight).alias("w"))
+        largest, total = groups.agg(F.max("v"), F.max("w")).first()
+    return packing(key, largest or 0.0, total or 1, bits)
+
+
+def he_encrypt_packed(
+    df: DataFrame, by: Sequence[str], key: PublicKey, plan: Packing, col: str = "value", index: str = "idx", weight: str | None = None, tasks: int | None = None
+) -> DataFrame:
+    """One ciphertext per ``by`` group and block of ``plan.slots`` positions: ``(by.., block, filled, cipher[, weight])``.
+
+    ``filled`` lists the slots that hold a number; rows with NULL or NaN have none. ``weight`` is one number per group.
+    """
+    by, keep = list(by), [weight] if weight else []
+    at = F.col(index).cast("bigint")
+    known = df.where(F.col(col).isNotNull() & ~F.isnan(col))
+    slot = F.struct(F.pmod(at, F.lit(plan.slots)).cast("int").alias("slot"), F.col(col).cast("double").alias("x"))
+    rows = known.select(*by, F.floor(at / plan.slots).cast("bigint").alias("block"), slot.alias("e"), *keep)
+    held = [F.max(weight).alias(weight)] if weight else []
+    blocks = rows.groupBy(*by, "block").agg(F.sort_array(F.collect_list("e")).alias("values"), *held)
+    blocks = blocks.select(*by, "block", F.col("values.slot").alias("filled"), "values", *keep)
+    schema = _replace(blocks.schema, "values", T.StructField("cipher", CIPHER))
+    place = blocks.columns.index("values")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, encryptor = to_arrow_schema(schema), None
+        for batch in batches:
+            encryptor = encryptor or Encryptor(key)
+            packed = [plan.pack({e["slot"]: e["x"] for e in values}) for values in batch.column(place).to_pylist()]
+            columns = batch.columns
+            columns[place] = pa.array([{"ciphertext": str(encryptor.encrypt_integer(m)), "exponent": -plan.bits} for m in packed], arrow.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    spread = blocks.repartition(tasks) if tasks else blocks
+    return spread.mapInArrow(run, schema)
+
+
+def he_decrypt_packed(df: DataFrame, by: Sequence[str], key: PrivateKey, plan: Packing, index: str = "idx", divisors: str | None = None) -> DataFrame:
+    """``(by.., idx, value)`` of packed ciphertexts; ``divisors`` is an array beside ``filled`` to divide by."""
+    by = list(by)
+    rows = df.select(*by, "block", "filled", divisors or F.transform("filled", lambda _: F.lit(1).cast("bigint")).alias("by"), "cipher")
+    schema = T.StructType([*df.select(*by).schema.fields, T.StructField(index, T.LongType()), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, decryptor = to_arrow_schema(schema), Decryptor(key, plan.bits)
+        for batch in batches:
+            out = []
+            for *group, block, filled, by_, cipher in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums = plan.unpack(decryptor.decrypt(_number(cipher, plan.bits)))
+                out += [(*group, block * plan.slots + s, sums[s] / (d << plan.bits) if d else None) for s, d in zip(filled, by_, strict=True)]
+            columns = list(zip(*out)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def he_fedavg_packed(df: DataFrame, by: Sequence[str], key: PrivateKey, plan: Packing, weight: str = "num_samples", index: str = "idx") -> DataFrame:
+    """Weighted mean per ``by`` and position of packed updates; a number counts with its own client's weight, a missing one does not.
+
+    Products and the plain weights per slot are added up separately and meet by block for one decryption each.
+    """
+    by, usable = list(by), df.where(F.col(weight) >= 0)
+    total = he_weighted_sum(usable, [*by, "block"], key.public, "cipher", weight, bits=plan.bits).drop(weight)
+    slots = usable.select(*by, "block", F.explode("filled").alias("slot"), weight).groupBy(*by, "block", "slot").agg(F.sum(weight).cast("bigint").alias("w"))
+    sums = slots.groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("s"))  # of a block's slots
+    sums = sums.select(*by, "block", F.col("s.slot").alias("filled"), F.col("s.w").alias("weights"))
+    return he_decrypt_packed(total.join(sums, [*by, "block"]), by, key, plan, index, "weights")
 
 
 def he_fedavg(
@@ -105,7 +180,7 @@ def from_wire(text: str | Column) -> Column:
     return F.from_json(text, CIPHER)
 
 
-def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool):
+def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool, bits: int):
     """Multiply ciphertexts of equal groups in sorted input, one open group at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +190,7 @@ def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 group, cipher, weight = row[:keys], row[keys], row[keys + 1]
-                c = _number(cipher)
+                c = _number(cipher, bits)
                 if raise_to_weight:
                     c = pow(c, weight, square)
                 held = open_groups.get(group)
@@ -128,23 +203,23 @@ def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool
                     held[0] = held[0] * c % square
                     held[1] += weight
                 if len(done) >= OUT_ROWS:
-                    yield _batch(done, arrow)
+                    yield _batch(done, arrow, bits)
                     done = []
         done.extend((*g, *h) for g, h in open_groups.items())
         if done:
-            yield _batch(done, arrow)
+            yield _batch(done, arrow, bits)
 
     return run
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _batch(rows: list[tuple], schema: pa.Schema, bits: int) -> pa.RecordBatch:
     columns = [list(c) for c in zip(*rows, strict=True)]
-    columns[-2] = [{"ciphertext": str(c), "exponent": -SCALE_BITS} for c in columns[-2]]
+    columns[-2] = [{"ciphertext": str(c), "exponent": -bits} for c in columns[-2]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _number(cipher: dict) -> int:
-    if cipher["exponent"] != -SCALE_BITS:
+def _number(cipher: dict, bits: int = SCALE_BITS) -> int:
+    if cipher["exponent"] != -bits:
         raise ValueError(f"unexpected exponent {cipher['exponent']}")
     return int(cipher["ciphertext"])
 

@@ -607,17 +607,22 @@ def reshape_elements(spark, sf_dir):
 def he_roundtrip(spark, sf_dir):
     key = test_key()
     rows = updates(spark, sf_dir).select(*NOISE_KEYS, (F.col("value") - F.col("global_value")).alias("value"))
-    sent = enc.he_encrypt(rows, "value", key.public, tasks=spark.sparkContext.defaultParallelism)
-    wire = sent.select(*NOISE_KEYS, enc.from_wire(enc.to_wire("cipher")).alias("cipher"))
-    return rounded(enc.he_decrypt(wire, "cipher", key), 9, ["value"])
+    owner, plan = ["round", "client_id", "param"], enc.plan_packing(rows, key.public)
+    sent = enc.he_encrypt_packed(rows, owner, key.public, plan, tasks=spark.sparkContext.defaultParallelism)
+    wire = sent.withColumn("cipher", enc.from_wire(enc.to_wire("cipher")))
+    back = enc.he_decrypt_packed(wire, owner, key, plan)
+    return rounded(back.select(*NOISE_KEYS[:3], F.col("idx").cast("int").alias("idx"), "value"), 9, ["value"])
 
 
 @query(f"{_ELEMENT9} {_FEDAVG} f")
 def he_fedavg(spark, sf_dir):
     key = test_key()
-    rows = updates(spark, sf_dir).select(*ROUND_ELEMENT, "value", "num_samples")
-    sent = enc.he_encrypt(rows, "value", key.public, tasks=spark.sparkContext.defaultParallelism)
-    return rounded(enc.he_fedavg(sent, ROUND_ELEMENT, key), 9, ["value"])
+    rows = updates(spark, sf_dir).select(*ROUND_ELEMENT, "client_id", "value", "num_samples")
+    plan = enc.plan_packing(rows, key.public, ROUND_ELEMENT, weight="num_samples")
+    owner = ["round", "param", "client_id"]
+    sent = materialize(enc.he_encrypt_packed(rows, owner, key.public, plan, weight="num_samples", tasks=spark.sparkContext.defaultParallelism), "packed")
+    mean = enc.he_fedavg_packed(sent, ["round", "param"], key, plan)
+    return rounded(mean.select("round", "param", F.col("idx").cast("int").alias("idx"), "value"), 9, ["value"])
 
 
 # ---- messages ----
