@@ -64,3 +64,17 @@ def test_files_lead_with_the_dictionary_and_hold_a_frame_per_record(spark):
         assert text.startswith(b"WARC/1.1") and sum(1 for _ in warc.records_of(io.BufferedReader(io.BytesIO(text)))) == 1
         at, n = len(data) - len(one.unused_data), n + 1
     assert n == row.records > 1
+
+
+def test_revisits_name_their_response_and_samples_come_from_everywhere(spark, monkeypatch):
+    tails = [(i, "u", f"{i} " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(40_000)) + "the very same closing words of every page " * 30) for i in range(40)]
+    pages = spark.createDataFrame(tails + [(99, "u", tails[0][2])], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "DICTIONARY_BYTES", 1024)
+    files = [r.archive for r in warc.write_warc(pages).collect()]
+    fields = [f for uri in files for f, _, _ in warc.records_of(warc.open_archive(uri))]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(ids) == 41 and [ids[f["WARC-Refers-To"]]["Page-ID"] for f in revisits] == ["99"]
+    fs, path = warc.filesystem(files[0])
+    data = fs.open_input_file(path).read()
+    assert b"closing words" in data[8 : 8 + int.from_bytes(data[4:8], "little")]

@@ -1,11 +1,12 @@
 """WARC archives whose records are compressed one by one with a shared Zstandard dictionary.
 
 A file is a skippable frame (magic 0x184D2A5D) holding the dictionary, then one Zstandard frame per record, so any reader
-that knows the convention opens it and any record can be read alone from its offset. The dictionary is trained on a bounded
-sample of the records that are archived (about ``DICTIONARY_PAGES`` pages, the first ``DICTIONARY_BYTES`` of each).
+that knows the convention opens it and any record can be read alone from its offset. The dictionary is trained, in one task, on a
+written and bounded sample of the records that are archived: a block of ``DICTIONARY_BYTES`` of each of about ``DICTIONARY_PAGES`` pages, from
+an offset that a hash draws, so that every part of a page has its share in it.
 
 Records with equal payloads are stored once: the one with the largest page id is the response, the others are revisit
-records that carry the HTTP head and point to it. Payloads shorter than ``min_revisit_bytes`` are always stored.
+records that carry the HTTP head and point to it by its record id. Payloads shorter than ``min_revisit_bytes`` are always stored.
 
 Groups of equal payloads are found by SHA-1 and length over narrow rows, aggregated before the shuffle; a group of any size
 meets its response in a join that adaptive execution may split. Each task writes files of its own; only those in the written
@@ -42,11 +43,11 @@ CRLF = b"\r\n"
 COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str, own_id: str | None = None, refers_id: str | None = None) -> bytes:
     """Bytes of one record; a revisit holds the HTTP head of the full payload but not the payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(own_id) if own_id else uuid.uuid4()}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=URI)}")
     if page_id is not None:
@@ -54,6 +55,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if refers_id is not None:
+            lines.append(f"WARC-Refers-To: <urn:uuid:{uuid.UUID(refers_id)}>")
         if refers_to is not None:
             lines.append(f"Refers-To-Page-ID: {refers_to}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -72,6 +75,14 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_SIZE) -> bytes
         return b""
 
 
+def _train(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    samples = []
+    for batch in batches:
+        for body, url, size, sha1 in zip(*(c.to_pylist() for c in batch.columns)):
+            samples.append(record(len(samples), url, body, size, base64.b32encode(bytes.fromhex(sha1)).decode(), None, False, date))
+    yield pa.RecordBatch.from_arrays([pa.array([train_dictionary(samples)], pa.binary())], ["dictionary"])
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
@@ -83,7 +94,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, da
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
     part, out, rows, size, done = TaskContext.get().partitionId(), None, 0, 0, []
     for batch in batches:
-        for page_id, url, payload, length, sha1, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+        for page_id, url, payload, length, sha1, revisit, refers_to, own_id, refers_id in zip(*(c.to_pylist() for c in batch.columns)):
             if out is None or size >= file_bytes:
                 if out is not None:
                     out.close()
@@ -95,7 +106,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, da
                 if dictionary:
                     out.write(DICTIONARY_FRAME + len(dictionary).to_bytes(4, "little") + dictionary)
             digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-            frame = press.compress(record(page_id, url, payload or b"", length, digest, refers_to, revisit, date))
+            frame = press.compress(record(page_id, url, payload or b"", length, digest, refers_to, revisit, date, own_id, refers_id))
             out.write(frame)
             rows, size = rows + 1, size + len(frame)
     if out is not None:
@@ -111,16 +122,18 @@ def write_warc(pages: DataFrame, folder: str | None = None, key: str = "page_id"
     folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "sha1": F.sha1("body")})
-    # each row is drawn by its hash with the same chance, so about DICTIONARY_PAGES rows come to the driver at any size
+    # each row is drawn by its hash with the same chance, so about DICTIONARY_PAGES rows are drawn at any size
     chance = min(1.0, DICTIONARY_PAGES / max(1, pages.count()))
     drawn = rows.where(hash_draw(chance, "k", "uid"))
-    sample = drawn.select(F.substring("body", 1, DICTIONARY_BYTES).alias("body"), "url", "size", "sha1")
-    samples = [record(i, r.url, bytes(r.body), r.size, base64.b32encode(bytes.fromhex(r.sha1)).decode(), None, False, date) for i, r in enumerate(sample.collect())]
-    dictionary = train_dictionary(samples)
+    offset = F.pmod(F.xxhash64("uid", "k"), F.greatest(F.col("size") - DICTIONARY_BYTES, F.lit(0)) + 1).cast("int")
+    sample = materialize(drawn.select(F.substring("body", offset + 1, F.lit(DICTIONARY_BYTES)).alias("body"), "url", "size", "sha1"), "dictionary-sample")
+    found = sample.coalesce(1).mapInArrow(lambda it: _train(it, date), "dictionary binary").first()
+    dictionary = bytes(found.dictionary) if found else b""
     groups = rows.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", "uid")).alias("kept")).where("n > 1")
     marked = rows.join(groups.select("sha1", "size", "kept"), ["sha1", "size"], "left")
     revisit = F.coalesce(F.col("uid") != F.col("kept.uid"), F.lit(False))
-    records = marked.select("k", "url", F.when(~revisit, F.col("body")).alias("body"), "size", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("kept.k")).alias("refers_to"))
+    own_id, refers_id = (F.md5(F.concat_ws(":", "sha1", "size", u)) for u in ("uid", "kept.uid"))
+    records = marked.select("k", "url", F.when(~revisit, F.col("body")).alias("body"), "size", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("kept.k")).alias("refers_to"), own_id.alias("own_id"), F.when(revisit, refers_id).alias("refers_id"))
     written = records.mapInArrow(lambda it: _write(it, folder, dictionary, date, file_bytes), "archive string, records long, bytes long")
     return materialize(written, "warc-manifest")
 
