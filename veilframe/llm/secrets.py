@@ -1,6 +1,7 @@
 """Secrets in texts: candidates scored by a random forest trained on labelled findings.
 
-A candidate is a run of ``LEAST`` or more letters, digits and ``+/_-=`` inside a word. Its features: length; mean log probability
+A candidate is a run of ``RUN`` or more letters, digits and ``+/_-=`` inside a word, or, in a word without one, the whole value of ``SHORT`` or more
+characters of any kind that follows a word of credentials and an assignment. Its features: length; mean log probability
 of its character transitions and share of its letter triples that are common, both by the words of the whole corpus; shares of
 digits and capitals, changes of character class, distinct characters; what stands around it (assignment, quotes, words of credentials or of checksums and
 versions before it, signs of an address or a file path in its word); and whether the document's path speaks of tests or examples. A finding
@@ -28,20 +29,23 @@ from pyspark.sql import functions as F
 from veilframe.llm.text import let
 from veilframe.storage import materialize, new_path
 
-LEAST, TREES, DEPTH, PER_KIND = 16, 40, 8, 150
+RUN, SHORT, TREES, DEPTH, PER_KIND = 16, 6, 40, 8, 150
 COMMON = 2e-5  # a letter triple is common from this share of all triples on
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 # Words that go before credentials, and before values that look like them.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|auth|bearer|credential)"
 BENIGN = r"(?i)(commit|sha\d*|md5|checksum|uuid|guid|digest|hash|revision|version|order|image|integrity|etag)"
+# what stands between the credential word and a value, and the value inside its word
+ASSIGNED = r"(?i)(token|secret|passw\w*|pwd|key|auth|bearer|credentials?)[\"'`]?\s*[=:]+>?\s*$"
+VALUE = r"^(?>(?:[^=:\"'`]*[=:]+)?)[\"'`]?([^\"'`]{5,}?[^\"'`=:,;.)}\]])[\"'`]?[,;.)}\]]*$"
 TESTING = r"(?i)(test|example|sample|mock|fixture|dummy)"
 FEATURES = ["size", "transitions", "coverage", "digits", "capitals", "changes", "distinct", "assigned", "quoted", "credential", "benign", "address", "testing"]
 
 
 def corpus_letters(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(piece, n): letter pairs (with _ for a word's ends) and triples over all ASCII words below ``LEAST`` letters."""
+    """(piece, n): letter pairs (with _ for a word's ends) and triples over all words of ASCII letters."""
     all_words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z]+")
-    counts = docs.select(F.explode(all_words).alias("w")).where((F.col("w") != "") & (F.length("w") < LEAST)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode(all_words).alias("w")).where(F.col("w") != "").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     framed = counts.select("n", F.concat(F.lit("_"), "w", F.lit("_")).alias("f"), "w")
     pairs = F.transform(F.sequence(F.lit(1), F.length("f") - 1), lambda i: F.substring("f", i, 2))
     triples = F.when(F.length("w") > 2, F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, 3))).otherwise(F.array().cast("array<string>"))
@@ -102,7 +106,7 @@ def with_features(rows: DataFrame, letters: Letters) -> DataFrame:
             "quoted": yes(lead.rlike(r"[\"'`]$")),
             "credential": yes(before.rlike(CREDENTIAL)),
             "benign": yes(lead.rlike(BENIGN)),
-            "address": yes(word.rlike(r"://|@|\\.[a-z]{2,4}\b|/[a-z]+/|base64,")),
+            "address": yes(word.rlike(r"://|[a-z]@[a-z]|\.(com|org|net|edu|gov|io|py|js|md|txt|html?|json|ya?ml|toml|png|jpe?g|[a-z]{2})\b|/[a-z]+/|base64,")),
             "testing": yes(F.col("path").rlike(TESTING)),
         }
     )
@@ -112,11 +116,19 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """(doc_id, nr, value, before, word, path): every candidate of the whole texts; ``nr`` is its word, from 0."""
     place = F.col(path).cast("string") if path else F.lit(None).cast("string")
     split = docs.select(F.col(key).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n]+").alias("words"), place.alias("path"))
-    long = F.filter(F.transform("words", lambda w, i: F.when(F.length(w) >= LEAST, i)), lambda i: i.isNotNull())
-    found = split.select("doc_id", "path", "words", F.explode(long).alias("nr"))
-    before = F.concat_ws(" ", F.get("words", F.col("nr") - 2), F.get("words", F.col("nr") - 1))
-    rows = found.select("doc_id", "nr", F.get("words", F.col("nr")).alias("word"), before.alias("before"), "path").where(F.col("word").rlike(CANDIDATE))
-    return rows.select("doc_id", "nr", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("value"), "before", "word", "path")
+    near = lambda i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))
+    lead = lambda w, i: F.concat(near(i), F.lit(" "), F.regexp_extract(w, "^[^=:]*[=:]+", 0))
+    short = lambda w, i: (F.length(w) >= SHORT) & (F.length(w) < 256) & lead(w, i).rlike(ASSIGNED)
+    # the words before are only looked at where one of them, or the word itself, has an assignment
+    assigned = lambda w, i: F.when(w.contains("=") | w.contains(":") | F.get("words", i - 1).rlike("[=:]>?$"), short(w, i)).otherwise(False)
+    at = F.filter(F.transform("words", lambda w, i: F.when((F.length(w) >= RUN) | ((F.length(w) >= SHORT) & assigned(w, i)), i)), lambda i: i.isNotNull())
+    found = split.select("doc_id", "path", "words", F.explode(at).alias("nr"))
+    rows = found.select("doc_id", "nr", F.get("words", F.col("nr")).alias("word"), near(F.col("nr")).alias("before"), "path")
+    runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
+    own = F.regexp_extract("word", VALUE, 1)
+    lead_of = F.concat("before", F.lit(" "), F.regexp_extract("word", "^[^=:]*[=:]+", 0))
+    whole = F.when(lead_of.rlike(ASSIGNED) & (own != ""), F.array(own)).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "nr", F.explode(F.when(F.size(runs) > 0, runs).otherwise(whole)).alias("value"), "before", "word", "path")
 
 
 def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFrame:
@@ -132,6 +144,12 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
     syllable = lambda k: pick(["th", "er", "ing", "on", "re", "in", "at", "nd", "st", "sh", "ou", "tion", "ed", "ver", "keit", "ment", "eau", "os", "ble", "ly"], f"s{k}")
     word = lambda size: F.concat(*[syllable(k) for k in range(size)])
     uuid = F.concat_ws("-", *[F.substring(hexes(40), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    sign = pick(["!", "@", "#", "$", "%", "&", "*", "?", ".", "-"], "g")
+    digit = lambda salt: F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(1000)).cast("string")
+    mixed = F.concat(F.substring(b64(40), 3, 3), sign, F.substring(b64(40), 9, 4), digit("d"))
+    leet = F.concat(F.initcap(F.translate(word(3), "oeas", "0345")), digit("e"), sign, F.substring(b64(40), 20, 2))
+    asks = ["password =", "pwd:", "passwd:", "secret =", "the password:", "api_key =", "token:"]
+    fillers = ["changeme", "required", "password", "<password>", "********", "undefined", "optional", "missing", "string", "{password}", "$PASSWORD", "xxxxxxxx", "example", "your-password"]
     digits = F.substring(F.translate(hexes(64), "abcdef", "123456"), 1, 16)
     kinds = [
         (1, cased(hexes(40)), names), (1, cased(hexes(32)), names), (1, hexes(64), names), (1, b64(40), names), (1, b64(32), names), (1, b64(64), names), (1, hexes(40), names),
@@ -139,15 +157,19 @@ def labelled_findings(spark: SparkSession, per_kind: int = PER_KIND) -> DataFram
         (0, hexes(40), sums), (0, hexes(64), sums), (0, hexes(32), sums), (0, uuid, plain + sums), (0, digits, plain + ["order id", "phone:", "card"]),
         (0, cased(word(6)), plain), (0, cased(word(8)), plain), (0, cased(word(12)), plain), (0, F.concat(word(3), F.lit("-"), F.initcap(word(4))), plain), (0, word(9), names), (0, F.concat(F.initcap(word(3)), F.initcap(word(3)), F.initcap(word(2))), plain + names),
         (0, F.repeat(pick(["x", "0", "a", "1", "X"], "r"), 24), names), (0, F.concat(F.lit("your-"), pick(["api-key", "token", "secret"], "y"), F.lit("-goes-here")), names), (0, F.repeat(pick(["=", "-", "_", "=-"], "l"), 20), plain),
+        (1, mixed, asks), (1, leet, asks), (1, F.concat(word(2), digit("f"), sign, F.substring(b64(40), 5, 1)), asks), (1, F.substring(b64(40), 1, 12), asks), (1, F.substring(hexes(40), 1, 10), asks),
+        (0, pick(fillers, "z"), asks), (0, word(3), asks), (0, F.initcap(word(4)), asks), (0, F.concat(word(2), F.lit("_"), word(2)), asks), (0, F.concat(word(2), F.lit("."), word(2), F.lit("()")), asks),
+        (0, F.concat(word(5), F.lit("-"), word(3)), plain + names, "https://www.site.com/a/"), (0, F.concat(word(4), F.lit("_"), word(4)), plain, "docs/guide/"),
     ]
     every = None
-    for k, (secret, value, leads) in enumerate(kinds):
+    for k, (secret, value, leads, *prefix) in enumerate(kinds):
         quote = F.when(n % 3 > 0, F.lit('"')).otherwise(F.lit(""))
         tail = pick(["", "", ",", ".", "!!", "###", "***"], "t")
         i = (F.col("id") + k * 1_000_003).alias("i")
-        rows = spark.range(per_kind).select(i).select("i", value.alias("value"), pick(leads, "n").alias("before"), quote.alias("q"), tail.alias("t"))
-        path = pick(["src0", "a/b.py", "tests/x.py", "examples/y.md"], "p")
-        rows = rows.select("value", "before", F.concat("q", "value", "q", "t").alias("word"), F.when(F.lit(secret == 1), F.lit("src0")).otherwise(path).alias("path"), F.lit(secret).alias("secret"))
+        # two rows of three have a path that says nothing about the label
+        path = F.when(n % 3 < 2, pick(["src0", "a/b.py", "tests/x.py", "examples/y.md"], "p")).otherwise("src0" if secret else "tests/x.py")
+        rows = spark.range(per_kind).select(i).select("i", value.alias("value"), path.alias("path"), pick(leads, "n").alias("before"), quote.alias("q"), tail.alias("t"))
+        rows = rows.select("value", "before", F.concat("q", F.lit("".join(prefix)), "value", "q", "t").alias("word"), "path", F.lit(secret).alias("secret"))
         every = rows if every is None else every.unionByName(rows)
     return every
 
