@@ -42,7 +42,9 @@ def test_odd_rows(spark, classifier, odd_documents):
     assert len(rows) == docs.count() and not any(r.families for r in rows)
     assert lc.scan(docs.limit(0), classifier).count() == 0
     plan = lc.scan(docs, classifier)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+    once = classifier.probabilities(lc.windows(docs, "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("UDF(") <= once.count("UDF(")
 
 
 def test_learns_without_documents(spark, odd_documents):

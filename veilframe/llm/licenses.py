@@ -152,7 +152,8 @@ class Classifier:
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``w``) plus ``p``: the probability of every family where the choice is between it and unknown."""
-        scored = self.model.transform(_vectors(rows)).withColumn("z", vector_to_array("rawPrediction"))
+        margins = self.model.transform(_vectors(rows)).withColumn("z", F.array(vector_to_array("rawPrediction")))
+        scored = margins.select(*rows.columns, F.explode("z").alias("z"))  # a generator: no filter or lambda gets a copy of the scoring
         last = F.lit(len(self.families) - 1)
         against = F.transform(F.slice("z", F.lit(1), last), lambda z: 1 / (1 + F.exp(F.get("z", last) - z)))
         return scored.select(*rows.columns, against.alias("p"))
@@ -181,6 +182,14 @@ def train(rows: DataFrame) -> Classifier:
     return first
 
 
+def _template_map(spark: SparkSession) -> Column:
+    """Family -> the triples of its templates, as a literal."""
+    held: dict[str, list] = {}
+    for r in templates(spark).select("family", "tt").collect():  # the fixed templates
+        held.setdefault(r.family, []).append(F.array(*[F.lit(t) for t in r.tt]))
+    return F.create_map(*[x for family, texts in held.items() for x in (F.lit(family), F.array(*texts))])
+
+
 def _fits(groups: Column, named: Column, own: Column) -> Column:
     """(family, probability, similarity, hits) of every named family; ``hits``: the triples shared with templates that fit."""
 
@@ -203,11 +212,10 @@ def _confirmed(x: Column, fits: Column) -> Column:
 def find(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(u, doc_id, nr, family, probability, similarity, confirmed) per window and family that the classifier names."""
     named = classifier.named(windows(docs, key, text))
-    per = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("tt").alias("texts"))  # the fixed templates
-    groups = per.agg(F.map_from_entries(F.collect_list(F.struct("family", "texts"))).alias("groups"))
-    fits = let(_triples(F.col("w")), lambda own: _fits(F.col("groups"), F.col("named"), own))
+    groups = _template_map(docs.sparkSession)
+    fits = let(_triples(F.col("w")), lambda own: _fits(groups, F.col("named"), own))
     judged = let(fits, lambda all_: F.transform(all_, lambda x: F.struct(x["family"].alias("family"), x["probability"].alias("probability"), x["similarity"].alias("similarity"), _confirmed(x, all_).alias("confirmed"))))
-    found = named.crossJoin(F.broadcast(groups)).select("u", F.col("id").alias("doc_id"), "nr", F.explode(judged).alias("x"))
+    found = named.select("u", F.col("id").alias("doc_id"), "nr", F.explode(judged).alias("x"))
     return found.select("u", "doc_id", "nr", "x.*")
 
 
