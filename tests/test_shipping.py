@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from pathlib import Path
 
 from pyspark import cloudpickle
 
@@ -27,3 +28,9 @@ def test_task_code_needs_no_installed_package(tmp_path):
     data = cloudpickle.dumps((generate_keypair(256, seed=1), encrypt, decrypt, _multiply("c", 1)))
     run = subprocess.run([sys.executable, "-c", LOAD], input=data, capture_output=True, cwd=tmp_path)
     assert run.stdout.decode().strip() == "-2.5 [{'c': 'a', 'hits': 1, 'n': 1}]", run.stderr.decode()
+
+
+def test_base_queries_remain_without_a_package_of_the_optional_part():
+    code = "import sys; sys.modules['xxhash'] = sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()) >= 88)"
+    run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, cwd=Path(__file__).resolve().parents[1])
+    assert run.stdout.decode().strip() == "True", run.stderr.decode()
