@@ -1,17 +1,28 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from test_dartminhash import brute as classes
 from test_decontaminate import brute as leaks
 from test_line_dedup import brute as cut_lines
 from test_packing import check_batches
-from veilframe.llm import packing, quality
+from veilframe.llm import dartminhash, decontaminate, line_dedup, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_columns_with_the_names_of_helpers_stay(spark):
+    rows = [(1, "a b c d e f g h i j k\nthe second line of it is long", "x"), (2, "a b c d e f g h i j k\nthe second line of it is long", "y"), (3, "quite another text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in ("_u", "_gone", "_longest", "spans", "_spans", "_quality_score")})
+    items = spark.createDataFrame([(1, "quite another")], "item_id long, text string")
+    kept = [line_dedup.dedup_lines(docs), dartminhash.drop_near_duplicates(docs), decontaminate.remove_leaks(docs, items), decontaminate.remove_leaks(docs, items, max_share=0.9)]
+    assert [df.columns == docs.columns and {(r._u, r._gone, r._longest, r.spans, r._spans) for r in df.collect()} == {(7, 7, 7, 7, 7)} for df in kept] == [True] * 4
+    assert [df.count() for df in kept] == [3, 2, 2, 3]
+    assert cp.line_stage(spark, docs, SF).columns == docs.columns
+
+
 @pytest.fixture(scope="module")
 def steps(spark):
     """What goes into every stage and what comes out, as rows."""

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
+from veilframe.llm.memory import release
+from veilframe.llm.text import fresh
 from veilframe.storage import materialize, materialize_counted
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -148,6 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Reco
                 [batch.column(0).slice(start, at - start), batch.column(1).slice(start, at - start), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1)))],
                 ["u", "id", "print", "n", "bands"],
             )
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
@@ -163,6 +166,7 @@ def _sets(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Reco
                 rows.append(found)
             columns = [pa.array(x, pa.binary()) for x in zip(*rows)]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], ["bucket", "i", "j", "u", "set", "counts"])
+    release()
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -223,6 +227,8 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
             out = []
     out = links_of([(x, *y) for x, y in members.items()], least)
+    members.clear()
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
@@ -294,5 +300,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """One document of every class, all columns kept."""
-    gone = _classes(docs, key, text, least, weighted).where("not kept").select(F.col("u").alias("_u"))
-    return docs.withColumn("_u", F.monotonically_increasing_id()).join(gone, "_u", "left_anti").drop("_u")
+    (u,) = fresh(docs, "_u")
+    gone = _classes(docs, key, text, least, weighted).where("not kept").select(F.col("u").alias(u))
+    return docs.withColumn(u, F.monotonically_increasing_id()).join(gone, u, "left_anti").drop(u)

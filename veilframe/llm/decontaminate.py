@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.text import LETTERS, SEPARATORS, words
+from veilframe.llm.text import LETTERS, SEPARATORS, fresh, words
 from veilframe.storage import materialize_counted
 
 BROADCAST_WINDOWS = 1_000_000
@@ -94,14 +94,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
     A document goes when more than ``max_share`` of its words are hit; in one that stays the hit words and the
     separators after them are cut out (a line end takes the place of each passage). ``max_share`` 0 removes whole documents only.
     """
-    rows = docs.withColumn("_u", F.monotonically_increasing_id())
-    found = _leaks(rows.select(F.col("_u").alias("u"), F.col(text).alias("text")), benchmark, size, broadcast_windows, "text", [])
-    hits = found.where(F.size("spans") > 0).select(F.col("u").alias("_u"), "spans", (_covered(F.col("spans")) / F.col("n_words") > max_share).alias("_gone"))
+    u, spans, gone = fresh(docs, "_u", "_spans", "_gone")
+    rows = docs.withColumn(u, F.monotonically_increasing_id())
+    found = _leaks(rows.select(F.col(u).alias("u"), F.col(text).alias("text")), benchmark, size, broadcast_windows, "text", [])
+    hits = found.where(F.size("spans") > 0).select(F.col("u").alias(u), F.col("spans").alias(spans), (_covered(F.col("spans")) / F.col("n_words") > max_share).alias(gone))
     if max_share <= 0:
-        return rows.join(hits.select("_u"), "_u", "left_anti").drop("_u")
-    marked = rows.join(hits, "_u", "left").where(~F.coalesce("_gone", F.lit(False)))
+        return rows.join(hits.select(u), u, "left_anti").drop(u)
+    marked = rows.join(hits, u, "left").where(~F.coalesce(gone, F.lit(False)))
     pieces = F.filter(F.split(F.col(text), SEPARATORS), lambda x: x != "")
     gaps = F.split(F.col(text), LETTERS)  # the separators before, between and after the words
-    inside = lambda i: F.exists("spans", lambda x: (i + 1 >= x["s"]) & (i + 1 < x["s"] + x["len"]))
+    inside = lambda i: F.exists(spans, lambda x: (i + 1 >= x["s"]) & (i + 1 < x["s"] + x["len"]))
     cut = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(pieces, lambda p, i: F.when(inside(i), F.when(~inside(i - 1), "\n").otherwise("")).otherwise(F.concat(p, F.get(gaps, i + 1)))), ""))
-    return marked.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut)).drop("_u", "spans", "_gone")
+    return marked.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cut)).drop(u, spans, gone)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilframe.llm.text import let
+from veilframe.llm.text import fresh, let
 from veilframe.storage import materialize, materialize_counted
 
 MIN_LINES, LONG_LINE = 2, 20
@@ -87,19 +87,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_li
     ``report`` adds n_lines (non-blank lines before), n_deleted and longest_repeat: the longest power of two of lines that
     repeats an earlier text, 0 if none does.
     """
-    copies = later_copies(docs, key, text, min_lines, long_line).toDF("_u", "_gone", "_longest")
-    rows = docs.withColumn("_u", F.monotonically_increasing_id()).join(copies, "_u", "left")
+    u, cuts, longest = fresh(docs, "_u", "_gone", "_longest")
+    copies = later_copies(docs, key, text, min_lines, long_line).toDF(u, cuts, longest)
+    rows = docs.withColumn(u, F.monotonically_increasing_id()).join(copies, u, "left")
 
     def cut(every):
         filled = F.filter(F.transform(every, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-        gone = let(filled, lambda places: F.transform("_gone", lambda j: F.get(places, j)))
+        gone = let(filled, lambda places: F.transform(cuts, lambda j: F.get(places, j)))
         left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n")
 
-    shorter = F.when(F.size("_gone") > 0, let(F.split(F.col(text), "\n"), cut)).otherwise(F.col(text))
+    shorter = F.when(F.size(cuts) > 0, let(F.split(F.col(text), "\n"), cut)).otherwise(F.col(text))
     extra = {}
     if report:
         n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != ""))
-        deleted = F.coalesce(F.size("_gone"), F.lit(0))
-        extra = {"n_lines": n_lines, "n_deleted": deleted, "longest_repeat": F.coalesce("_longest", F.lit(0))}
-    return rows.withColumns({**extra, text: shorter}).drop("_u", "_gone", "_longest")
+        deleted = F.coalesce(F.size(cuts), F.lit(0))
+        extra = {"n_lines": n_lines, "n_deleted": deleted, "longest_repeat": F.coalesce(longest, F.lit(0))}
+    return rows.withColumns({**extra, text: shorter}).drop(u, cuts, longest)

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.text import hash_draw
+from veilframe.llm.memory import release
+from veilframe.llm.text import fresh
 from veilframe.storage import materialize
 
 TRIPLES, DIMENSIONS, NEIGHBOURS, SHARPNESS, LABELLED = 2048, 64, 7, 8, 4000
@@ -151,10 +153,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 part = batch.slice(a, BLOCK)
                 counts = np.stack([term_counts(t) for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(counts))], [*batch.schema.names, name])
+        release()
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """Documents with a score of ``least`` or more, all columns kept."""
-    return score(docs, model, text, "_quality_score").where(F.col("_quality_score") >= least).drop("_quality_score")
+    (name,) = fresh(docs, "_quality_score")
+    return score(docs, model, text, name).where(F.col(name) >= least).drop(name)
