@@ -33,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veilframe.llm.memory import release
 from veilframe.storage import materialize
 
 MIN_DOCS, TOP = 3, 200
 SLICE_TERMS, SLICE_BYTES, BROADCAST_BYTES = 100_000, 1 << 21, 1 << 26
-HELD, CHUNK, CELLS, SOURCES_AT_ONCE = 300_000, 1 << 20, 1 << 19, 256
+HELD, CHUNK, BLOCK_BYTES, CELLS, SOURCES_AT_ONCE = 200_000, 1 << 20, 1 << 22, 1 << 19, 256
 #: A-Z to lower case; all other ASCII but a-z parts terms.
 _FOLD = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
@@ -158,6 +160,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from taken()
                 size = 0
     yield from taken()
+    release()
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,38 +216,102 @@ class Slices:
 _COUNTS = "slice long, lang string, source string, term binary, ordinal long, n long"
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(row of each piece, folded pieces) of about ``BLOCK_BYTES``; a text that is longer is cut between terms."""
+    data, cuts = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+    def block(first: int, ends: np.ndarray, folded: bytes) -> tuple[np.ndarray, pa.Array]:
+        buffers = [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(folded)]
+        return np.arange(first, first + len(ends) - 1), pa.Array.from_buffers(pa.string(), len(ends) - 1, buffers)
+
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK_BYTES, "right")) - 1)
+        folded = data[int(cuts[at]) : int(cuts[end])].to_pybytes().translate(_FOLD) if data is not None else b""
+        if len(folded) <= BLOCK_BYTES:
+            yield block(at, cuts[at : end + 1] - cuts[at], folded)
+        else:  # one text
+            start = 0
+            while start < len(folded):
+                stop = folded.find(b" ", start + BLOCK_BYTES)
+                stop = len(folded) if stop < 0 else stop
+                yield block(at, np.array([0, stop - start]), folded[start:stop])
+                start = stop
+        at = end
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return [key[first]], [np.add.reduceat(n, first) if len(first) else n]
+
+
 def _recount(batches: Iterator[pa.RecordBatch], slices: Slices) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to counts: by ordinal where the transducers are here, else by slice and term."""
-    held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    size = 0
+    """(lang, source, text) to counts: by ordinal where the transducers are here, else by slice and term.
+
+    The words of a block are told apart in Arrow arrays, distinct ones run through the transducer of their language, and counts of
+    (group, ordinal) are merged over the blocks of the task.
+    """
+    groups: dict[tuple[str, str], int] = {}
+    keys, counts, held = [], [], 0
+    most = max(slices.bases, default=0) + SLICE_TERMS + 1  # above any ordinal
+
+    def rows(slice_: pa.Array, group: np.ndarray, term: pa.Array, ordinal: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        names = list(groups)
+        lang, source = (pa.array([x[i] for x in names], pa.string()).take(pa.array(group)) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([slice_, lang, source, term, ordinal, pa.array(n)], ["slice", "lang", "source", "term", "ordinal", "n"])
 
     def taken() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in held.items():
-            found, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            for number, mine in slices.split(lang, found):
-                some = [found[i] for i in mine]
-                if slices.blobs is None:
-                    columns = [pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(n[list(mine)])]
-                else:
-                    ordinals = slices.transducer(number).numbers(some)
-                    ok = ordinals >= 0
-                    columns = [pa.nulls(int(ok.sum()), pa.binary()), pa.array(ordinals[ok] + slices.bases[number]), pa.array(n[list(mine)][ok])]
-                size = len(columns[0])
-                lead = [pa.array([number] * size, pa.int64()), pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string())]
-                yield pa.RecordBatch.from_arrays([*lead, *columns], ["slice", "lang", "source", "term", "ordinal", "n"])
-        held.clear()
+        nonlocal keys, counts, held
+        if keys:
+            (key,), (n,) = _merged(keys, counts)
+            for at in range(0, len(key), HELD):
+                some = key[at : at + HELD]
+                yield rows(pa.nulls(len(some), pa.int64()), some // most, pa.nulls(len(some), pa.binary()), pa.array(some % most), n[at : at + HELD])
+        keys, counts, held = [], [], 0
 
     for batch in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            counts = held[lang, source]
-            size -= len(counts)
-            for some in terms(text):
-                counts.update(some)
-            size += len(counts)
-            if size > HELD:
-                yield from taken()
-                size = 0
+        pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        group_of = np.fromiter((groups.setdefault(pair, len(groups)) for pair in pairs), np.int64, len(pairs))
+        by_lang = defaultdict(list)
+        for pair in set(pairs):
+            by_lang[pair[0]].append(groups[pair])
+        for at, texts in _blocks(batch.column(2)):
+            split = pc.ascii_split_whitespace(texts)
+            words = split.flatten().dictionary_encode()
+            found, codes = words.dictionary.cast(pa.binary()), words.indices.to_numpy()
+            size = max(1, len(found))
+            key, n = np.unique(np.repeat(group_of[at], np.diff(split.offsets.to_numpy())) * size + codes, return_counts=True)
+            del split, words, codes
+            group, code = key // size, key % size
+            for lang, mine in by_lang.items():
+                here = np.flatnonzero(np.isin(group, mine))
+                used = np.unique(code[here])
+                some = found.take(pa.array(used)).to_pylist()
+                where = np.full(size, -1)
+                for number, places in slices.split(lang, some):
+                    places = np.asarray(places, np.int64)
+                    if slices.blobs is None:
+                        where[used[places]] = number
+                        continue
+                    ordinals = slices.transducer(number).numbers([some[i] for i in places])
+                    where[used[places]] = np.where(ordinals >= 0, ordinals + slices.bases[number], -1)
+                here = here[where[code[here]] >= 0]
+                if slices.blobs is None:
+                    yield rows(pa.array(where[code[here]]), group[here], found.take(pa.array(code[here])), pa.nulls(len(here), pa.int64()), n[here])
+                else:
+                    keys.append(group[here] * most + where[code[here]])
+                    counts.append(n[here])
+                    held += len(here)
+            if held > 3 * HELD:
+                keys, counts = _merged(keys, counts)
+                held = len(keys[0])
+                if held > 2 * HELD:
+                    yield from taken()
     yield from taken()
+    release()
 
 
 def _in_slice(batches: Iterator[pa.RecordBatch], bases: list[int]) -> Iterator[pa.RecordBatch]:
