@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from veilframe.llm import token_shards as ts
@@ -51,7 +53,22 @@ def test_index_is_minimal_and_refuses_foreign_keys(tmp_path):
     assert len(ts.PerfectHash.build(keys[:0]).slots(keys[:3])) == 3
 
 
-def test_cached_words_equal_whole_texts():
+def test_split_words_equal_whole_texts():
     enc = ts.WordEncoder(PATH)
     texts = ["a's b'll c'd x' 'y <|endoftext|> q<|endoftext|>z İstanbul ΑΣ ß Ÿÿ µm ét́", "x y z\x85w", "...!? a.b,c 12ab3", "naïve, naïve! NAÏVE"]
-    assert enc.encode(texts) == enc._raw(texts)
+    want, n = enc._each(texts)
+    got = list(enc.blocks(pa.array(texts)))
+    assert np.concatenate([x for x, _ in got]).tolist() == want.tolist() and np.concatenate([x for _, x in got]).tolist() == n.tolist()
+
+
+def test_ids_of_odd_texts_are_those_of_whole_texts(monkeypatch):
+    rng = random.Random(1)
+    pool = list("aZé ÉßİıẞǺ̈'st1²٣ \t\n\x0b\x0c\r\x1c\x1f\x85\u00a0\u2028\u3000\u200b日本.,!-~[]`{}\x00\x7f") + ["'s", "<|endoftext|>", "</w>", "ÀÖ", "word"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(3000)] + ["", " ", "long words " * 300]
+    encoder = ts.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    for size in (1 << 24, 60):
+        monkeypatch.setattr(ts, "BLOCK_BYTES", size)
+        got = [x.tolist() for ids, n in encoder.blocks(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+        assert [x for _, n in encoder.blocks(pa.array(texts), ids=False) for x in n] == [len(x) for x in want]

@@ -21,103 +21,144 @@ themselves is the written one); no documents give no shard; other columns are ig
 from __future__ import annotations
 
 import json
-import sys
+import os
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import release
 from veilframe.storage import materialize, new_path
 
 MAGIC = b"VFTOKEN1"
 MANIFEST = "part int, file string, docs long, tokens long, first_key long, last_key long"
-#: Words whose ids a worker keeps; beyond that it starts anew.
-WORDS_KEPT = 1_000_000
+#: Text whose distinct words are looked at together.
+BLOCK_BYTES = 1 << 22
+#: Letters that lower-case one to one, then ASCII marks: two pieces that are encoded apart in any text.
+SIMPLE = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: Words of all these letters, in lower case.
+LETTERS = " ".join("".join(map(chr, x)) for a in range(97, 123) for x in ((a, *(c for c in range(0xDF, 0x100) if c != 0xF7)), (a, 110), (116, 104, a)))
+#: Four control characters part words in Arrow but not for the tokenizer.
+CONTROLS = "[\x1c-\x1f]"
 #: Ids read at a time when shards are read back.
 IDS_AT_ONCE = 1 << 21
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``chosen`` of a ragged array one after the other, and their sizes."""
+    n = sizes[chosen]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[chosen] - (ends - n), n) + np.arange(total)], n
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins what white space parts, each distinct word encoded once.
+    """Ids of whole texts by a tokenizer that never joins what white space parts.
 
+    Texts are split and their words told apart in Arrow arrays; every distinct word of a block of texts is cut into letters, which
+    are lower-cased, and ASCII marks, and only distinct ones of these go to the library. Nothing is kept from block to block.
     ``word_end`` marks the vocabulary's last pieces of words. The ids are those the library gives for the whole text.
     """
 
     def __init__(self, path: str, word_end: str = "</w>"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core; threads would each keep a heap
         from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers as cuts
 
         self.library = Tokenizer.from_file(path)
+        # stems are lower-case letters already: where the tokenizer looks at bytes of words, its model is all they need
+        self.stems = Tokenizer(self.library.model)
+        self.stems.pre_tokenizer = cuts.Sequence([cuts.WhitespaceSplit(), cuts.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self.stems.encode(LETTERS, add_special_tokens=False).ids != self.library.encode(LETTERS, add_special_tokens=False).ids:
+            self.stems = self.library
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(word_end)]] = True
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        import re
-
-        # letters that lower-case one to one, then ASCII marks: two pieces that are encoded apart in any text
-        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_stems(self, stems: Iterable[str]) -> None:
-        stems = list(stems)
-        for at in range(0, len(stems), 1000):
-            part = stems[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of every text, by the library."""
+        ids = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each`` for lower-case letters, a thousand words at a time as one text."""
+        groups = [pieces[at : at + 1000] for at in range(0, len(pieces), 1000)]
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, self.stems.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                self.stems.update(zip(part, self._raw(part)))
+            one = (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(group) else self._each(group)
+            flat.append(one[0])
+            sizes.append(one[1])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of distinct words."""
+        cut = pc.extract_regex(words, SIMPLE)
+        simple = cut.is_valid().to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(cut.field("stem").filter(pa.array(simple))).dictionary_encode()
+        marks = cut.field("marks").filter(pa.array(simple)).dictionary_encode()
+        odd = words.filter(pa.array(~simple)).to_pylist()
+        parts = [self._pieces(stems.dictionary.to_pylist()), self._each(marks.dictionary.to_pylist()), self._each(odd), (np.zeros(0, self.dtype), np.zeros(1, np.int64))]
+        flat, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        starts = np.cumsum(sizes) - sizes
+        pair = np.empty((len(words), 2), np.int64)
+        n_stems, n_marks = len(stems.dictionary), len(marks.dictionary)
+        pair[simple, 0], pair[simple, 1] = stems.indices.to_numpy(), marks.indices.to_numpy() + n_stems
+        pair[~simple, 0], pair[~simple, 1] = np.arange(len(odd)) + n_stems + n_marks, len(sizes) - 1
+        ids, n = _gather(flat, starts, sizes, pair.reshape(-1))
+        return ids, n.reshape(-1, 2).sum(axis=1)
+
+    def _block(self, texts: pa.Array, ids: bool) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.utf8_split_whitespace(texts)
+        first = split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        flat, sizes = self._words(words.dictionary)
+        codes = words.indices.to_numpy()
+        out, n = _gather(flat, np.cumsum(sizes) - sizes, sizes, codes) if ids else (None, sizes[codes])
+        before = np.concatenate([[0], np.cumsum(n)])
+        return out, np.diff(before[split.offsets.to_numpy() - first])
+
+    def blocks(self, texts: pa.Array, ids: bool = True) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+        """(ids one after the other, their number per text) for ever so many texts of about ``BLOCK_BYTES``, none of them null."""
+        odd = pc.match_substring_regex(texts, CONTROLS).to_numpy(zero_copy_only=False)
+        long = pc.binary_length(texts).to_numpy() > BLOCK_BYTES
+        size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(texts):
+            if odd[at]:
+                out, n = self._each([texts[at].as_py()])
+                at += 1
+                yield out, n
                 continue
-            data, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for stem, cut in zip(part, (cuts * width).tolist()):
-                self.stems[stem] = data[start:cut]
-                start = cut
-
-    def _learn(self, words: set[str]) -> None:
-        split, odd = [], []
-        for w in words:
-            m = self.simple.fullmatch(w)
-            (split.append((w, m[1].lower(), m[2])) if m else odd.append(w))
-        self._learn_stems(({s for _, s, _ in split} | {x for _, _, x in split if x}) - self.stems.keys())
-        for w, stem, marks in split:
-            self.words[w] = self.stems[stem] + self.stems[marks] if marks else self.stems[stem]
-        self.words.update(zip(odd, self._raw(odd)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Raw little-endian ids of each text."""
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        if len(self.stems) > WORDS_KEPT:
-            self.stems = {}
-        # four control characters part words for str.split but not for the tokenizer
-        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        parts = [t.split() if p else [] for t, p in zip(texts, plain)]
-        new = set().union(*parts) - self.words.keys()
-        if new:
-            self._learn(new)
-        known = self.words.__getitem__
-        out = [b"".join(map(known, p)) for p in parts]
-        for i, p in enumerate(plain):
-            if not p:
-                out[i] = self._raw([texts[i]])[0]
-        return out
+            if long[at]:  # a text of its own, cut at white space
+                parts = [self._block(pa.array([x]), ids) for x in _cut(texts[at].as_py())]
+                at += 1
+                yield np.concatenate([x for x, _ in parts]) if ids else None, np.array([sum(int(n[0]) for _, n in parts)])
+                continue
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+            end = at + next((i for i in range(1, end - at) if odd[at + i] or long[at + i]), max(1, end - at))
+            yield self._block(texts.slice(at, end - at), ids)
+            at = end
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder; kept between tasks."""
-    kept = sys.__dict__.setdefault("_veilframe_encoders", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+def _cut(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = at + BLOCK_BYTES // 4
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -218,9 +259,8 @@ class ShardReader:
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+    enc, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
     uri = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.bin"
-    end = np.array([end_id], enc.dtype).tobytes()
     out, keys, sizes, nulls = None, [], [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -230,11 +270,9 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
             fs.create_dir(folder if "://" not in folder else filesystem(folder)[1], recursive=True)
             out = fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
             out.write(MAGIC)
-        texts = batch.column(1).to_pylist()
-        for at in range(0, len(texts), 256):
-            data = [x + end for x in enc.encode(texts[at : at + 256])]
-            out.write(b"".join(data))
-            sizes.append(np.fromiter(map(len, data), np.int64, len(data)) // enc.dtype.itemsize)
+        for ids, n in enc.blocks(batch.column(1)):
+            out.write(np.insert(ids, np.cumsum(n), end_id).tobytes())
+            sizes.append(n + 1)
         nulls += batch.column(0).null_count
         keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
     if out is None:
@@ -258,6 +296,8 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     some = len(distinct) > 0
     row = {"part": [part], "file": [uri], "docs": [len(keys)], "tokens": [int(starts[-1])], "first_key": [int(distinct[0]) if some else None], "last_key": [int(distinct[-1]) if some else None]}
     yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+    del enc
+    release()
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None, folder: str | None = None) -> DataFrame:
@@ -337,12 +377,12 @@ def fetch_documents(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -
 
 
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(tokenizer)
+    enc = WordEncoder(tokenizer)
     for batch in batches:
-        texts, sizes = batch.column(1).to_pylist(), []
-        for at in range(0, len(texts), 256):
-            sizes += [len(x) // enc.dtype.itemsize for x in enc.encode(texts[at : at + 256])]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in enc.blocks(batch.column(1), ids=False))])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+    del enc
+    release()
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
