@@ -57,7 +57,7 @@ def rows():
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_random_documents(spark, rows, monkeypatch, broadcast_bytes):
-    for name, value in (("SLICE_TERMS", 5), ("HELD", 20), ("CHUNK", 100), ("BLOCK_BYTES", 1000), ("CELLS", 16), ("SOURCES_AT_ONCE", 2)):
+    for name, value in (("SLICE_TERMS", 5), ("HELD", 20), ("PAIRS", 30), ("CHUNK", 100), ("BLOCK_BYTES", 1000), ("CELLS", 16), ("SOURCES_AT_ONCE", 2)):
         monkeypatch.setattr(sa, name, value)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit("x") for c in ("term", "n", "p", "q", "value", "slice", "part", "blob")})
     assert got(df, broadcast_bytes=broadcast_bytes) == brute(rows)

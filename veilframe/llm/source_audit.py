@@ -18,7 +18,7 @@ The stages, each written or pre-aggregated in its task before a shuffle:
 
 All numbers are whole: p = 1 + floor(10^9 (count + 1) / (N + V)), f = floor((p - q)^2 / q).
 
-Sizes: tasks hold ``HELD`` counted terms, a batch of texts and one slice (or the broadcast); the driver a row per slice and one per (lang,
+Sizes: tasks hold ``HELD`` counted terms or ``PAIRS`` counted ordinals, a batch of texts and one slice (or the broadcast); the driver a row per slice and one per (lang,
 source). A kept term is a path in the automaton, so one of many MB would make as many states.
 
 Defined cases: null text, lang and source are empty; texts without terms count as documents of their group; repeated rows are separate
@@ -43,7 +43,7 @@ from veilframe.storage import materialize
 
 MIN_DOCS, TOP = 3, 200
 SLICE_TERMS, SLICE_BYTES, BROADCAST_BYTES = 100_000, 1 << 21, 1 << 26
-HELD, CHUNK, BLOCK_BYTES, CELLS, SOURCES_AT_ONCE = 200_000, 1 << 20, 1 << 22, 1 << 19, 256
+HELD, PAIRS, CHUNK, BLOCK_BYTES, CELLS, SOURCES_AT_ONCE = 200_000, 1_500_000, 1 << 20, 1 << 23, 1 << 19, 256
 #: A-Z to lower case; all other ASCII but a-z parts terms.
 _FOLD = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
@@ -305,10 +305,10 @@ def _recount(batches: Iterator[pa.RecordBatch], slices: Slices) -> Iterator[pa.R
                     keys.append(group[here] * most + where[code[here]])
                     counts.append(n[here])
                     held += len(here)
-            if held > 3 * HELD:
+            if held > PAIRS:
                 keys, counts = _merged(keys, counts)
                 held = len(keys[0])
-                if held > 2 * HELD:
+                if held > PAIRS // 2:
                     yield from taken()
     yield from taken()
     release()
