@@ -1,6 +1,7 @@
 import hmac
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from veilframe.functions import sealing as s
 from veilframe.operators import messages as msg
 from veilframe.sources.events import read_event_stream
 from veilframe.storage import materialize, new_path
+from veilframe.streaming import keyed
 from veilframe.streaming.rounds import stream_admit
 
 
@@ -164,3 +166,47 @@ def test_stream_admission_survives_restarts(spark):
     seen = F.col("status") == "ok"  # a stream counts what it has seen; of others the payload stays hidden
     assert as_set(got.where(seen), *want.columns) == as_set(want.where(seen), *want.columns)
     assert got.where(~seen & F.col("payload").isNotNull()).count() == 0 and got.count() == 300
+
+
+def test_stream_admission_calls_its_state_once_a_bucket(spark):
+    rows = [(i, f"c{i % 4000}", i // 4000, True, True, True, i % 7 != 0, "p") for i in range(12_000)]
+    calls, state = [], {}
+
+    class Held:
+        def __init__(self, key):
+            self.key = key
+
+        def exists(self):
+            calls.append(self.key)
+            return self.key in state
+
+        def get(self):
+            return state[self.key]
+
+        def update(self, value):
+            state[self.key] = value
+
+    class Timer:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    names = ["seq", "client_id", "sent", "registered", "has_key", "opened", "authentic", "payload"]
+    pdf = pd.DataFrame(rows, columns=names).sample(frac=1, random_state=1).assign(counted=True)
+    pdf["client"] = "k" + pdf["client_id"]
+
+    def run(part, ttl=None, now=0):
+        admission, timer = keyed.Admission(ttl), Timer()
+        admission.counters, timer.now = Held(0), now
+        return pd.concat(admission.handleInputRows((0,), iter([part]), timer))
+
+    got = pd.concat([run(pdf[pdf["seq"] < 6_000]), run(pdf[pdf["seq"] >= 6_000])])
+    assert len(calls) == 2 and len(got) == 12_000
+    assert {s: n for s, n in got["status"].value_counts().items()} == {"ok": 10_285, "invalid_signature": 1_715}
+    assert (got["last_counter"] == got["seq"] // 4000 - 1).all()
+    assert set(run(pdf, now=10)["status"]) == {"replay_detected"}
+    state.clear()
+    run(pdf[pdf["client_id"] == "c1"], 100, 0), run(pdf[pdf["client_id"] == "c2"], 100, 60)
+    again = run(pdf[pdf["client_id"].isin(["c1", "c2"])], 100, 110)  # c1 was silent for longer than the time to live
+    assert set(again[again["client_id"] == "c2"]["status"]) == {"replay_detected"} and "replay_detected" not in set(again[again["client_id"] == "c1"]["status"])

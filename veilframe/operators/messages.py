@@ -78,6 +78,11 @@ def reject_replays(messages: DataFrame, advances: Column | None = None, hot_rows
     return seen.withColumn("replayed", counter_or_default() <= F.col("last_counter"))
 
 
+def _spread(keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys dealt to the session's shuffle partitions outright: their pads cost far more than their few bytes tell."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+
+
 def with_keys(messages: DataFrame, registry: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds ``_registered``, ``_key`` and the tag pads from the registry and the key table.
 
@@ -85,6 +90,7 @@ def with_keys(messages: DataFrame, registry: DataFrame, keys: DataFrame) -> Data
     keys for a client the largest pair counts, so that a message always gets one verdict.
     """
     keys = keys.groupBy("client_id").agg(F.max(F.struct("session_key", "tag_key")).alias("k")).select("client_id", "k.*")
+    keys = _spread(keys, ["client_id"])
     inner, outer = hmac_pads(F.col("tag_key"))
     known = registry.select("client_id").distinct().withColumn("_registered", F.lit(True))
     held = keys.select("client_id", F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
@@ -103,7 +109,7 @@ def seal_messages(
 ) -> DataFrame:
     """Digest, tag and encrypt each payload under the keys found by ``on``; adds ``sealed``, drops the payload."""
     inner, outer = hmac_pads(F.col("tag_key"))
-    held = keys.select(*on, F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
+    held = _spread(keys, on).select(*on, F.col("session_key").alias("_key"), inner.alias("_inner"), outer.alias("_outer"))
     rows = attach(messages, held, on, written=False)
     text = F.col(payload)
     package = F.to_json(

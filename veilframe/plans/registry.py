@@ -1012,6 +1012,7 @@ def stream_median_sketch(spark, sf_dir):
 def stream_admit(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     sealed = fx.sealed_messages(rows)
+    clients = materialize(rows.select("client_id", "registered", "has_key").distinct(), "clients")  # every micro-batch joins them
     source, out, checkpoint = (new_path(spark, n) for n in ("inbox", "outbox", "outbox-checkpoint"))
     end = sealed.agg(F.max("seq")).first()[0] + 1
     parts = 5
@@ -1019,7 +1020,7 @@ def stream_admit(spark, sf_dir):
         low, high = part * end // parts, (part + 1) * end // parts
         sealed.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(source)
         stream = ev.read_event_stream(spark, source, sealed.schema)
-        sr.stream_admit(stream, fx.registry_of(rows), fx.keys_of(rows), out, checkpoint)
+        sr.stream_admit(stream, fx.registry_of(clients), fx.keys_of(clients), out, checkpoint)
     return spark.read.schema("seq bigint, client_id string, status string").parquet(out)
 
 

@@ -1,4 +1,4 @@
-"""Operators with state per key, kept by Spark's state store: message admission and the spans of rounds."""
+"""Operators with state per key or bucket of keys, kept by Spark's state store: message admission and the spans of rounds."""
 
 from __future__ import annotations
 
@@ -42,25 +42,39 @@ def rocksdb(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
+#: Clients share the state of a bucket, as a call for each costs far more than its few rows. A checkpoint depends on this number.
+CLIENT_BUCKETS = 512
+
+
 class Admission(StatefulProcessor):
-    """Keeps the last accepted counter of a client; see ``admitted``."""
+    """Keeps the last accepted counters of a bucket of clients; see ``admitted``."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_counter", "last_counter bigint", self.ttl_ms)
+        self.counters = handle.getValueState("counters", "clients array<string>, counters array<bigint>, at array<bigint>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        start = self.last.get()[0] if self.last.exists() else NO_COUNTER
-        counter = batch["sent"].to_numpy(np.int64)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.counters.get() if self.counters.exists() else ([], [], [])
+        known = {c: (n, at) for c, n, at in zip(*held, strict=True) if not self.ttl_ms or at + self.ttl_ms > now}
+        batch = pd.concat(list(rows), ignore_index=True)
+        codes, clients = pd.factorize(batch["client"])
+        batch = batch.assign(code=codes).sort_values(["code", "seq"])
+        code, counter = batch["code"].to_numpy(), batch["sent"].to_numpy(np.int64)
         registered, has_key, opened, authentic = (batch[c].to_numpy(bool) for c in ("registered", "has_key", "opened", "authentic"))
-        moves = np.where(registered & has_key & opened, counter, np.int64(start))
-        reached = np.maximum.accumulate(np.concatenate([[start], moves]))
-        if reached[-1] > start:
-            self.last.update((int(reached[-1]),))
-        last = reached[:-1]
+        before = np.array([known[c][0] if c in known else NO_COUNTER for c in clients], np.int64)
+        start = before[code]
+        moves = np.where(registered & has_key & opened, np.maximum(counter, start), start)
+        reached = pd.Series(moves).groupby(code).cummax().to_numpy()
+        first = np.concatenate([[True], code[1:] != code[:-1]])
+        last = np.where(first, start, np.concatenate([[NO_COUNTER], reached[:-1]]))
+        after = reached[np.concatenate([first[1:], [True]])]  # of every client, in the order of codes
+        raised = np.flatnonzero(after > before)
+        if len(raised):
+            known.update((clients[i], (int(after[i]), now)) for i in raised)
+            self.counters.update((list(known), [n for n, _ in known.values()], [at for _, at in known.values()]))
         checks = [~registered, counter <= last, ~has_key, ~opened, ~authentic]
         status = np.select(checks, list(STATUSES[:-1]), STATUSES[-1])
         payload = batch["payload"].where(status == STATUSES[-1], None)
@@ -75,19 +89,20 @@ class Admission(StatefulProcessor):
 def admitted(messages: DataFrame, registry: DataFrame, keys: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """``admit`` on a stream: ``(seq, client_id, counter, last_counter, status, payload)``.
 
-    Keys, decryption and tags are looked at before; what goes to a client's state is one row a message. Messages of a micro-batch are
-    taken in the order of ``seq``, micro-batches as they come, so size the trigger for what one client may send at a time. ``ttl_ms`` forgets
-    clients that were silent for so long; their old messages can then be sent again, so only with keys that do not outlive it.
+    Keys, decryption and tags are looked at before; what goes to the state is one row a message. A state value holds the counters of the
+    clients of one of ``CLIENT_BUCKETS`` buckets. Messages of a micro-batch are taken in the order of ``seq``, micro-batches as they come, so
+    size the trigger for what the clients of a bucket may send at a time. ``ttl_ms`` forgets clients that were silent for so long; their old
+    messages can then be sent again, so only with keys that do not outlive it.
     """
     opened = open_messages(with_keys(messages, registry, keys))
     rows = opened.select(
-        state_key("client_id").alias("key"), "seq", "client_id", counter_or_default().alias("sent"), F.col("counter").isNotNull().alias("counted"), F.col("_registered").alias("registered"),
+        F.pmod(F.xxhash64("client_id"), F.lit(CLIENT_BUCKETS)).alias("bucket"), state_key("client_id").alias("client"), "seq", "client_id", counter_or_default().alias("sent"), F.col("counter").isNotNull().alias("counted"), F.col("_registered").alias("registered"),
         F.col("_key").isNotNull().alias("has_key"), F.coalesce("opened", F.lit(False)).alias("opened"), "authentic",
         F.when(F.col("authentic"), F.col("payload")).alias("payload"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
     schema = f"seq {kinds['seq']}, client_id {kinds['client_id']}, sent bigint, counted boolean, last_counter bigint, status string, payload string"
-    judged = rows.groupBy("key").transformWithStateInPandas(
+    judged = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Admission(ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
     counter = F.when(F.col("counted"), F.col("sent")).cast(kinds["counter"]).alias("counter")
