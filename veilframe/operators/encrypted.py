@@ -180,7 +180,7 @@ def from_wire(text: str | Column) -> Column:
     return F.from_json(text, CIPHER)
 
 
-def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool, bits: int):
+def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool, bits: int = SCALE_BITS):
     """Multiply ciphertexts of equal groups in sorted input, one open group at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
