@@ -84,3 +84,14 @@ def test_prefixes_are_long_enough():
                 least = next((c for c in range(n + 1) if 100 * c >= percent * (n + m - c)), None)
                 if least is not None:  # a set with so many shingles in common cannot keep all of them out of its prefix
                     assert n - least < jj.prefix_size(n, percent) and m - least < jj.prefix_size(m, percent)
+
+
+def test_rows_meet_only_classes_with_other_roots(spark):
+    rows = [(1, 5, 10), (1, 5, 10), (1, 6, 10), (1, 7, 11), (1, 20, 12), (2, 3, 1), (2, 5, 2), (3, 4, 1), (3, 4, 2)]
+    df = spark.createDataFrame([(b, c, r, i) for i, (b, c, r) in enumerate(rows)], "bucket long, class long, root long, u long")
+    got = {r.u: sorted(r.classes) for r in jj.with_other_roots(df).collect()}
+    want = {}
+    for i, (b, c, r) in enumerate(rows):
+        if near := sorted({d for a, d, s in rows if a == b and abs(c - d) <= 1 and s != r}):
+            want[i] = near
+    assert got == want == {2: [7], 3: [6], 7: [4], 8: [4]}

@@ -13,7 +13,7 @@ The stages, each written:
 4. every group's largest bucket is cut by hash into blocks of about ``BLOCK`` sets and compared block by block, once more under another hash
    where there are several blocks. This costs one look at every set and joins nearly all that belongs together;
 5. what is still apart: in every bucket that holds several components, the members outside its largest one are compared with all members of
-   a similar size, block against block. Members of one component, and those that met in a bucket of one block, need no comparison, so this is
+   a similar size, block against block, where those of a similar size are of several components at all. Members of one component, and those that met in a bucket of one block, need no comparison, so this is
    exact;
 6. the components of all links.
 
@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from veilframe.llm.components import components
 from veilframe.llm.memory import release
@@ -388,6 +389,20 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links).withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
 
 
+def with_other_roots(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, class, root, ..) that have a row of another root in a class at most one apart; ``classes``: those of them that do.
+
+    It is told from the smallest and largest root of every bucket and class, of which a bucket has few.
+    """
+    roots = rows.groupBy("bucket", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    by_class = W.partitionBy("bucket").orderBy("class")
+    near = F.array(*[F.first(F.struct("class", "low", "high")).over(by_class.rangeBetween(d, d)) for d in (-1, 0, 1)])
+    near = roots.select("bucket", "class", near.alias("near"), F.min("low").over(by_class.rangeBetween(-1, 1)).alias("low"), F.max("high").over(by_class.rangeBetween(-1, 1)).alias("high"))
+    met = rows.join(near.where("low <> high").select("bucket", "class", "near"), ["bucket", "class"])
+    other = F.filter("near", lambda x: x.isNotNull() & ((x["low"] != F.col("root")) | (x["high"] != F.col("root"))))
+    return met.withColumn("classes", F.transform(other, lambda x: x["class"])).drop("near").where(F.size("classes") > 0)
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that links of ``percent`` or more lead to)."""
     spark = docs.sparkSession
@@ -433,8 +448,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     )
     once = per.where("roots > 1 AND NOT coalesce(done, false)").groupBy("m", "least", "x", "y").agg(F.min(F.struct("bucket", F.col("top.root").alias("top"))).alias("b")).select("b.*")
     class_ = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
-    open_ = materialize(apart.join(once, "bucket").select("bucket", "u", "place", "n", "root", "met", (F.col("root") != F.col("top")).alias("asks"), class_.alias("class")), "open")
-    asking = open_.where("asks").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    still = materialize(apart.join(once, "bucket").select("bucket", "u", "place", "n", "root", "met", (F.col("root") != F.col("top")).alias("asks"), class_.alias("class")), "open")
+    open_ = materialize(with_other_roots(still), "open-near")
+    asking = open_.where("asks").withColumn("class", F.explode("classes"))
     blocks_of = lambda df, name: df.groupBy("bucket", "class").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias(name))
     cells = materialize(blocks_of(open_, "asked").join(blocks_of(asking, "asking"), ["bucket", "class"]), "cells")
     cell = F.xxhash64("bucket", "class").alias("bucket")
