@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +54,10 @@ def he_decrypt(
         arrow = to_arrow_schema(schema)
         decryptor = Decryptor(key)
         for batch in batches:
-            ciphers = batch.column(at).to_pylist()
+            ciphers = _numbers(batch.column(at))
             divisors = [1] * len(ciphers) if by is None else batch.column(by).to_pylist()
             values = [
-                None if c is None or not d else decryptor.value(_number(c), d)
+                None if c is None or not d else decryptor.value(c, d)
                 for c, d in zip(ciphers, divisors, strict=True)
             ]
             columns = batch.columns
@@ -115,15 +116,16 @@ def he_encrypt_packed(
     rows = known.select(*by, F.floor(at / plan.slots).cast("bigint").alias("block"), slot.alias("e"), *keep)
     held = [F.max(weight).alias(weight)] if weight else []
     blocks = rows.groupBy(*by, "block").agg(F.sort_array(F.collect_list("e")).alias("values"), *held)
-    blocks = blocks.select(*by, "block", F.col("values.slot").alias("filled"), "values", *keep)
+    blocks = blocks.select(*by, "block", F.col("values.slot").alias("filled"), F.col("values.x").alias("values"), *keep)
     schema = _replace(blocks.schema, "values", T.StructField("cipher", CIPHER))
-    place = blocks.columns.index("values")
+    slots, place = blocks.columns.index("filled"), blocks.columns.index("values")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, encryptor = to_arrow_schema(schema), None
         for batch in batches:
             encryptor = encryptor or Encryptor(key)
-            packed = [plan.pack({e["slot"]: e["x"] for e in values}) for values in batch.column(place).to_pylist()]
+            held = zip(_lists(batch.column(slots)), _lists(batch.column(place)), strict=True)
+            packed = [plan.pack(dict(zip(filled, values, strict=True))) for filled, values in held]
             columns = batch.columns
             columns[place] = pa.array([{"ciphertext": str(encryptor.encrypt_integer(m)), "exponent": -plan.bits} for m in packed], arrow.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -142,8 +144,10 @@ def he_decrypt_packed(df: DataFrame, by: Sequence[str], key: PrivateKey, plan: P
         arrow, decryptor = to_arrow_schema(schema), Decryptor(key, plan.bits)
         for batch in batches:
             out = []
-            for *group, block, filled, by_, cipher in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                sums = plan.unpack(decryptor.decrypt(_number(cipher, plan.bits)))
+            *groups, filled_, divisors_, ciphers = batch.columns
+            columns = [*[c.to_pylist() for c in groups], _lists(filled_), _lists(divisors_), _numbers(ciphers, plan.bits)]
+            for *group, block, filled, by_, cipher in zip(*columns, strict=True):
+                sums = plan.unpack(decryptor.decrypt(cipher))
                 out += [(*group, block * plan.slots + s, sums[s] / (d << plan.bits) if d else None) for s, d in zip(filled, by_, strict=True)]
             columns = list(zip(*out)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -188,9 +192,10 @@ def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool
         open_groups: dict[tuple, list[int]] = {}
         done: list[tuple] = []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                group, cipher, weight = row[:keys], row[keys], row[keys + 1]
-                c = _number(cipher, bits)
+            *groups, ciphers, weights = batch.columns
+            columns = [*[c.to_pylist() for c in groups], _numbers(ciphers, bits), weights.to_pylist()]
+            for *group, c, weight in zip(*columns, strict=True):
+                group = tuple(group)
                 if raise_to_weight:
                     c = pow(c, weight, square)
                 held = open_groups.get(group)
@@ -218,10 +223,26 @@ def _batch(rows: list[tuple], schema: pa.Schema, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _number(cipher: dict, bits: int = SCALE_BITS) -> int:
-    if cipher["exponent"] != -bits:
-        raise ValueError(f"unexpected exponent {cipher['exponent']}")
-    return int(cipher["ciphertext"])
+def _numbers(ciphers: pa.StructArray, bits: int = SCALE_BITS) -> list[int | None]:
+    """The ciphertexts of a column; None where there is none."""
+    texts, exponents = ciphers.flatten()
+    present = ciphers.is_valid()
+    odd = [e for e in exponents.filter(present).unique().to_pylist() if e != -bits]
+    if odd:
+        raise ValueError(f"unexpected exponent {odd[0]}")
+    if texts.filter(present).null_count:
+        raise ValueError("a ciphertext without its number")
+    return [None if t is None else int(t) for t in texts.to_pylist()]
+
+
+def _lists(column: pa.ListArray) -> list[list]:
+    """As ``to_pylist`` of lists that are not NULL, without an object per element."""
+    flat = column.flatten()
+    flat, out, at = flat.to_pylist() if flat.null_count else flat.to_numpy(zero_copy_only=False).tolist(), [], 0
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(flat[at : at + n])
+        at += n
+    return out
 
 
 def _replace(schema: T.StructType, old: str, field: T.StructField) -> T.StructType:

@@ -606,7 +606,8 @@ def reshape_elements(spark, sf_dir):
 @query(f"SELECT round, client_id, param, idx, {o.r('delta')} AS value FROM {o.DELTAS} d")
 def he_roundtrip(spark, sf_dir):
     key = test_key()
-    rows = updates(spark, sf_dir).select(*NOISE_KEYS, (F.col("value") - F.col("global_value")).alias("value"))
+    deltas = updates(spark, sf_dir).select(*NOISE_KEYS, (F.col("value") - F.col("global_value")).alias("value"))
+    rows = materialize(deltas, "deltas")  # the plan and the encryption read them
     owner, plan = ["round", "client_id", "param"], enc.plan_packing(rows, key.public)
     sent = enc.he_encrypt_packed(rows, owner, key.public, plan, tasks=spark.sparkContext.defaultParallelism)
     wire = sent.withColumn("cipher", enc.from_wire(enc.to_wire("cipher")))
