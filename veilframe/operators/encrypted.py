@@ -18,6 +18,7 @@ from veilframe.functions.paillier import SCALE_BITS, Decryptor, Encryptor, Packi
 
 CIPHER = T.StructType([T.StructField("ciphertext", T.StringType()), T.StructField("exponent", T.IntegerType())])
 OUT_ROWS = 2_000
+OPEN_WEIGHTS = 1_000  # distinct weights whose products a task keeps
 
 
 def he_encrypt(df: DataFrame, col: str, key: PublicKey, name: str = "cipher", tasks: int | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def he_weighted_sum(
 
     Only rows with a ciphertext and a weight of zero or more count. Each task first sorts what it holds and multiplies it
     per group, so a group reaches the shuffle with one row per task however many clients or groups there are; the second
-    fold walks sorted groups too, and either keeps one product at a time. Its ``tasks`` (the
+    fold walks sorted groups too. The first keeps a product per distinct weight of one group, at most ``OPEN_WEIGHTS``, the second one product. Its ``tasks`` (the
     session's shuffle partitions) are set outright: merging partitions that are small in bytes would pile up work.
     """
     by = list(by)
@@ -185,32 +186,43 @@ def from_wire(text: str | Column) -> Column:
 
 
 def _fold(schema: T.StructType, keys: int, key: PublicKey, raise_to_weight: bool, bits: int = SCALE_BITS):
-    """Multiply ciphertexts of equal groups in sorted input, one open group at a time."""
+    """Multiply ciphertexts of equal groups in sorted input, one open group at a time.
+
+    Ciphertexts of one weight are multiplied first and raised to it together: a group costs a power per distinct weight, not per row.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, square = to_arrow_schema(schema), key.n * key.n
-        open_groups: dict[tuple, list[int]] = {}
+        open_group, total = None, 0
+        products: dict[int, int] = {}  # of the open group, by the power they still need
         done: list[tuple] = []
+
+        def raised() -> int:
+            product = 1
+            for power, c in products.items():
+                product = product * pow(c, power, square) % square
+            products.clear()
+            return product
+
         for batch in batches:
             *groups, ciphers, weights = batch.columns
             columns = [*[c.to_pylist() for c in groups], _numbers(ciphers, bits), weights.to_pylist()]
             for *group, c, weight in zip(*columns, strict=True):
-                group = tuple(group)
-                if raise_to_weight:
-                    c = pow(c, weight, square)
-                held = open_groups.get(group)
-                if held is None:
-                    if open_groups:
-                        done.extend((*g, *h) for g, h in open_groups.items())
-                        open_groups.clear()
-                    open_groups[group] = [c, weight]
-                else:
-                    held[0] = held[0] * c % square
-                    held[1] += weight
+                if group != open_group:
+                    if open_group is not None:
+                        done.append((*open_group, raised(), total))
+                    open_group, total = group, 0
+                power = weight if raise_to_weight else 1
+                held = products.get(power)
+                products[power] = c if held is None else held * c % square
+                total += weight
+                if len(products) > OPEN_WEIGHTS:
+                    products[1] = raised()
                 if len(done) >= OUT_ROWS:
                     yield _batch(done, arrow, bits)
                     done = []
-        done.extend((*g, *h) for g, h in open_groups.items())
+        if open_group is not None:
+            done.append((*open_group, raised(), total))
         if done:
             yield _batch(done, arrow, bits)
 

@@ -618,7 +618,7 @@ def he_roundtrip(spark, sf_dir):
 @query(f"{_ELEMENT9} {_FEDAVG} f")
 def he_fedavg(spark, sf_dir):
     key = test_key()
-    rows = updates(spark, sf_dir).select(*ROUND_ELEMENT, "client_id", "value", "num_samples")
+    rows = materialize(updates(spark, sf_dir).select(*ROUND_ELEMENT, "client_id", "value", "num_samples"), "updates")
     plan = enc.plan_packing(rows, key.public, ROUND_ELEMENT, weight="num_samples")
     owner = ["round", "param", "client_id"]
     sent = materialize(enc.he_encrypt_packed(rows, owner, key.public, plan, weight="num_samples", tasks=spark.sparkContext.defaultParallelism), "packed")
