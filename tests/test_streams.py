@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import as_set
 from veilframe.operators import status as st
+from veilframe.plans import registry as rg
 from veilframe.sources.events import read_event_stream
 from veilframe.storage import commit_text, names_in, new_path, read_text
 from veilframe.streaming import rounds as sr
@@ -87,3 +88,14 @@ def test_timers_abort_rounds_that_stay_open(spark):
     assert after((31, 2, "round_complete"))[2] == (1800.0, "completed")
     batch = st.rounds_from_events(spark.read.parquet(source).where("round < 3").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     assert as_set(batch, "round", "seconds") == {(1, 180.0), (2, 1800.0)}
+
+
+def test_streamed_updates_are_derived_once_and_read_by_all_cores(spark, monkeypatch):
+    derived, triggers, updates, read = [], [], rg.updates, rg.ev.read_event_stream
+    monkeypatch.setattr(rg, "updates", lambda *a: derived.append(a) or updates(*a))
+    monkeypatch.setattr(rg.ev, "read_event_stream", lambda *a, **k: triggers.append(k["files_per_trigger"]) or read(*a, **k))
+    got = rg.stream_median_sketch(spark, "/root/testdata/sf0.001").collect()
+    assert len(derived) == 1 and triggers == [spark.sparkContext.defaultParallelism]
+    counts = updates(spark, "/root/testdata/sf0.001").groupBy("round", "param", "idx").count()
+    assert {(r.round, r.param, r.idx): r.n for r in got} == {(r.round, r.param, r.idx): r["count"] for r in counts.collect()}
+    assert all(r.near for r in got)

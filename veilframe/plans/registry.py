@@ -968,15 +968,21 @@ def round_spans(spark, sf_dir):
 # ---- streams ----
 
 
-def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates as a stream of files in the order of rounds, one day per round, a few files per micro-batch."""
+def filed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates, written once in folders of two rounds; a day per round."""
     day = F.timestamp_seconds(F.col("round").cast("bigint") * 86_400)
-    rows = updates(spark, sf_dir).drop("global_value").withColumn("ts", day)
-    rows = materialize(rows, "updates")
-    path = new_path(spark, "update-stream")
-    for low in range(0, 13, 2):  # two rounds at a time, as they end; every client sends in each
-        rows.where(F.col("round").between(low, low + 1)).repartition(4, "client_id").write.mode("append").parquet(path)
-    return ev.read_event_stream(spark, path, rows.schema, files_per_trigger=4)
+    rows = updates(spark, sf_dir).drop("global_value").withColumns({"ts": day, "pair": F.floor(F.col("round") / 2).cast("int")})
+    path = new_path(spark, "updates")
+    rows.write.partitionBy("pair").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def update_stream(spark: SparkSession, filed: DataFrame) -> DataFrame:
+    """The updates as a stream of files in the order of rounds; a micro-batch has about a file per core, as many as a pair of rounds."""
+    files, path, schema = spark.sparkContext.defaultParallelism, new_path(spark, "update-stream"), filed.drop("pair").schema
+    for pair in range(7):  # two rounds at a time, as they end; every client sends in each
+        filed.where(F.col("pair") == pair).drop("pair").repartition(files, "client_id").write.mode("append").parquet(path)
+    return ev.read_event_stream(spark, path, schema, files_per_trigger=files)
 
 
 @query(
@@ -992,21 +998,22 @@ def stream_events(spark, sf_dir):
 
 @query(f"{_ELEMENT9} {_FEDAVG} f")
 def stream_fedavg(spark, sf_dir):
-    result = sr.latest_result(sr.stream_combine(update_stream(spark, sf_dir), "1 day", "2 days"), spark, "fedavg", ["round_start", "param", "idx"])
+    result = sr.latest_result(sr.stream_combine(update_stream(spark, filed_updates(spark, sf_dir)), "1 day", "2 days"), spark, "fedavg", ["round_start", "param", "idx"])
     round_no = (F.unix_seconds("round_start") / 86_400).cast("int").alias("round")
     return rounded(result.select(round_no, "param", "idx", "value"), 9, ["value"])
 
 
 @query(f"{_ELEMENT9} {_MEDIAN} f")
 def stream_median(spark, sf_dir):
-    return rounded(sr.stream_median(update_stream(spark, sf_dir), spark), 9, ["value"])
+    return rounded(sr.stream_median(update_stream(spark, filed_updates(spark, sf_dir)), spark), 9, ["value"])
 
 
 @query(_NEAR)
 def stream_median_sketch(spark, sf_dir):
-    medians = sr.stream_median_sketch(update_stream(spark, sf_dir), spark, "1 day", "2 days")
+    filed = filed_updates(spark, sf_dir)
+    medians = sr.stream_median_sketch(update_stream(spark, filed), spark, "1 day", "2 days")
     round_no = (F.unix_seconds("round_start") / 86_400).cast("int").alias("round")
-    return rank_checked(medians.select(round_no, "param", "idx", "n", "value"), cb.collect_updates(updates(spark, sf_dir)))
+    return rank_checked(medians.select(round_no, "param", "idx", "n", "value"), cb.collect_updates(filed))
 
 
 @query(f"SELECT seq, client_id, status FROM {o.ADMITTED} a")
