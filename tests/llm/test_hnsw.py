@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.llm import hnsw
 
@@ -94,3 +95,30 @@ def test_an_id_of_many_vectors_takes_one_place(spark):
     for i, v in rows:
         best[i] = max(best.get(i, -2), float(hnsw.cosine(base, np.array(v))))
     assert got == {1: sorted(((i, s) for i, s in best.items() if i != 1), key=lambda x: (-x[1], x[0]))[:5]}
+
+
+def test_queries_meet_shards_outside_the_driver(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 8)))] + [(1000 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, 5, shard_vectors=8)
+    want = {q: [i for i, _ in r] for q, r in brute(rows, {i for i, _ in rows}, 5).items()}
+    near = hnsw.search(index, df, 5, block=64)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan  # a join's planner takes queries times shards for the queries alone
+    assert {q: [i for i, _ in r] for q, r in found(near).items()} == want
+    several = hnsw.search(index, df, 5, block=16, held=900)  # groups of queries, one after the other
+    assert {q: [i for i, _ in r] for q, r in found(several).items()} == want
+
+
+def test_a_place_gets_its_shards_once_and_every_query(spark):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(8).normal(size=(600, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, asked = hnsw.build_index(df, 5, shard_vectors=8), df.selectExpr("vec_id id", "embedding vec", "size(embedding) dim")
+    places = hnsw.WAVES * spark.sparkContext.defaultParallelism
+    assert index.count() > places
+    for held, groups in ((2400, 1), (1200, 2)):
+        laid = hnsw._laid(index, asked, 2400, 600, 100, held).withColumn("part", F.spark_partition_id())
+        parts = laid.groupBy("part").agg(F.sum(F.size("queries")).alias("q"), F.count("vectors").alias("s"), F.count_distinct("held").alias("g")).collect()
+        assert len(parts) == places * groups and all(r.g == 1 for r in parts)
+        assert sum(r.q for r in parts) == places * 600 and sum(r.s for r in parts) == groups * index.count()

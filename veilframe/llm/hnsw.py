@@ -5,9 +5,11 @@ down. Within a level nodes are inserted in batches that double: a batch searches
 above), takes in its own members as candidates too, keeps up to M diverse neighbours (2M on the lowest level) and links back;
 overfull lists are pruned by the same rule. A shard is stored as one row: vectors, ids and one flat neighbour array per level.
 
-Queries come in blocks; every block meets every shard, a beam of ``EF`` nodes walks the lowest level, all queries of a block in step, and all
+Shards are dealt once to a number of places that follows the cores, not the shards, and every place gets all queries. A task holds the queries
+and runs through its shards one after the other, so neither the driver nor a task ever holds queries times shards; queries beyond ``HELD`` numbers
+go in several groups, which the shards then meet one by one. A beam of ``EF`` nodes walks the lowest level, a block of queries in step, and all
 nodes it found are scored again in double precision on the original vectors. Where the beam's last node ties with the k-th id within float32 error,
-or gives fewer than k ids, the query is compared with the whole shard. Each shard returns ``k`` ids per query; a ranking over shards follows.
+or gives fewer than k ids, the query is compared with the whole shard. Each place returns ``k`` ids per query; a ranking over places follows.
 
 Equal vectors are one node that knows its ``k + 1`` smallest ids, which is all that a result can show of them; so a vector
 that a third of the rows share costs one node. The limit is applied before the shuffle.
@@ -27,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilframe.storage import materialize, materialize_counted
+from veilframe.storage import materialize, materialize_counted, materialize_measured
 
 M, EF, EF_BUILD, SHARD_VECTORS, BLOCK = 16, 96, 64, 2048, 1024
+#: Numbers (of query vectors) that a task holds, and tasks per core of a search.
+HELD, WAVES = 1 << 22, 4
 
 
 class Graph:
@@ -282,25 +286,63 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            queries, own = np.array([q["vec"] for q in row["queries"]]), np.array([q["id"] for q in row["queries"]])
-            r, ids, score = Shard(row).search(queries, own, k, ef)
-            yield pa.RecordBatch.from_arrays([pa.array(own[r], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+SHARD = ["vectors", "ids", "id_counts", "counts", "links"]
+
 
+def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of every query in the partition's shards. Rows come by group and length, queries first; shards are opened one at a time."""
+    at, own, queries, best = None, [], [], None
 
-def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", ef: int = EF, block: int = BLOCK) -> DataFrame:
+    def told():
+        if best is not None:
+            r, ids, score = best
+            yield pa.RecordBatch.from_arrays([pa.array(own[r], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            now = batch["held"][i].as_py(), batch["dim"][i].as_py()
+            if now != at:
+                yield from told()
+                at, own, queries, best = now, [], [], None
+            if batch["queries"][i].is_valid:
+                asked = batch["queries"][i].values
+                own.append(np.array(asked.field("id")))
+                queries.append(np.array(asked.field("vec").flatten()).reshape(-1, now[1]))
+            elif len(own):
+                if best is None:
+                    own, queries = np.concatenate(own), np.concatenate(queries)
+                    best = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+                shard = Shard({c: batch[c][i].as_py() for c in ["dim", *SHARD]})
+                parts = [best]
+                for a in range(0, len(own), block):
+                    r, ids, score = shard.search(queries[a : a + block], own[a : a + block], k, ef)
+                    parts.append((r + a, ids, score))
+                best = _nearest(*(np.concatenate(x) for x in zip(*parts)), k)
+    yield from told()
+
+
+def _laid(index: DataFrame, queries: DataFrame, numbers: int, n: int, block: int, held: int) -> DataFrame:
+    """Blocks of queries and shards where they meet: a partition has its shards once for each group of queries, the queries before them."""
+    groups = max(1, -(-numbers // held))
+    blocks = max(groups, -(-n // block))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    places = min(shards, WAVES * index.sparkSession.sparkContext.defaultParallelism)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vec")).alias("queries"))
+    asked = packed.select(every(places).alias("place"), F.pmod("block", F.lit(groups)).cast("int").alias("held"), "dim", "queries")
+    met = index.select(F.pmod("shard", F.lit(places)).cast("int").alias("place"), every(groups).alias("held"), "dim", "shard", *SHARD)
+    # no join: its planner takes the queries for small, however many shards they are to meet, and gathers them in the driver
+    both = asked.unionByName(met, allowMissingColumns=True)
+    return both.repartitionById(places * groups, F.col("place") * F.lit(groups) + F.col("held")).sortWithinPartitions("held", "dim", F.col("shard").asc_nulls_first())
+
+
+def search(
+    index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", ef: int = EF, block: int = BLOCK, held: int = HELD
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of every query, ties to the smaller vec_id."""
-    asked, n = materialize_counted(_clean(queries, key, vector).distinct().withColumn("dim", F.size("vec")), "queries")
-    blocks = max(1, -(-n // block))
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vec")).alias("queries"))
-    # every block meets every shard; vectors of a length have no shards beyond the largest number
-    last = index.agg(F.max("shard")).first()[0] or 0
-    meets = packed.select("dim", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("shard"))
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = meets.join(index, ["dim", "shard"]).repartition(parts, "dim", "shard")
-    found = laid.select("queries", "dim", "vectors", "ids", "id_counts", "counts", "links").mapInArrow(lambda it: _search(it, k, ef), "query_id long, vec_id long, score double")
+    asked, n, numbers = materialize_measured(_clean(queries, key, vector).distinct().withColumn("dim", F.size("vec")), "queries", F.size("vec"))
+    laid = _laid(index, asked, numbers, n, block, held)
+    found = laid.select("held", "dim", "queries", *SHARD).mapInArrow(lambda it: _search(it, k, ef, block), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
