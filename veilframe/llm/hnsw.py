@@ -143,30 +143,35 @@ class Graph:
         nodes, score = np.full((n, ef), -1, np.int64), np.full((n, ef), -np.inf, np.float32)
         nodes[:, 0] = self._entry(queries, l, size)
         score[:, 0] = np.einsum("rd,rd->r", self.unit[nodes[:, 0]], queries)
-        open_ = np.zeros((n, ef), bool)
-        open_[:, 0] = True
-        seen = np.zeros((n, size), bool)
-        seen[np.arange(n), nodes[:, 0]] = True
+        open_, worst = score.copy(), score.min(1)  # scores of nodes no walk went on from
+        seen = np.zeros((n, size + 1), bool)  # the last one stands for no neighbour
+        seen[np.arange(n), nodes[:, 0]] = seen[:, size] = True
         live = np.arange(n)
         while len(live):
-            best = np.where(open_[live], score[live], -np.inf).argmax(1)
-            more = open_[live, best]
+            best = open_[live].argmax(1)
+            more = open_[live, best] > -np.inf
             live, best = live[more], best[more]
-            if not len(live):
-                break
-            open_[live, best] = False
-            near = links[nodes[live, best]].astype(np.int64)
-            known = (near < 0) | (near >= size) | seen[live[:, None], np.clip(near, 0, size - 1)]
-            r, c = np.nonzero(~known)
-            seen[live[r], near[r, c]] = True
-            similar = np.full(near.shape, -np.inf, np.float32)
-            similar[r, c] = np.einsum("ij,ij->i", self.unit[near[r, c]], queries[live[r]])
-            near[known] = -1
-            all_nodes, all_score = np.concatenate([nodes[live], near], 1), np.concatenate([score[live], similar], 1)
-            all_open = np.concatenate([open_[live], ~known], 1)
-            top = np.argpartition(-all_score, ef - 1, axis=1)[:, :ef]
-            nodes[live], score[live] = np.take_along_axis(all_nodes, top, 1), np.take_along_axis(all_score, top, 1)
-            open_[live] = np.take_along_axis(all_open, top, 1)
+            open_[live, best] = -np.inf
+            near = links[nodes[live, best]]
+            near = np.where((near < 0) | (near >= size), size, near) + live[:, None] * (size + 1)
+            fresh = near[~seen.take(near)]
+            seen.reshape(-1)[fresh] = True
+            q, new = np.divmod(fresh, size + 1)
+            similar = np.einsum("ij,ij->i", self.unit[new], queries[q])
+            better = similar > worst[q]  # others have no place in a full beam
+            q, new, similar = q[better], new[better], similar[better]
+            at, number = np.unique(q, return_counts=True)
+            if not len(at):
+                continue
+            row, column = np.repeat(np.arange(len(at)), number), ef + np.arange(len(q)) - np.repeat(np.cumsum(number) - number, number)
+            wide = ef + number.max()
+            all_score = np.full((len(at), wide), -np.inf, np.float32)
+            all_nodes, all_open = np.full((len(at), wide), -1, np.int64), all_score.copy()
+            all_score[:, :ef], all_nodes[:, :ef], all_open[:, :ef] = score[at], nodes[at], open_[at]
+            all_score[row, column], all_nodes[row, column], all_open[row, column] = similar, new, similar
+            top = np.argpartition(-all_score, ef - 1, axis=1)[:, :ef] + np.arange(len(at))[:, None] * wide
+            nodes[at], score[at], open_[at] = all_nodes.take(top), all_score.take(top), all_open.take(top)
+            worst[at] = score[at, -1]
         return nodes, score
 
 
