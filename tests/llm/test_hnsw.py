@@ -122,3 +122,5 @@ def test_a_place_gets_its_shards_once_and_every_query(spark):
         parts = laid.groupBy("part").agg(F.sum(F.size("queries")).alias("q"), F.count("vectors").alias("s"), F.count_distinct("held").alias("g")).collect()
         assert len(parts) == places * groups and all(r.g == 1 for r in parts)
         assert sum(r.q for r in parts) == places * 600 and sum(r.s for r in parts) == groups * index.count()
+    one = hnsw._laid(hnsw.build_index(df, 5), asked, 2400, 600, 100, 2400).groupBy(F.spark_partition_id()).agg(F.sum(F.size("queries")).alias("q"), F.count("vectors").alias("s")).collect()
+    assert len(one) == 6 and sum(r.q for r in one) == 600 and all(r.s == 1 for r in one)

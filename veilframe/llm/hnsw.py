@@ -6,10 +6,11 @@ above), takes in its own members as candidates too, keeps up to M diverse neighb
 overfull lists are pruned by the same rule. A shard is stored as one row: vectors, ids and one flat neighbour array per level.
 
 Shards are dealt once to a number of places that follows the cores, not the shards, and every place gets all queries. A task holds the queries
-and runs through its shards one after the other, so neither the driver nor a task ever holds queries times shards; queries beyond ``HELD`` numbers
-go in several groups, which the shards then meet one by one. A beam of ``EF`` nodes walks the lowest level, a block of queries in step, and all
-nodes it found are scored again in double precision on the original vectors. Where the beam's last node ties with the k-th id within float32 error,
-or gives fewer than k ids, the query is compared with the whole shard. Each place returns ``k`` ids per query; a ranking over places follows.
+and runs through its shards one after the other, so neither the driver nor a task ever holds queries times shards; queries beyond ``HELD`` numbers,
+or too few shards for the cores, make several groups of queries, each of which meets all shards. A beam of ``EF`` nodes walks the lowest level,
+a block of queries in step, and all nodes it found are scored again in double precision on the original vectors. Where the beam's last node ties
+with the k-th id within float32 error, or gives fewer than k ids, the query is compared with the whole shard. Each place returns ``k`` ids per
+query; a ranking over places follows.
 
 Equal vectors are one node that knows its ``k + 1`` smallest ids, which is all that a result can show of them; so a vector
 that a third of the rows share costs one node. The limit is applied before the shuffle.
@@ -328,10 +329,10 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int, block: int) -> I
 
 def _laid(index: DataFrame, queries: DataFrame, numbers: int, n: int, block: int, held: int) -> DataFrame:
     """Blocks of queries and shards where they meet: a partition has its shards once for each group of queries, the queries before them."""
-    groups = max(1, -(-numbers // held))
-    blocks = max(groups, -(-n // block))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    places = min(shards, WAVES * index.sparkSession.sparkContext.defaultParallelism)
+    shards, tasks = (index.agg(F.max("shard")).first()[0] or 0) + 1, WAVES * index.sparkSession.sparkContext.defaultParallelism
+    places, blocks = min(shards, tasks), max(1, -(-n // block))
+    groups = max(-(-numbers // held), min(tasks // places, blocks))  # with few shards more groups, for the cores
+    blocks = max(groups, blocks)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     packed = queries.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vec")).alias("queries"))
     asked = packed.select(every(places).alias("place"), F.pmod("block", F.lit(groups)).cast("int").alias("held"), "dim", "queries")
